@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import values
 from ..functions.text import truncate
 from ..session import checkpoint
+from .order import upper_median
 
 STATUSES = ("confident", "ambiguous", "insufficient", "error")
 
@@ -118,27 +119,6 @@ def _range_rows(starts: dict[str, date | None], day: str) -> Column:
     )
 
 
-def upper_median(df: DataFrame, keys: list[str], value: str, weight: str | None = None, width: int = 1000) -> DataFrame:
-    """Element floor(n / 2) of the sorted values per key, exact, without gathering or sorting a group.
-
-    Values are counted, counts are summed in buckets of `width`, and only the bucket holding the middle is looked into.
-    """
-    v = df.where(F.col(value).isNotNull())
-    counts = v.groupBy(*keys, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_c"))
-    counts = counts.withColumn("_b", F.floor(F.col(value) / width))
-    b = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
-    w = W.partitionBy(*keys).orderBy("_b")
-    b = b.withColumn("_to", F.sum("_bc").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    b = b.withColumn("_mid", F.floor(F.sum("_bc").over(W.partitionBy(*keys)) / 2))
-    b = b.withColumn("_from", F.col("_to") - F.col("_bc"))
-    b = b.where((F.col("_from") <= F.col("_mid")) & (F.col("_mid") < F.col("_to"))).select(*keys, "_b", "_mid", "_from")
-    on = [*keys, "_b"]
-    inside = counts.join(b, on)
-    run = F.sum("_c").over(W.partitionBy(*on).orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    inside = inside.withColumn("_run", F.col("_from") + run)
-    return inside.where(F.col("_run") > F.col("_mid")).groupBy(*keys).agg(F.min(value).alias("median"))
-
-
 def range_stats(scans: DataFrame, feedback: DataFrame, touches: DataFrame, now: datetime, tz: str = "UTC") -> DataFrame:
     """One row per range: users, new users, scans by status, votes, photos and the median camera time.
 
