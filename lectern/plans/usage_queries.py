@@ -20,7 +20,11 @@ cfg AS (SELECT (SELECT max(ts) FROM events) AS now)"""
 
 
 def _scans(spark, d):
-    e = T.raw(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return as_scans(T.raw(spark, d, "events"))
+
+
+def as_scans(events):
+    e = events.withColumn("ts", F.col("ts").cast("timestamp"))
     e = e.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     status = F.create_map(
         *[F.lit(x) for x in ("view", "confident", "purchase", "confident", "click", "ambiguous", "signup", "insufficient", "error", "error")]
@@ -46,7 +50,11 @@ def _touches(spark, d):
 
 
 def _feedback(spark, d):
-    e = _scans(spark, d).where(F.col("event_type").isin("click", "signup"))
+    return as_feedback(_scans(spark, d))
+
+
+def as_feedback(scans):
+    e = scans.where(F.col("event_type").isin("click", "signup"))
     return e.select(
         "id",
         "ts",
