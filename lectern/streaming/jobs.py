@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators import navigate
 from ..operators.locate import LocateConfig, locate
@@ -46,8 +47,8 @@ def new_clients(touches: DataFrame) -> DataFrame:
     return t.groupBy("client").agg(F.min("ts").alias("first_seen"))
 
 
-def rate_limit(requests: DataFrame, limit: int, window_seconds: int) -> DataFrame:
-    """requests (key, ts, id) with `allowed`. The state of a key is its window's end and count, and expires with it.
+def rate_limit(requests: DataFrame, limit: int, window_seconds: int, late: str = LATE) -> DataFrame:
+    """requests (key, ts, id) with `allowed`. The state of a key is its window's end and count, and expires after it.
 
     Requests count in order of arrival; inside a batch, of their time.
     """
@@ -66,14 +67,14 @@ def rate_limit(requests: DataFrame, limit: int, window_seconds: int) -> DataFram
             count += 1
             allowed.append(count <= limit)
         state.update((reset, count))
-        state.setTimeoutDuration(window_seconds * 1000)
+        state.setTimeoutTimestamp(max(reset // 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"key": key[0], "id": rows["id"].to_numpy(), "allowed": allowed})
 
     key_type = requests.schema["key"].dataType.simpleString()
     id_type = requests.schema["id"].dataType.simpleString()
-    r = requests.select("key", "id", F.unix_micros("ts").alias("t"))
+    r = requests.withWatermark("ts", late).select("key", "id", "ts", F.unix_micros("ts").alias("t"))
     return r.groupBy("key").applyInPandasWithState(
-        step, f"key {key_type}, id {id_type}, allowed boolean", "reset bigint, count bigint", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, f"key {key_type}, id {id_type}, allowed boolean", "reset bigint, count bigint", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -135,7 +136,7 @@ def run_to_table(df: DataFrame, mode: str = "append") -> DataFrame:
 
     q = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.read.schema(df.schema.add("batch", "bigint")).parquet(f"{path}/out")
+    return df.sparkSession.read.schema(StructType([*df.schema.fields, StructField("batch", LongType())])).parquet(f"{path}/out")
 
 
 def latest(table: DataFrame, keys: list[str]) -> DataFrame:
