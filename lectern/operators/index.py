@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.distance import may_be_similar, word_similarity
 from ..functions.profile import LATIN, Profile
 from ..functions.text import tokenize, trigrams
-from ..session import spread
+from ..session import checkpoint, fits, spread
 
 BLOCK = 64
 """Words per row of the blocked corpus."""
@@ -21,6 +21,11 @@ def corpus_words(documents: DataFrame, p: Profile = LATIN) -> DataFrame:
     return documents.select("doc_id", F.posexplode(toks).alias("pos", "word"))
 
 
+def corpus_docs(documents: DataFrame, p: Profile = LATIN) -> DataFrame:
+    """doc_id, toks: one row per document."""
+    return documents.select("doc_id", tokenize(F.replace(F.col("text"), F.lit("?"), F.lit(" ")), p).alias("toks"))
+
+
 def corpus_blocks(documents: DataFrame, p: Profile = LATIN, size: int = BLOCK) -> DataFrame:
     """The corpus as rows of `size` words keyed by (doc_id, block), for cutting windows without a shuffle of words."""
     d = documents.select("doc_id", tokenize(F.replace(F.col("text"), F.lit("?"), F.lit(" ")), p).alias("toks"))
@@ -59,52 +64,72 @@ def summary(words: DataFrame, exact: bool = True) -> DataFrame:
     return words.agg(F.count(F.lit(1)).alias("words"), distinct.alias("forms"))
 
 
-def fuzzy_matches(
-    tokens: DataFrame,
-    vocab: DataFrame,
-    p: Profile = LATIN,
-    min_similarity: float = 0.62,
-    max_length_delta: int = 2,
-) -> DataFrame:
-    """(token, form, similarity) for forms sharing a third of the token's trigrams and similar enough.
+BROADCAST_ROWS = 1_000_000
+"""Most rows sent to every task; beyond it the shuffled forms run."""
 
-    A form must share `need` trigrams, so it shares at least one outside any set of trigrams whose shared count cannot
-    reach `need`. Leaving the token's most frequent trigrams in that set (an exact prefix filter) means the hot ones
-    are never joined. Form length is part of the join key, which splits the rest.
+
+def _pairs_in_place(tg: DataFrame, forms: DataFrame, max_length_delta: int) -> DataFrame:
+    """token, form, need, shared: trigrams shared by each pair, counted where the forms lie.
+
+    The vocabulary is already partitioned by form and the token trigrams (few, checked) go to every task, so counting
+    per (form, token) needs no shuffle of pairs.
     """
-    forms = vocab.where(F.length("word") > 0).select(F.col("word").alias("form"), F.length("word").alias("flen"))
-    fg = forms.select("form", "flen", F.explode(trigrams("form")).alias("gram"))
+    fg = spread(forms, "word").select(F.col("word").alias("form"), F.explode(trigrams("word")).alias("gram"))
+    j = fg.join(F.broadcast(tg), "gram").where(F.abs(F.length("form") - F.col("tlen")) <= max_length_delta)
+    return j.groupBy("form", "token", "need").agg(F.sum("tm").alias("shared"))
+
+
+def _pairs_by_prefix(tg: DataFrame, forms: DataFrame, max_length_delta: int) -> DataFrame:
+    """token, form, need, shared: trigrams shared by each pair, by a shuffled join on the rarer trigrams.
+
+    A form must share `need` trigrams, so it shares one outside any set of trigrams whose shared count cannot reach
+    `need`. Leaving the token's most frequent trigrams in that set (an exact prefix filter) means the hot ones are never
+    joined. Form length is part of the join key, which splits the rest.
+    """
+    fg = forms.select(F.col("word").alias("form"), F.length("word").alias("flen"), F.explode(trigrams("word")).alias("gram"))
     fg = fg.groupBy("gram", "flen", "form").agg(F.count(F.lit(1)).alias("fm"))
     stats = fg.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.max("fm").alias("fmax"))
-
-    tok = tokens.select("token").distinct().where(F.length("token") >= 3)
-    tok = tok.select("token", F.length("token").alias("tlen"), trigrams("token").alias("grams"))
-    tok = tok.withColumn("need", F.greatest(F.lit(1), F.ceil((F.size("grams") - 1) / F.lit(3.0))).cast("int"))
-    tg = tok.select("token", "tlen", "need", F.explode("grams").alias("gram"))
-    tg = tg.where(~F.col("gram").contains("?")).groupBy("token", "tlen", "need", "gram").agg(
-        F.count(F.lit(1)).alias("tm")
-    )
-    tg = tg.join(stats, "gram")
     frequent_first = W.partitionBy("token").orderBy(F.desc("df"), "gram")
     reach = F.sum(F.col("tm") * F.col("fmax")).over(frequent_first.rowsBetween(W.unboundedPreceding, 0))
-    prefix = tg.withColumn("reach", reach).where(F.col("reach") >= F.col("need"))
+    prefix = tg.join(stats, "gram").withColumn("reach", reach).where(F.col("reach") >= F.col("need"))
     lens = F.sequence(F.col("tlen") - max_length_delta, F.col("tlen") + max_length_delta)
     prefix = prefix.select("token", "need", "gram", F.explode(lens).alias("flen"))
-
     pairs = (
         spread(prefix, "gram", "flen")
         .join(spread(fg.select("gram", "flen", "form"), "gram", "flen"), ["gram", "flen"])
-        .where(F.col("token") != F.col("form"))
-        .where(may_be_similar("token", "form", 1 - min_similarity, p))
-        .select("token", "need", "form")
-        .distinct()
+        .groupBy("token", "need", "form")
+        .agg(F.count(F.lit(1)).alias("hits"))
+        .where(F.col("hits") > 0)
     )
     occurrences = F.transform(
         F.filter(trigrams("token"), lambda g: ~F.contains(g, F.lit("?"))),
         lambda g: F.size(F.filter(F.col("fgrams"), lambda x: x == g)),
     )
     shared = F.aggregate(occurrences, F.lit(0), lambda a, x: a + x)
-    pairs = pairs.withColumn("fgrams", trigrams("form")).where(shared >= F.col("need")).drop("fgrams")
+    return pairs.withColumn("fgrams", trigrams("form")).withColumn("shared", shared)
+
+
+def fuzzy_matches(
+    tokens: DataFrame,
+    vocab: DataFrame,
+    p: Profile = LATIN,
+    min_similarity: float = 0.62,
+    max_length_delta: int = 2,
+) -> DataFrame:
+    """(token, form, similarity) for forms sharing a third of the token's trigrams and similar enough."""
+    tok = tokens.select("token").distinct().where(F.length("token") >= 3)
+    tok = tok.select("token", F.length("token").alias("tlen"), trigrams("token").alias("grams"))
+    tok = tok.withColumn("need", F.greatest(F.lit(1), F.ceil((F.size("grams") - 1) / F.lit(3.0))).cast("int"))
+    tg = tok.select("token", "tlen", "need", F.explode("grams").alias("gram"))
+    tg = tg.where(~F.col("gram").contains("?")).groupBy("token", "tlen", "need", "gram").agg(F.count(F.lit(1)).alias("tm"))
+    forms = vocab.where(F.length("word") > 0)
+    if fits(tg, BROADCAST_ROWS):
+        pairs = _pairs_in_place(tg, forms, max_length_delta)
+    else:
+        pairs = _pairs_by_prefix(tg, forms, max_length_delta)
+    # One condition on the count, so that the optimizer cannot move the distance bound below the aggregation.
+    near = (F.col("token") != F.col("form")) & may_be_similar("token", "form", 1 - min_similarity, p)
+    pairs = checkpoint(pairs.where(F.when(F.col("shared") >= F.col("need"), near).otherwise(False)).select("token", "form"))
     sim = word_similarity("token", "form", 1 - min_similarity, p)
     return (
         spread(pairs)

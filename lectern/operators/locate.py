@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions.profile import LATIN, Profile
 from ..functions.text import tokenize
-from ..session import spread
+from ..session import checkpoint, fits, spread
 from . import align
-from .index import BLOCK, corpus_blocks, corpus_words, fuzzy_candidates, vocabulary
+from .index import BLOCK, BROADCAST_ROWS, corpus_blocks, corpus_docs, corpus_words, fuzzy_candidates, vocabulary
 from .joins import salted_join
+from .votes import local_top_bins
 
 
 @dataclass(frozen=True)
@@ -119,6 +120,21 @@ def vote_origins(tokens: DataFrame, candidates: DataFrame, words: DataFrame, voc
     )
 
 
+def leading_bins(tokens: DataFrame, candidates: DataFrame, documents: DataFrame, vocab: DataFrame, cfg: LocateConfig) -> DataFrame:
+    """query_id, doc_id, bin, score of every bin that can be among a query's best `bins_to_rank`.
+
+    With few enough candidate weights each task counts its own documents and keeps its best bins; with more, all votes
+    are shuffled. Both give the same best bins.
+    """
+    weights = candidate_weights(tokens, candidates, cfg)
+    if fits(weights, BROADCAST_ROWS):
+        docs = corpus_docs(documents, cfg.profile)
+        best = local_top_bins(docs, weights.toPandas(), cfg.bins_to_rank, cfg.bin_width)
+        score = F.col("halves") * F.lit(cfg.neighbor_weight) / F.lit(float(VOTE_UNIT))
+        return best.select("query_id", "doc_id", "bin", score.alias("score"))
+    return vote_origins(tokens, candidates, corpus_words(documents, cfg.profile), vocab, cfg)
+
+
 def top_bins(bins: DataFrame, cfg: LocateConfig) -> DataFrame:
     """query_id, rank, doc_id, bin, score: strongest bins, none within `nms_distance` of a stronger one."""
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "bin")
@@ -295,12 +311,13 @@ class Located:
 def locate(query_lines: DataFrame, documents: DataFrame, cfg: LocateConfig = LocateConfig()) -> Located:
     p = cfg.profile
     words = corpus_words(documents, p)
-    vocab = vocabulary(words)
+    # Used by several stages and small next to the corpus: computed once.
+    vocab = checkpoint(vocabulary(words))
     queries = query_arrays(query_lines, p)
-    tokens = query_tokens(query_lines, p)
-    candidates = fuzzy_candidates(tokens, vocab, p)
-    bins = vote_origins(tokens, candidates, words, vocab, cfg)
-    top = top_bins(bins, cfg)
+    tokens = checkpoint(query_tokens(query_lines, p))
+    candidates = checkpoint(fuzzy_candidates(tokens, vocab, p))
+    bins = leading_bins(tokens, candidates, documents, vocab, cfg)
+    top = checkpoint(top_bins(bins, cfg))
     windows = window_words(window_spans(top, queries, cfg), corpus_blocks(documents, p))
     alignments = local_align(windows, queries, cfg)
     deduped = dedupe_overlaps(alignments)

@@ -1,0 +1,106 @@
+"""Votes counted where the text lies.
+
+All votes for a bin come from one document, so a task that holds the document can count them without a shuffle and send
+on only the bins that may still be among the best of a query. The candidate weights go to every task; the caller checks
+their size first and uses the shuffled form (`locate.vote_origins`) beyond it.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+CHUNK = 3_000_000
+"""Votes expanded at once in a task."""
+PAD = 4
+"""Empty bins between documents, so that neighbors never meet."""
+
+
+def _sum_by_key(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(key, kind="stable")
+    key, value = key[order], value[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.add.reduceat(value, first)
+
+
+class _Best:
+    """The `keep` best bins per query seen so far: score down, then document and bin up."""
+
+    def __init__(self, queries: int, keep: int):
+        self.keep = keep
+        self.floor = np.zeros(queries, np.int64)
+        self.rows = np.zeros((0, 4), np.int64)
+
+    def add(self, q: np.ndarray, score: np.ndarray, doc: np.ndarray, b: np.ndarray) -> None:
+        fit = score >= self.floor[q]
+        rows = np.concatenate([self.rows, np.stack([q[fit], -score[fit], doc[fit], b[fit]], axis=1)])
+        rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
+        start = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])) if len(rows) else np.zeros(0, int)
+        size = np.diff(np.append(start, len(rows)))
+        place = np.arange(len(rows)) - np.repeat(start, size)
+        self.rows = rows[place < self.keep]
+        full = size >= self.keep
+        last = rows[start[full] + self.keep - 1]
+        self.floor[last[:, 0]] = -last[:, 1]
+
+
+def local_top_bins(documents: DataFrame, weights: pd.DataFrame, keep: int, bin_width: int) -> DataFrame:
+    """query_id, doc_id, bin, halves: per task, the `keep` best bins of every query over its documents (doc_id, toks).
+
+    `weights`: query_id, k, word, votes. `halves` counts two for a vote and one for a vote in a neighbor bin.
+    """
+    w = weights.sort_values("word", kind="stable")
+    names, first, count = np.unique(w["word"].to_numpy(str), return_index=True, return_counts=True)
+    ids, q = np.unique(w["query_id"].to_numpy(np.int64), return_inverse=True)
+    shared = documents.sparkSession.sparkContext.broadcast(
+        (
+            {n: i for i, n in enumerate(names.tolist())},
+            first,
+            count,
+            q.astype(np.int64),
+            w["k"].to_numpy(np.int64),
+            w["votes"].to_numpy(np.int64),
+            ids,
+        )
+    )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, first, count, q, k, votes, ids = shared.value
+        best = _Best(len(ids), keep)
+        low = -(int(k.max()) // bin_width + 1) - PAD if len(k) else -PAD
+        for pdf in batches:
+            docs = pdf["doc_id"].to_numpy(np.int64)
+            lens = np.array([len(t) for t in pdf["toks"]], np.int64)
+            code = np.fromiter((number.get(x, -1) for t in pdf["toks"] for x in t), np.int64, int(lens.sum()))
+            doc = np.repeat(np.arange(len(docs)), lens)
+            pos = np.arange(len(code)) - np.repeat(np.cumsum(lens) - lens, lens)
+            known = code >= 0
+            code, doc, pos = code[known], doc[known], pos[known]
+            reach = np.cumsum(count[code])
+            begin = 0
+            while begin < len(code):
+                done = reach[begin - 1] if begin else 0
+                room = CHUNK if best.floor.any() else CHUNK // 10
+                end = int(np.searchsorted(reach, done + room, "right"))
+                # whole documents only: a bin must not be counted in two parts
+                end = int(np.searchsorted(doc, doc[max(end - 1, begin)], "right"))
+                c, n = code[begin:end], count[code[begin:end]]
+                at = np.repeat(first[c] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                b = (np.repeat(pos[begin:end], n) - k[at]) // bin_width - low
+                width = int(b.max()) + 2 * PAD
+                d0 = int(doc[begin])
+                span = int(doc[end - 1]) - d0 + 1
+                key = (q[at] * span + np.repeat(doc[begin:end] - d0, n)) * width + b
+                key, value = _sum_by_key(key, votes[at])
+                key, value = _sum_by_key(np.concatenate([key, key - 1, key + 1]), np.concatenate([2 * value, value, value]))
+                qd, b = np.divmod(key, width)
+                qq, dd = np.divmod(qd, span)
+                best.add(qq, value, docs[dd + d0], b + low)
+                begin = end
+        r = best.rows
+        yield pd.DataFrame({"query_id": ids[r[:, 0]], "doc_id": r[:, 2], "bin": r[:, 3], "halves": -r[:, 1]})
+
+    return documents.select("doc_id", "toks").mapInPandas(run, "query_id bigint, doc_id bigint, bin bigint, halves bigint")

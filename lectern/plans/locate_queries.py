@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import pair_kind
 from ..operators import index, locate
+from ..session import checkpoint
 from . import sql as S
 from . import tables as T
 from .registry import registry as R
@@ -116,7 +117,8 @@ def _(spark, d):
 
 @R.query("fuzzy_candidates", S.ctes(TOKENS, FUZZY) + "SELECT token, form, similarity, n, round(idf, 6) AS idf FROM cands")
 def _(spark, d):
-    c = index.fuzzy_candidates(locate.query_tokens(T.query_lines(spark, d)), index.vocabulary(T.words(spark, d)))
+    vocab = checkpoint(index.vocabulary(T.words(spark, d)))
+    c = index.fuzzy_candidates(locate.query_tokens(T.query_lines(spark, d)), vocab)
     return c.select("token", "form", "similarity", "n", F.round("idf", 6).alias("idf"))
 
 
@@ -138,7 +140,10 @@ HALVES = lambda c: F.round(c * (2 * locate.VOTE_UNIT)).cast("bigint")  # noqa: E
     S.ctes(TOKENS, FUZZY, VOTES) + "SELECT query_id, doc_id, count(*) AS bins, sum(halves)::BIGINT AS votes, max(halves) AS best FROM bins GROUP BY ALL",
 )
 def _(spark, d):
-    b = located(spark, d).bins
+    w = T.words(spark, d)
+    vocab = checkpoint(index.vocabulary(w))
+    tokens = locate.query_tokens(T.query_lines(spark, d))
+    b = locate.vote_origins(tokens, index.fuzzy_candidates(tokens, vocab), w, vocab, CFG)
     return b.groupBy("query_id", "doc_id").agg(
         F.count(F.lit(1)).alias("bins"), F.sum(HALVES(F.col("score"))).alias("votes"), F.max(HALVES(F.col("score"))).alias("best")
     )

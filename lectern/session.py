@@ -51,3 +51,8 @@ def parallel_input(df: DataFrame) -> DataFrame:
     """Spread an input that arrives in fewer partitions than there are cores (one small file); leave others alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def fits(df: DataFrame, rows: int) -> bool:
+    """Whether `df` has at most `rows` rows, reading no further than that: the check before a broadcast."""
+    return df.limit(rows + 1).count() <= rows
