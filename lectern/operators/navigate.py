@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import js_round
+from ..session import checkpoint
 from .joins import point_in_interval
 from .placement import POINT_BLOCK, slice_text, text_offset
 
@@ -102,7 +103,8 @@ def moves(placements: DataFrame, targets: DataFrame, columns: DataFrame) -> Data
 
 def navigate(placements: DataFrame, targets: DataFrame, ref: dict[str, DataFrame]) -> DataFrame:
     """placements (with `learned` words per column or null) x their targets (query_id, target_id, word)."""
-    m = moves(placements, targets, ref["columns"])
+    # One row per target, read by every tier of the arrival line: computed once.
+    m = checkpoint(moves(placements, targets, ref["columns"]))
     hint = line_hint(m.where("here"), ref["words"], ref["lines"])
     out = m.join(hint, ["query_id", "target_id"], "left")
     return out.withColumn("columns_exact", F.coalesce("columns_exact", "line_exact")).select(

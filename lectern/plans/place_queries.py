@@ -169,7 +169,22 @@ hint AS (SELECT hl.query_id, hl.target_id, coalesce(line_no, coalesce(fl, 1) + r
 NAV_ALL = S.ctes(S.DOC_TOKS, SPANS, C.LINES, C.RAWS, C.QUEUE, C.OPENS, C.VERSES, C.LINE_TABLE, PLACED, NAV)
 
 
+_kept: dict[tuple, object] = {}
+
+
+def keep(spark, d, name, build):
+    """A small table several stages read, planned once per session and kept (on disk beyond memory)."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _kept:
+        _kept[key] = build().persist()
+    return _kept[key]
+
+
 def placements(spark, d):
+    return keep(spark, d, "placements", lambda: _placements(spark, d))
+
+
+def _placements(spark, d):
     r = ref(spark, d)
     s = placement.estimate_layout(spans(spark, d))
     col = placement.first_line(placement.standard_column(s.drop("n"), r["columns"]), r["lines"])
@@ -195,7 +210,8 @@ MOVE = ["query_id", "target_id", "status", "direction", "word_delta"]
 
 
 def _moves(spark, d):
-    return navigate.moves(placements(spark, d), nav_targets(spark, d), T.corpus_of(spark, d).columns)
+    build = lambda: navigate.moves(placements(spark, d), nav_targets(spark, d), T.corpus_of(spark, d).columns)
+    return keep(spark, d, "moves", build)
 
 
 @R.query("here_or_move", NAV_ALL + f"SELECT {', '.join(MOVE)} FROM mv")
