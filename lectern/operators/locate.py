@@ -69,7 +69,8 @@ def query_arrays(query_lines: DataFrame, p: Profile = LATIN) -> DataFrame:
     """
     lines = query_lines.select("query_id", "line_no", tokenize("text", p).alias("toks"))
     q = lines.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "toks"))).alias("ls"))
-    nested = F.transform("ls", lambda x: F.transform(x["toks"], lambda _: x["line_no"]))
+    # Lines are counted from 0 in reading order, whatever their numbers (a noisy reading may miss some).
+    nested = F.transform("ls", lambda x, i: F.transform(x["toks"], lambda _: i))
     return q.select(
         "query_id",
         F.size("ls").alias("n_lines"),

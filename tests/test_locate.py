@@ -1,8 +1,6 @@
 import random
 
-import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from lectern.functions.distance import similarity_batch
 from lectern.operators import align, index, locate
@@ -95,3 +93,8 @@ def test_top_bins_suppress_neighbors(spark):
     b = spark.createDataFrame(rows, "query_id bigint, doc_id bigint, bin bigint, score double")
     got = [(r.doc_id, r.bin) for r in locate.top_bins(b, locate.LocateConfig()).orderBy("rank").collect()]
     assert got == [(0, 10), (1, 11), (0, 13), (0, 40)]
+
+
+def test_line_numbers_may_have_gaps(spark):
+    q = spark.createDataFrame([(1, 7, "ba ke"), (1, 12, "lo")], "query_id bigint, line_no int, text string")
+    assert [(r.k, r.line_no) for r in locate.query_tokens(q).orderBy("k").collect()] == [(0, 0), (1, 0), (2, 1)]
