@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import url_rules
-from lectern.llm.common import read
+from lectern.llm import language, top_k, url_rules
+from lectern.llm.common import held_out, read
 from lectern.plans.registry import Registry
 
 registry = Registry()
@@ -34,3 +35,31 @@ FROM parts LEFT JOIN best ON parts.host = best.host AND parts.path = best.path
 @registry.query("op4_url_filter", URL_SQL)
 def url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_rules.judge(read(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@registry.query("op2_language_id")
+def language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    net = language.train(docs.where(~held_out()))
+    return language.predict(docs.select("doc_id", "text"), net).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+dims AS (SELECT vec_id, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS x FROM v),
+scores AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(sum(a.x * b.x) AS BIGINT) AS score
+  FROM dims a JOIN dims b ON a.i = b.i AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@registry.query("op6_exact_top_k", TOP_K_SQL)
+def exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read(spark, folder, "embeddings").where(top_k.usable(F.col("embedding")))
+    rows = rows.select("vec_id", top_k.whole_numbers(F.col("embedding")).alias("vector"))
+    return top_k.top_k(rows, rows.where("vec_id % 100 = 0"), 10)
