@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import language, top_k, url_rules
+from lectern.llm import decontaminate, language, top_k, url_rules
 from lectern.llm.common import held_out, read
 from lectern.plans.registry import Registry
 
@@ -63,3 +63,16 @@ def exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     rows = read(spark, folder, "embeddings").where(top_k.usable(F.col("embedding")))
     rows = rows.select("vec_id", top_k.whole_numbers(F.col("embedding")).alias("vector"))
     return top_k.top_k(rows, rows.where("vec_id % 100 = 0"), 10)
+
+
+@registry.query("op3_decontamination")
+def decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.find(read(spark, folder, "documents").select("doc_id", "text"), read(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        decontaminate.n_hit().alias("n_hit"),
+        F.size("item_ids").cast("long").alias("n_items"),
+        decontaminate.item_digest().alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"),
+    )
