@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, language, top_k, url_rules
+from lectern.llm import decontaminate, language, quality, top_k, url_rules
 from lectern.llm.common import held_out, read
 from lectern.plans.registry import Registry
 
@@ -76,3 +76,11 @@ def decontamination(spark: SparkSession, folder: str) -> DataFrame:
         decontaminate.item_digest().alias("items_sha256"),
         decontaminate.contaminated().alias("contaminated"),
     )
+
+
+@registry.query("op8_quality")
+def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    labels = read(spark, folder, "labels").select("doc_id", "quality")
+    model = quality.train(docs, labels.where(~held_out()))
+    return quality.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
