@@ -46,7 +46,7 @@ KIND = _kinds()
 class Sampling:
     """Bounds of the training sample: documents per label, and characters of the excerpt that is learned from."""
 
-    per_label: int = 2500
+    per_label: int = 1000
     chars: int = 6000
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, language, quality, top_k, url_rules
+from lectern.llm import decontaminate, html_text, language, quality, top_k, url_rules
 from lectern.llm.common import held_out, read
 from lectern.plans.registry import Registry
 
@@ -84,3 +84,10 @@ def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
     labels = read(spark, folder, "labels").select("doc_id", "quality")
     model = quality.train(docs, labels.where(~held_out()))
     return quality.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@registry.query("op9_main_text")
+def main_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read(spark, folder, "pages")
+    found = html_text.extract(pages.select("page_id", "url", "html"), html_text.train(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
