@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, html_text, language, quality, top_k, url_rules
+from lectern.llm import decontaminate, html_text, language, line_templates, quality, top_k, url_rules
 from lectern.llm.common import held_out, read
 from lectern.plans.registry import Registry
 
@@ -91,3 +91,42 @@ def main_text(spark: SparkSession, folder: str) -> DataFrame:
     pages = read(spark, folder, "pages")
     found = html_text.extract(pages.select("page_id", "url", "html"), html_text.train(pages))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+LINES_SQL = """
+WITH raw AS (SELECT doc_id, text, unnest(range(len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS body FROM documents WHERE text IS NOT NULL),
+lines AS (
+  SELECT doc_id, line, list_transform(list_filter(string_split_regex(body, '[ \\t-\\r]+'), lambda t: t <> ''),
+    lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS toks FROM raw),
+keyed AS (SELECT doc_id, line, toks, len(toks) AS n, len(toks) || ' ' || array_to_string(toks[1:3], ' ') AS leaf FROM lines WHERE len(toks) >= 2),
+leaves AS (SELECT leaf FROM keyed GROUP BY leaf HAVING count(DISTINCT doc_id) >= 3),
+cand AS (SELECT keyed.* FROM keyed JOIN leaves USING (leaf)),
+kinds AS (SELECT leaf, toks, n, count(DISTINCT doc_id) AS docs FROM cand GROUP BY 1, 2, 3),
+mixed AS (SELECT leaf FROM kinds GROUP BY leaf HAVING count(*) > 1 AND min(docs) < 3),
+places AS (SELECT leaf, toks, docs, unnest(range(1, n + 1)) AS place, unnest(toks) AS token FROM kinds WHERE leaf IN (SELECT leaf FROM mixed)),
+fixed AS (SELECT leaf, place, token FROM places GROUP BY 1, 2, 3 HAVING sum(docs) >= 3 AND token <> '<*>'),
+shaped AS (
+  SELECT leaf, toks, string_agg(place || '=' || token, ' ' ORDER BY place) AS shape, count(*) AS kept
+  FROM places JOIN fixed USING (leaf, place, token) GROUP BY 1, 2
+  UNION ALL
+  SELECT leaf, toks, array_to_string(toks, ' '), len(list_filter(toks, lambda t: t <> '<*>')) FROM kinds
+  WHERE docs >= 3 AND leaf NOT IN (SELECT leaf FROM mixed)),
+marked AS (
+  SELECT doc_id, line, cand.leaf, shape FROM cand JOIN shaped ON cand.leaf = shaped.leaf AND cand.toks = shaped.toks
+  WHERE kept = n OR (n >= 5 AND kept >= 0.75 * n)),
+recurring AS (SELECT leaf, shape, min(doc_id) AS d FROM marked GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 3),
+firsts AS (SELECT leaf, shape, d, min(line) AS l FROM marked JOIN recurring USING (leaf, shape) WHERE doc_id = d GROUP BY 1, 2, 3),
+gone AS (SELECT DISTINCT doc_id, line FROM marked JOIN firsts USING (leaf, shape) WHERE NOT (doc_id = d AND line = l)),
+rest AS (
+  SELECT raw.doc_id, count(*) AS n_lines, count(gone.line) AS n_dropped,
+    coalesce(string_agg(body, chr(10) ORDER BY raw.line) FILTER (WHERE gone.line IS NULL), '') AS kept
+  FROM raw LEFT JOIN gone ON raw.doc_id = gone.doc_id AND raw.line = gone.line GROUP BY 1)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN rest ON d.doc_id = rest.doc_id
+"""
+
+
+@registry.query("op1_line_dedup", LINES_SQL)
+def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = line_templates.drop_recurring(read(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
