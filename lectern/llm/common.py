@@ -34,15 +34,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def text_chunks(frame: pd.DataFrame, column: str = "text") -> Iterator[pd.DataFrame]:
-    """Consecutive rows of at most about `CHUNK_CHARS` characters together; every row is in exactly one."""
+def text_chunks(frame: pd.DataFrame, column: str = "text", chars: int = CHUNK_CHARS) -> Iterator[pd.DataFrame]:
+    """Consecutive rows of at most about `chars` characters together; every row is in exactly one."""
     if len(frame) == 0:
         return
     ends = np.cumsum(frame[column].str.len().fillna(0).to_numpy(dtype=np.int64) + 1)
     start = 0
     while start < len(frame):
         base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + CHUNK_CHARS, side="right")))
+        stop = max(start + 1, int(np.searchsorted(ends, base + chars, side="right")))
         yield frame.iloc[start:stop].reset_index(drop=True)
         start = stop
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, html_text, language, line_templates, quality, top_k, url_rules
+from lectern.llm import decontaminate, html_text, language, line_templates, quality, segmentations, top_k, url_rules
 from lectern.llm.common import held_out, read
 from lectern.plans.registry import Registry
 
@@ -130,3 +130,11 @@ FROM documents d LEFT JOIN rest ON d.doc_id = rest.doc_id
 def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = line_templates.drop_recurring(read(spark, folder, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@registry.query("op10_segmentations")
+def sampled_segmentations(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text", F.xxhash64("text").alias("before"))
+    found = segmentations.decode(segmentations.encode(docs))
+    exact = F.xxhash64("text") == F.col("before")
+    return found.select("doc_id", "rank", "n_pieces", "log_prob", "inclusion", "ids", exact.alias("exact"))
