@@ -8,10 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.session import checkpoint
 
-__all__ = ["checkpoint", "held_out", "read", "release", "text_chunks", "mix64"]
+__all__ = ["checkpoint", "held_out", "mix64", "plain", "read", "release", "restored", "text_chunks"]
 
 #: Text handed to one numpy step; a longer single text is a step of its own.
 CHUNK_CHARS = 4_000_000
@@ -53,3 +54,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """`df` with whole-number columns as strings: pandas would turn those with nulls into doubles and lose digits."""
+    return df.select(*[F.col(f"`{f.name}`").cast("string").alias(f.name) if isinstance(f.dataType, WHOLE) else F.col(f"`{f.name}`") for f in df.schema])
+
+
+def restored(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Undo `plain` for the columns that `df` shares with `schema`."""
+    types = {f.name: f.dataType for f in schema if isinstance(f.dataType, WHOLE)}
+    return df.select(*[F.col(f"`{c}`").cast(types[c]).alias(c) if c in types else F.col(f"`{c}`") for c in df.columns])

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import checkpoint, text_chunks
+from lectern.llm.common import checkpoint, plain, restored, text_chunks
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -173,6 +173,7 @@ def find(docs: DataFrame, items: DataFrame, item_id: str = "item_id", text: str
 
 def _pass(docs: DataFrame, automaton: Automaton, text: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(automaton)
+    before, docs = docs.schema, plain(docs)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
@@ -184,12 +185,12 @@ def _pass(docs: DataFrame, automaton: Automaton, text: str) -> DataFrame:
                     hit, found = own.scan(seq)
                     for a, b in before:
                         hit[a:b] = True
-                    counts.append(len(seq))
+                    counts.append(str(len(seq)))
                     spans.append(_spans(hit))
                     names.append(sorted({*known, *found}))
                 yield part.assign(n_words=counts, hit_spans=spans, item_ids=names)
 
-    return docs.mapInPandas(run, docs.schema)
+    return restored(docs.mapInPandas(run, docs.schema), before)
 
 
 def _spans(hit: np.ndarray) -> list[list[int]]:
@@ -213,8 +214,8 @@ def remove_spans(docs: DataFrame, text: str = "text", min_words: int = WINDOW) -
         for frame in frames:
             yield frame.assign(**{text: [_without(t, s, min_words) for t, s in zip(frame[text], frame["hit_spans"], strict=True)]})
 
-    clean = docs.where(~contaminated())
-    return clean.mapInPandas(run, docs.schema)
+    clean = plain(docs.where(~contaminated()))
+    return restored(clean.mapInPandas(run, clean.schema), docs.schema)
 
 
 def _without(body: str | None, spans: list[list[int]], min_words: int) -> str | None:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm import html_examples
-from lectern.llm.common import text_chunks
+from lectern.llm.common import plain, restored, text_chunks
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style head title template noscript iframe object svg math canvas audio video".split())
@@ -312,6 +312,8 @@ def main_texts(pages: list[str | None], w: Weights) -> list[str]:
 def extract(pages: DataFrame, w: Weights, html: str = "html", text: str = "text") -> DataFrame:
     """`pages` without `html` and with its main text."""
     kept = [c for c in pages.columns if c not in (html, text)]
+    before = pages.select(*kept).schema
+    pages = plain(pages.select(*kept, F.col(html).alias("_html")))
     schema = T.StructType([pages.schema[c] for c in kept]).add(text, T.StringType())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -320,4 +322,4 @@ def extract(pages: DataFrame, w: Weights, html: str = "html", text: str = "text"
                 bodies = [t if isinstance(t, str) else None for t in part["_html"]]
                 yield part.drop(columns="_html").assign(**{text: main_texts(bodies, w)})
 
-    return pages.select(*kept, F.col(html).alias("_html")).mapInPandas(run, schema)
+    return restored(pages.mapInPandas(run, schema), before)

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import text_chunks
+from lectern.llm.common import plain, restored, text_chunks
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 8, 256
 UNKNOWN = "und"
@@ -158,7 +158,8 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", sampling
 def predict(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame:
     """`docs` with `lang_pred` and `score`, the mean probability of that language over all windows of the text."""
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    docs = docs.select(*[docs[c] for c in kept], F.coalesce(docs[text].rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
+    before = docs.select(*kept).schema
+    docs = plain(docs.select(*kept)).withColumn("_letter", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     schema = T.StructType([docs.schema[c] for c in kept]).add("lang_pred", T.StringType()).add("score", T.DoubleType())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,4 +175,4 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text") -> DataFra
                     scores[at] = np.clip(means.max(axis=1), 0, 1)
                 yield part.drop(columns="_letter").assign(lang_pred=names, score=scores)
 
-    return docs.mapInPandas(run, schema)
+    return restored(docs.mapInPandas(run, schema), before)

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import text_chunks
+from lectern.llm.common import plain, restored, text_chunks
 
 PASSAGE, PAIRS, HIDDEN, ATTENTION = 512, 64, 24, 12
 NAMED = b" \n.,%&#$*!|?-/@:;\"'()<>[]{}=+_"
@@ -46,7 +46,7 @@ KIND = _kinds()
 class Sampling:
     """Bounds of the training sample: documents per label, and characters of the excerpt that is learned from."""
 
-    per_label: int = 1000
+    per_label: int = 2500
     chars: int = 6000
 
 
@@ -174,10 +174,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
     Ids are chosen from the labels alone, so at most twice `per_label` of them are broadcast to the texts. Rows that
     repeat an id are kept down to the same bound.
     """
-    order = W.partitionBy("label").orderBy("h", key)
+    # Shares of fewer than 1000 rows are cut down in every task before they are shuffled.
+    shares = -(-sampling.per_label // 900)
+    order = W.partitionBy("label", F.pmod("h", F.lit(shares))).orderBy("h", key)
     chosen = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull())
     chosen = chosen.select(key, F.col(label).cast("int").alias("label"), F.xxhash64(key).alias("h"))
-    chosen = chosen.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sampling.per_label)
+    chosen = chosen.withColumn("n", F.row_number().over(order)).where(F.col("n") <= -(-sampling.per_label // shares))
     body = F.coalesce(F.col(text), F.lit(""))
     start = F.pmod(F.xxhash64(body), F.greatest(F.length(body) - sampling.chars, F.lit(0)) + 1) + 1
     excerpts = docs.select(key, body.substr(start.cast("int"), F.lit(sampling.chars)).alias("text"))
@@ -195,7 +197,8 @@ def train(
 def score(docs: DataFrame, model: Model | None, text: str = "text", threshold: float = 0.7) -> DataFrame:
     """`docs` with `score` (likelihood of label 1) and `predicted` (1 from `threshold`)."""
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    docs = docs.select(*kept)
+    before = docs.select(*kept).schema
+    docs = plain(docs.select(*kept))
     schema = T.StructType([docs.schema[c] for c in kept]).add("score", T.DoubleType()).add("predicted", T.IntegerType())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,4 +208,4 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", threshold: f
                 scores = model.scores(bodies).astype(float) if model else np.full(len(part), 0.5)
                 yield part.assign(score=scores, predicted=(scores >= threshold).astype(int))
 
-    return docs.mapInPandas(run, schema)
+    return restored(docs.mapInPandas(run, schema), before)

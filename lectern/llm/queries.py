@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, html_text, language, line_templates, quality, segmentations, top_k, url_rules
+from lectern.llm import decontaminate, html_text, language, line_templates, quality, segmentations, substrings, top_k, url_rules
 from lectern.llm.common import held_out, read
 from lectern.plans.registry import Registry
 
@@ -138,3 +138,9 @@ def sampled_segmentations(spark: SparkSession, folder: str) -> DataFrame:
     found = segmentations.decode(segmentations.encode(docs))
     exact = F.xxhash64("text") == F.col("before")
     return found.select("doc_id", "rank", "n_pieces", "log_prob", "inclusion", "ids", exact.alias("exact"))
+
+
+@registry.query("op5_substring_dedup")
+def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substrings.drop_repeats(read(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import mix64, text_chunks
+from lectern.llm.common import mix64, plain, restored, text_chunks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Nothing that crosses the ends of these is a piece: a word with the space before it, or a control character.
@@ -338,9 +338,11 @@ def encode(docs: DataFrame, k: int = 2, key: str = "doc_id", text: str = "text",
     vocab = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
     names = ("rank", "n_pieces", "log_prob", "inclusion", "ids")
     kept = [c for c in docs.columns if c != text and c not in names]
-    schema = T.StructType([docs.schema[c] for c in kept]).add("rank", T.IntegerType()).add("n_pieces", T.LongType())
+    before = docs.select(*kept).schema
+    rows = plain(docs.select(*kept, F.col(text).alias("_text")))
+    rows = rows.withColumn("_seed", F.xxhash64(F.lit(seed), F.col(key).cast("string")))
+    schema = T.StructType([rows.schema[c] for c in kept]).add("rank", T.IntegerType()).add("n_pieces", T.LongType())
     schema = schema.add("log_prob", T.DoubleType()).add("inclusion", T.DoubleType()).add("ids", T.ArrayType(T.IntegerType()))
-    rows = docs.select(*kept, F.col(text).alias("_text"), F.xxhash64(F.lit(seed), F.col(key).cast("string")).alias("_seed"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -360,7 +362,7 @@ def encode(docs: DataFrame, k: int = 2, key: str = "doc_id", text: str = "text",
                     ids=pd.Series(ids, dtype=object),
                 )
 
-    return rows.mapInPandas(run, schema)
+    return restored(rows.mapInPandas(run, schema), before)
 
 
 def decode(rows: DataFrame, ids: str = "ids", text: str = "text", model: str = MODEL) -> DataFrame:
