@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, html_text, language, line_templates, quality, segmentations, substrings, top_k, url_rules
+from lectern.llm import decontaminate, html_text, language, line_templates, near_dedup, quality, segmentations, substrings, top_k, url_rules
 from lectern.llm.common import held_out, read
 from lectern.plans.registry import Registry
 
@@ -144,3 +144,8 @@ def sampled_segmentations(spark: SparkSession, folder: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = substrings.drop_repeats(read(spark, folder, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@registry.query("op7_near_dedup")
+def near_dedup_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept")
