@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from lectern.session import checkpoint
 
-__all__ = ["checkpoint", "held_out", "mix64", "plain", "read", "release", "restored", "text_chunks"]
+__all__ = ["checkpoint", "held_out", "mix64", "plain", "read", "release", "restored", "shared_folder", "text_chunks"]
 
 #: Text handed to one numpy step; a longer single text is a step of its own.
 CHUNK_CHARS = 4_000_000
@@ -68,3 +68,11 @@ def restored(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Undo `plain` for the columns that `df` shares with `schema`."""
     types = {f.name: f.dataType for f in schema if isinstance(f.dataType, WHOLE)}
     return df.select(*[F.col(f"`{c}`").cast(types[c]).alias(c) if c in types else F.col(f"`{c}`") for c in df.columns])
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as the session names it; a session without one (a test) gets its own."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        checkpoint(spark.range(1))
+    return sc.getCheckpointDir()
