@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate, language, line_templates, near_dedup, segmentations
-from lectern.llm.common import held_out, read, shared_folder
+from lectern.llm.common import held_out, read, shared_folder, shielded
 
 MIN_SCORE, SEGMENTATIONS = 0.3, 2
 ORACLE_SQL = None
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+@shielded(only=COLUMNS)
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; `und` and unsure ones go."""
     net = language.train(docs.where(~held_out()))
@@ -35,6 +37,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return known.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
+@shielded(only=COLUMNS)
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without recurring lines; documents that were nothing else go, untouched ones stay as they are."""
     kept = line_templates.drop_recurring(docs)
@@ -43,6 +46,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("n_chars", chars).select(*docs.columns)
 
 
+@shielded(only=COLUMNS)
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group."""
     groups = near_dedup.near_duplicates(docs)
@@ -56,17 +60,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return once.union(more).select(*docs.columns)
 
 
+@shielded(only=COLUMNS)
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark does not contaminate."""
     found = decontaminate.find(docs, read(spark, sf_dir, "benchmark"))
     return found.where(~decontaminate.contaminated()).select(*docs.columns)
 
 
+@shielded(only=COLUMNS)
 def segmentation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentations, with whether decoding gives the text back."""
-    rows = docs.withColumn("_before", F.xxhash64("text"))
-    found = segmentations.decode(segmentations.encode(rows, SEGMENTATIONS))
-    return found.withColumn("exact", F.xxhash64("text") == F.col("_before")).drop("text", "_before")
+    return segmentations.encode(docs, SEGMENTATIONS)
 
 
 STAGES = [

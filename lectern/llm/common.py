@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+import gc
+import inspect
+import time
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,7 +16,7 @@ from pyspark.sql import types as T
 
 from lectern.session import checkpoint
 
-__all__ = ["checkpoint", "held_out", "mix64", "plain", "read", "release", "restored", "shared_folder", "text_chunks"]
+__all__ = ["checkpoint", "held_out", "mix64", "plain", "read", "release", "restored", "shared_folder", "shielded", "text_chunks"]
 
 #: Text handed to one numpy step; a longer single text is a step of its own.
 CHUNK_CHARS = 4_000_000
@@ -28,18 +32,21 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the driver notice results that nobody holds any more, so that executors drop their shuffle files."""
-    import gc
+    """Let the driver notice results that nobody holds any more, so that executors drop their shuffle files.
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    A plan is held by its data frame and a shuffle by its plan, so it takes more than one collection to get through.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def text_chunks(frame: pd.DataFrame, column: str = "text", chars: int = CHUNK_CHARS) -> Iterator[pd.DataFrame]:
     """Consecutive rows of at most about `chars` characters together; every row is in exactly one."""
     if len(frame) == 0:
         return
-    ends = np.cumsum(frame[column].str.len().fillna(0).to_numpy(dtype=np.int64) + 1)
+    ends = np.cumsum([len(t) + 1 if isinstance(t, str) else 1 for t in frame[column]])
     start = 0
     while start < len(frame):
         base = ends[start - 1] if start else 0
@@ -76,3 +83,35 @@ def shared_folder(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         checkpoint(spark.range(1))
     return sc.getCheckpointDir()
+
+
+def shielded(*names: str, only: tuple[str, ...] | None = None) -> Callable:
+    """Keep a table's own columns apart from the helper columns of an operator, which start with an underscore.
+
+    Columns of the argument `docs` or `pages` with such names (with `only`: all but those named) are renamed on the way
+    in and back on the way out. `names` are the arguments that name columns of it.
+    """
+
+    def wrap(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        signature = inspect.signature(f)
+
+        @functools.wraps(f)
+        def run(*args, **given) -> DataFrame:
+            bound = signature.bind(*args, **given)
+            bound.apply_defaults()
+            at = next(n for n in ("docs", "pages") if n in bound.arguments)
+            df, own = bound.arguments[at], {}
+            for c in df.columns:
+                if c not in only if only is not None else c.startswith("_"):
+                    fresh = f"clash{len(own)}"
+                    while fresh in df.columns:
+                        fresh += "x"
+                    own[c] = fresh
+            bound.arguments[at] = df.withColumnsRenamed(own)
+            for n in names:
+                bound.arguments[n] = own.get(bound.arguments[n], bound.arguments[n])
+            return f(*bound.args, **bound.kwargs).withColumnsRenamed({v: k for k, v in own.items()})
+
+        return run
+
+    return wrap

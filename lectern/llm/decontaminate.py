@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import checkpoint, plain, restored, text_chunks
+from lectern.llm.common import checkpoint, plain, restored, shielded, text_chunks
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -153,6 +153,7 @@ def item_blocks(items: DataFrame, item_id: str, text: str, block_words: int) ->
 SPANS = T.ArrayType(T.ArrayType(T.IntegerType()))
 
 
+@shielded("text")
 def find(docs: DataFrame, items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """`docs` with `n_words`, `hit_spans` (word positions, end excluded) and `item_ids` (strings in order)."""
     kept = [c for c in docs.columns if c not in ("n_words", "hit_spans", "item_ids")]

@@ -14,7 +14,7 @@ WORDS = "the river rose in night and bridge was closed by noon; people from vall
 SHELLS = (
     "<article {}>|</article>",
     "<main {}>|</main>",
-    "<main><article {}>|</article></main>",
+    "<main {}><article>|</article></main>",
     '<div class="content" {}>|</div>',
     '<div id="content" {}>|</div>',
     '<div class="post entry-content" {}>|</div>',
@@ -23,7 +23,7 @@ SHELLS = (
     '<div role="main" class="main-content" {}>|</div>',
     '<div class="story" {}>|</div>',
     '<table><tr><td class="main body" {}>|</td></tr></table>',
-    "<article><div class=\"post-content\" {}>|</div></article>",
+    "<article {}><div class=\"post-content\">|</div></article>",
 )
 BLOCKS = (
     "<p>{long}</p>",

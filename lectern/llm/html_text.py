@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm import html_examples
-from lectern.llm.common import plain, restored, text_chunks
+from lectern.llm.common import plain, restored, shielded, text_chunks
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style head title template noscript iframe object svg math canvas audio video".split())
@@ -38,6 +38,8 @@ TAGS = "root html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl
 TAG = {t: i for i, t in enumerate(TAGS)}
 OFF = frozenset("nav aside header footer form".split())
 BINS, NUMBERS, KINDS = 8192, 7, 4
+#: Characters above which the length of a text says no more about it.
+LONG = 1000
 
 
 @dataclass
@@ -199,7 +201,7 @@ def forest(pages: list[Page]) -> Forest:
         tag += [TAG.get(t, len(TAGS)) for t in page.tag]
         for i in range(n):
             mine = own[i]
-            numbers.append((1, np.log1p(mine) / 5, np.log1p(below[i]) / 8, page.links[i] / (mine + 1), min(marks[i] / (mine + 1) * 20, 2), mine == 0, before[i] / (total + 1)))
+            numbers.append((1, np.log1p(min(mine, LONG)) / 5, np.log1p(min(below[i], 4 * LONG)) / 8, page.links[i] / (mine + 1), min(marks[i] / (mine + 1) * 20, 2), mine == 0, before[i] / (total + 1)))
             for word in page.marks[i]:
                 bin_node.append(base + i)
                 bin_at.append(bin_of(word))
@@ -309,6 +311,7 @@ def main_texts(pages: list[str | None], w: Weights) -> list[str]:
     return ["\n".join(body for node, body in page.parts if p[base + node] >= 0.5) for page, base in zip(parsed, f.first, strict=True)]
 
 
+@shielded("html", "text")
 def extract(pages: DataFrame, w: Weights, html: str = "html", text: str = "text") -> DataFrame:
     """`pages` without `html` and with its main text."""
     kept = [c for c in pages.columns if c not in (html, text)]

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import plain, restored, text_chunks
+from lectern.llm.common import plain, restored, shielded, text_chunks
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 8, 256
 UNKNOWN = "und"
@@ -155,6 +155,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", sampling
     return fit(sample["text"].tolist(), sample["label"].astype(str).tolist())
 
 
+@shielded("text")
 def predict(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame:
     """`docs` with `lang_pred` and `score`, the mean probability of that language over all windows of the text."""
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import plain, restored, text_chunks
+from lectern.llm.common import plain, restored, shielded, text_chunks
 
 PASSAGE, PAIRS, HIDDEN, ATTENTION = 512, 64, 24, 12
 NAMED = b" \n.,%&#$*!|?-/@:;\"'()<>[]{}=+_"
@@ -194,6 +194,7 @@ def train(
     return fit(sample["text"].tolist(), sample["label"].tolist())
 
 
+@shielded("text")
 def score(docs: DataFrame, model: Model | None, text: str = "text", threshold: float = 0.7) -> DataFrame:
     """`docs` with `score` (likelihood of label 1) and `predicted` (1 from `threshold`)."""
     kept = [c for c in docs.columns if c not in ("score", "predicted")]

@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.llm.common import shielded
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -127,6 +129,7 @@ def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
+@shielded()
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = PLACES + PATTERNS) -> DataFrame:
     """`pages` with `host`, `path`, `rule` (null where no place rule fits) and `verdict` (`allow` or `block`)."""
     best = matches(pages, rule_table(pages.sparkSession, rules)).select(
