@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import checkpoint
+from lectern.llm.common import checkpoint, shielded
 
 SPACE = "[ \\t-\\r]"
 #: A token with a digit; matching starts at token starts only, so a long token costs one pass.
@@ -39,18 +39,17 @@ class Tree:
 
 def masked(line: Column) -> Column:
     """Tokens of a line with one space between them; tokens with a digit become the mark of a variable field."""
-    return F.trim(F.regexp_replace(F.regexp_replace(line, FIELD, MARK), f"{SPACE}+", " "))
+    fields = F.when(line.rlike("[0-9]"), F.regexp_replace(line, FIELD, MARK)).otherwise(line)
+    return F.trim(F.regexp_replace(fields, f"{SPACE}{{2,}}|[\\t-\\r]", " "))
 
 
 def lines(docs: DataFrame, text: str, tree: Tree) -> DataFrame:
     """Non-blank lines with their leaf: number of tokens and leading tokens, as hashes."""
-    rows = docs.where(F.col(text).isNotNull()).select(
-        F.col("_id"), F.xxhash64(text).alias("_th"), F.posexplode(F.split(text, "\n")).alias("_line", "_text")
-    )
-    body = masked(F.col("_text"))
-    rows = rows.select("_id", "_th", "_line", body.alias("_body")).where("_body <> ''")
-    rows = rows.withColumn("_n", F.length("_body") - F.length(F.replace("_body", F.lit(" "))) + 1).where("_n >= 2")
-    return rows.withColumn("_leaf", F.xxhash64("_n", F.substring_index("_body", " ", tree.depth)))
+    # Masked before the lines are taken apart, so that no later filter computes it again.
+    bodies = F.transform(F.split(text, "\n"), masked)
+    rows = docs.where(F.col(text).isNotNull()).select("_id", F.xxhash64(text).alias("_th"), F.posexplode(bodies).alias("_line", "_body"))
+    n = F.length("_body") - F.length(F.replace("_body", F.lit(" "))) + 1
+    return rows.where(n >= 2).withColumn("_leaf", F.xxhash64(n, F.substring_index("_body", " ", tree.depth)))
 
 
 def candidates(docs: DataFrame, text: str, tree: Tree) -> DataFrame:
@@ -93,6 +92,7 @@ def dropped(docs: DataFrame, text: str, tree: Tree) -> DataFrame:
     return gone.groupBy("_id", "_th").agg(F.sort_array(F.collect_list("_line")).alias("_gone"))
 
 
+@shielded("doc_id", "text")
 def drop_recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tree: Tree = Tree()) -> DataFrame:
     """`docs` with recurring lines taken out of `text`, and `n_lines` and `n_dropped`."""
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
