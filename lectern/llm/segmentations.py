@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import mix64, plain, restored, text_chunks
+from lectern.llm.common import mix64, plain, restored, shielded, text_chunks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Nothing that crosses the ends of these is a piece: a word with the space before it, or a control character.
@@ -91,8 +91,7 @@ class Vocabulary:
         return Vocabulary(surfaces, np.array(rank), nodes, np.array([known[int(h)] for h in nodes]), byte_ids, longest)
 
     def decode(self, ids: np.ndarray) -> str:
-        surface = self.surfaces
-        return b"".join([surface[i] for i in ids]).decode("utf-8", "replace")[1:]
+        return b"".join(map(self.surfaces.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
 
 
 def step_hash(h: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -110,6 +109,7 @@ class Lattice:
     end: np.ndarray
     ids: np.ndarray  # piece id, or -1 - code point
     logp: np.ndarray  # given the place
+    other: np.ndarray  # log probability of the other edges from the place
     cum: np.ndarray  # probability cumulated over the edges from a place
 
 
@@ -132,7 +132,9 @@ def lattice(words: list[str], vocab: Vocabulary, alpha: float) -> Lattice:
         live = vocab.nodes[node] == h
         piece = np.where(live, vocab.piece[node], -1)
         if length == 1:
-            piece = np.where(piece >= 0, piece, -1 - code[at].astype(np.int64))
+            lost = np.flatnonzero(piece < 0)
+            c = code[at[lost]].astype(np.int64)
+            piece[lost] = np.where(c < 128, vocab.byte_ids[np.minimum(c, 127)], -1 - c)
             levels.append((at, length, piece))
         else:
             found = piece >= 0
@@ -147,38 +149,91 @@ def lattice(words: list[str], vocab: Vocabulary, alpha: float) -> Lattice:
     for where, length, piece in reversed(levels):
         ends[free[where]], ids[free[where]] = where + length, piece
         free[where] += 1
-    code_point = -1 - ids
-    n_bytes = 1 + (code_point > 0x7F) + (code_point > 0x7FF) + (code_point > 0xFFFF)
-    w = np.where(ids >= 0, weight[np.maximum(ids, 0)], n_bytes * weight[vocab.byte_ids[0]])
-    below = _backward(starts, ends, w, last, n)
-    logp = w + np.where(ends < last[starts], below[np.minimum(ends, n - 1)], 0.0) - below[starts]
-    running = np.cumsum(np.exp(logp))
+    w = weight[np.maximum(ids, 0)]
+    lost = np.flatnonzero(ids < 0)
+    if len(lost):
+        c = -1 - ids[lost]
+        w[lost] = (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)) * weight[vocab.byte_ids[0]]
+    p = _given_place(starts, ends, w, last, n)
+    with np.errstate(divide="ignore"):
+        logp = np.log(p)
+        other = np.log(np.where(count[starts] > 1, np.maximum(1 - p, 0), 0))
+    running = np.cumsum(p)
     cum = running - np.repeat(np.concatenate([[0], running])[first[:-1]], np.diff(first))
     cum[first[1:] - 1] = 1
-    return Lattice(start, stop, first, ends, ids, logp, cum)
-
-
-def _backward(starts: np.ndarray, ends: np.ndarray, w: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
-    """Log mass of all paths from each place to the end of its word, by distance from that end."""
-    below = np.zeros(n)
+    return Lattice(start, stop, first, ends, ids, logp, other, cum)
+
+
+class Lattices:
+    """The lattice of all words met so far, grown word by word; begun anew when it holds `most` characters."""
+
+    def __init__(self, vocab: Vocabulary, alpha: float, most: int = 2_000_000) -> None:
+        self.vocab, self.alpha, self.most = vocab, alpha, most
+        self.known: dict[str, int] = {}
+        self.room: dict[str, np.ndarray] = {}
+        self.used: dict[str, int] = {}
+
+    def of(self, words: list[str]) -> tuple[Lattice, np.ndarray]:
+        """A lattice with all of `words`, and the number of each word in it."""
+        if self.used.get("first", 0) > self.most:
+            self.known, self.used = {}, {}
+        known = self.known
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        if new:
+            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+            more = vars(lattice(new, self.vocab, self.alpha))
+            places, edges = max(self.used.get("first", 0) - 1, 0), self.used.get("ids", 0)
+            for name, x in more.items():
+                if name == "first":
+                    self._add(name, x[1:] + edges if places else x)
+                else:
+                    self._add(name, x + places if name in ("start", "stop", "end") else x)
+        return Lattice(**{name: self.room[name][:n] for name, n in self.used.items()}), np.array([known[w] for w in words], dtype=np.int64)
+
+    def _add(self, name: str, x: np.ndarray) -> None:
+        n = self.used.get(name, 0)
+        have = self.room.get(name)
+        if have is None or len(have) < n + len(x):
+            wider = np.empty(2 * (n + len(x)), dtype=x.dtype)
+            if n:
+                wider[:n] = have[:n]
+            self.room[name] = wider
+        self.room[name][n : n + len(x)] = x
+        self.used[name] = n + len(x)
+
+
+def _given_place(starts: np.ndarray, ends: np.ndarray, w: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+    """Probability of each edge given its start: its share of the mass of all paths from there to the end of the word.
+
+    Masses are added from the ends of the words backwards, by distance from the end. They are kept as numbers between
+    0.5 and 1 with a power of two beside them, so a long word does not run out of range.
+    """
+    mass, power = np.ones(n + 1), np.zeros(n + 1, dtype=np.int64)
     far = last[starts] - starts
     order = np.argsort(far.astype(np.uint16) if far.max(initial=0) < 65536 else far, kind="stable")
     bounds = np.searchsorted(far[order], np.arange(1, far.max(initial=0) + 2))
+    share = np.exp(w)
     for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if lo == hi:
             continue
         e = order[lo:hi]
         s, t = starts[e], ends[e]
-        total = w[e] + np.where(t < last[s], below[np.minimum(t, n - 1)], 0.0)
+        t = np.where(t < last[s], t, n)
         new = np.flatnonzero(np.diff(s, prepend=-1))
-        below[s[new]] = np.logaddexp.reduceat(total, new)
-    return below
+        top = np.maximum.reduceat(power[t], new)
+        count = np.diff(np.append(new, len(s)))
+        part = share[e] * np.ldexp(mass[t], np.maximum(power[t] - np.repeat(top, count), -1000).astype(np.int32))
+        total = np.add.reduceat(part, new)
+        share[e] = part / np.repeat(total, count)
+        mass[s[new]], exponent = np.frexp(total)
+        power[s[new]] = top + exponent
+    return share
 
 
 def uniform(seed: np.ndarray, turn: int, place: np.ndarray) -> np.ndarray:
     """Draws in (0, 1) by row seed, turn and place."""
     with np.errstate(over="ignore"):
-        x = mix64(seed + mix64(place.astype(np.uint64) * np.uint64(64) + np.uint64(turn)))
+        x = mix64(seed + (place.astype(np.uint64) * np.uint64(64) + np.uint64(turn)) * BASE)
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
@@ -230,28 +285,28 @@ def _rest(lat: Lattice, edge: int, barred: frozenset[int]) -> np.ndarray:
 def _split(lat: Lattice, s: Sample, seed: np.ndarray, turn: int) -> None:
     """Bounds of the sets of paths that first leave the sample at each of its free edges."""
     p = lat.logp[s.edges]
-    before = np.cumsum(p) - p
-    other = -np.expm1(np.minimum(p, 0))
+    mass = lat.other[s.edges]
     if s.barred and s.fixed < len(p):
         left = _rest(lat, int(s.edges[s.fixed]), s.barred | {int(s.edges[s.fixed])})
-        other[s.fixed] = np.exp(lat.logp[left]).sum()
-    with np.errstate(divide="ignore", over="ignore"):
-        mass = np.where(other > 1e-12, before + np.log(other), -np.inf)
-        u = uniform(seed, turn, np.arange(len(p)))
-        s.bounds = mass - np.log(np.exp(mass - s.bound) - np.log(u))
-    s.bounds[~np.isfinite(mass)] = -np.inf
+        with np.errstate(divide="ignore"):
+            mass[s.fixed] = np.log(np.exp(lat.logp[left]).sum())
+    mass += np.cumsum(p) - p
+    # Draws and their logs need no more than single precision; the masses keep theirs.
+    noise = -np.log(uniform(seed, turn, np.arange(len(p))).astype(np.float32))
+    with np.errstate(over="ignore"):
+        s.bounds = mass - np.log(np.exp((mass - s.bound).astype(np.float32)) + noise)
     s.bounds[: s.fixed] = -np.inf
 
 
-def sample_all(texts: list[str], seeds: np.ndarray, vocab: Vocabulary, k: int, alpha: float) -> list[list[tuple[np.ndarray, float, float]]]:
+def sample_all(texts: list[str], seeds: np.ndarray, lattices: Lattices, k: int) -> list[list[tuple[np.ndarray, float, float]]]:
     """For each text its sampled paths, best bound first: piece ids, log probability, inclusion probability."""
     cut = [WORD.findall(" " + t) if t else [] for t in texts]
     sizes = np.array([len(c) for c in cut])
     flat = [w for c in cut for w in c]
     if not flat:
         return [[(np.empty(0, dtype=np.int32), 0.0, 1.0)] for _ in texts]
-    types, names = pd.factorize(np.array(flat, dtype=object))
-    lat = lattice(list(names), vocab, alpha)
+    lat, types = lattices.of(flat)
+    vocab = lattices.vocab
     doc = np.repeat(np.arange(len(texts)), sizes)
     ends = np.cumsum(sizes)
     number = np.arange(len(flat)) - (ends - sizes)[doc]
@@ -263,7 +318,7 @@ def sample_all(texts: list[str], seeds: np.ndarray, vocab: Vocabulary, k: int, a
     for i in range(len(texts)):
         e = edges[bounds[i] : bounds[i + 1]]
         own = np.array([seeds[i]], dtype=np.uint64)
-        root = float(-np.log(-np.log(uniform(own, 1, np.zeros(1)))))
+        root = float(-np.log(-np.log(uniform(own, 1, np.zeros(1))[0])))
         s = Sample(e, word[bounds[i] : bounds[i + 1]], float(lat.logp[e].sum()), root, np.empty(0), 0, frozenset())
         _split(lat, s, own, 2)
         drawn.append([s])
@@ -330,36 +385,40 @@ def _ids(lat: Lattice, edges: np.ndarray, vocab: Vocabulary) -> np.ndarray:
     return np.concatenate([*parts, ids[at:]]).astype(np.int32)
 
 
+@shielded("key", "text")
 def encode(docs: DataFrame, k: int = 2, key: str = "doc_id", text: str = "text", model: str = MODEL, alpha: float = 1.0, seed: int = 1) -> DataFrame:
-    """`docs` without `text`, one row per sampled segmentation: `rank`, `n_pieces`, `log_prob`, `inclusion`, `ids`.
+    """`docs` without `text`, one row per sampled segmentation: `rank`, `n_pieces`, `log_prob`, `inclusion`, `ids`, `exact`.
 
-    The vocabulary is read on the driver and broadcast; its size is that of the model file.
+    `exact` says whether decoding the ids gives the text back; it is null for a null text. The vocabulary is read on the driver and broadcast; its size is that of the model file.
     """
     vocab = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
-    names = ("rank", "n_pieces", "log_prob", "inclusion", "ids")
+    names = ("rank", "n_pieces", "log_prob", "inclusion", "ids", "exact")
     kept = [c for c in docs.columns if c != text and c not in names]
     before = docs.select(*kept).schema
     rows = plain(docs.select(*kept, F.col(text).alias("_text")))
     rows = rows.withColumn("_seed", F.xxhash64(F.lit(seed), F.col(key).cast("string")))
     schema = T.StructType([rows.schema[c] for c in kept]).add("rank", T.IntegerType()).add("n_pieces", T.LongType())
-    schema = schema.add("log_prob", T.DoubleType()).add("inclusion", T.DoubleType()).add("ids", T.ArrayType(T.IntegerType()))
+    schema = schema.add("log_prob", T.DoubleType()).add("inclusion", T.DoubleType()).add("ids", T.ArrayType(T.IntegerType())).add("exact", T.BooleanType())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lattices = Lattices(vocab.value, alpha)
         for frame in frames:
-            for part in text_chunks(frame, "_text", 2_000_000):
+            for part in text_chunks(frame, "_text", 1_000_000):
                 texts = [t if isinstance(t, str) else "" for t in part["_text"]]
-                samples = sample_all(texts, part["_seed"].to_numpy().astype(np.uint64), vocab.value, k, alpha)
+                samples = sample_all(texts, part["_seed"].to_numpy().astype(np.uint64), lattices, k)
                 counts = [len(s) for s in samples]
                 out = part.drop(columns=["_text", "_seed"]).loc[np.repeat(np.arange(len(part)), counts)].reset_index(drop=True)
                 empty = part["_text"].isna().repeat(counts).to_numpy()
                 flat = [x for s in samples for x in s]
                 ids = [None if e else x[0] for x, e in zip(flat, empty, strict=True)]
+                texts_of = [t for t, c in zip(texts, counts, strict=True) for _ in range(c)]
                 yield out.assign(
                     rank=[r for c in counts for r in range(1, c + 1)],
                     n_pieces=[len(x[0]) for x in flat],
                     log_prob=[x[1] for x in flat],
                     inclusion=[x[2] for x in flat],
                     ids=pd.Series(ids, dtype=object),
+                    exact=pd.Series([None if x is None else vocab.value.decode(x) == t for x, t in zip(ids, texts_of, strict=True)], dtype=object),
                 )
 
     return restored(rows.mapInPandas(run, schema), before)
