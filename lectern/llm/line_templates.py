@@ -89,7 +89,7 @@ def dropped(docs: DataFrame, text: str, tree: Tree) -> DataFrame:
     recurring = firsts.groupBy("_template").agg(F.count(F.lit(1)).alias("_docs"), F.min(F.struct("_id", "_th", "_line")).alias("_first"))
     recurring = recurring.where(F.col("_docs") >= tree.min_docs).select("_template", "_first")
     gone = marked.join(recurring, "_template").where(~F.struct("_id", "_th", "_line").eqNullSafe(F.col("_first")))
-    return gone.groupBy("_id", "_th").agg(F.sort_array(F.collect_list("_line")).alias("_gone"))
+    return gone.groupBy("_id", "_th").agg(F.sort_array(F.collect_set("_line")).alias("_gone"))
 
 
 @shielded("doc_id", "text")
