@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import checkpoint, mix64, plain, release, restored, text_chunks
+from lectern.llm.common import checkpoint, mix64, plain, release, restored, shielded, text_chunks
 
 WORD = re.compile("[^\\x20\\x09-\\x0D]+")
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -223,6 +223,7 @@ def covered(n_words: int, starts: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
+@shielded("key", "text")
 def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 20) -> DataFrame:
     """`docs` with the words of repeated windows taken out of `text`, and `n_words` and `n_removed`.
 
