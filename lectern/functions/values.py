@@ -66,13 +66,17 @@ def range_link(base: Column, c1: Column, v1: Column, c2: Column, v2: Column) ->
     return F.concat(base, F.lit("."), c1, F.lit("."), v1, tail)
 
 
+DAY_MICROS = 86_400_000_000
+
+
 def local_day(ts: Column | str, tz: str = "UTC") -> Column:
-    return F.to_date(F.from_utc_timestamp(_col(ts), tz))
+    """Calendar day of an instant in `tz`, whatever the time zone of the session."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(F.from_utc_timestamp(_col(ts), tz)) / DAY_MICROS).cast("int"))
 
 
 def day_start(day: Column | str, tz: str = "UTC") -> Column:
     """Instant at which a local day begins."""
-    return F.to_utc_timestamp(_col(day).cast("timestamp"), tz)
+    return F.to_utc_timestamp(F.timestamp_micros(F.unix_date(_col(day)).cast("bigint") * DAY_MICROS), tz)
 
 
 def valid_day(c: Column | str) -> Column:

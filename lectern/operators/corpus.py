@@ -17,13 +17,17 @@ from ..functions.profile import LATIN, Profile
 from ..functions.text import tokenize
 from .joins import prefix_sums
 
-LINES_PER_PAGE = 4096
-"""Upper bound of lines on a page, used to number lines in reading order."""
-CHUNK = LINES_PER_PAGE * 64
+def reading_sums(rows: DataFrame, within: list[str], values: dict[str, str]) -> DataFrame:
+    """Exclusive running sums over a document in reading order: over the pages before, and inside the page by `within`.
 
-
-def line_order() -> F.Column:
-    return F.col("page").cast("bigint") * LINES_PER_PAGE + F.col("line")
+    A page is a window of its own, however many lines it has; the page totals go through `prefix_sums`.
+    """
+    inside = W.partitionBy("doc_id", "page").orderBy(*within).rowsBetween(W.unboundedPreceding, -1)
+    totals = rows.groupBy("doc_id", "page").agg(*[F.sum(v).alias(v) for v in values])
+    before = prefix_sums(totals, ["doc_id"], "page", {v: f"_p_{n}" for v, n in values.items()})
+    j = rows.join(before.select("doc_id", "page", *[f"_p_{n}" for n in values.values()]), ["doc_id", "page"])
+    sums = {n: F.coalesce(F.sum(v).over(inside), F.lit(0)) + F.col(f"_p_{n}") for v, n in values.items()}
+    return j.withColumns(sums).drop(*[f"_p_{n}" for n in values.values()])
 
 
 CUT = "\u0001"
@@ -40,7 +44,7 @@ def parse_lines(pages: DataFrame, p: Profile = LATIN, keep_marks: bool = False)
         runs = F.transform(runs, lambda r: F.regexp_replace(r, "|".join(p.editorial), ""))
     end = re.escape(p.end_mark)
     pieces = lambda r: F.split(F.regexp_replace(r, rf"(\S*{end}\S*)", "$1" + CUT), CUT)
-    df = pages.withColumn("runs", runs).withColumn("ord", line_order())
+    df = pages.withColumn("runs", runs).withColumn("ord", F.struct("page", "line"))
     frags = F.flatten(
         F.transform(
             "runs",
@@ -58,7 +62,7 @@ def parse_lines(pages: DataFrame, p: Profile = LATIN, keep_marks: bool = False)
         )
     )
     df = df.withColumn("toks", toks).withColumn("n_words", F.size("toks")).drop("frags")
-    return prefix_sums(df, ["doc_id"], "ord", {"n_words": "offset", "n_ends": "ends_offset"}, CHUNK)
+    return reading_sums(df, ["line"], {"n_words": "offset", "n_ends": "ends_offset"})
 
 
 def flatten_words(lines: DataFrame) -> DataFrame:
@@ -112,11 +116,11 @@ def verse_opens(lines: DataFrame, words: DataFrame) -> DataFrame:
     first = first.select("doc_id", "ends_before", "f.*")
     nth = W.partitionBy("doc_id", "ord").orderBy("pos")
     first = first.withColumn("nth", F.row_number().over(nth))
-    queue = lines.select("doc_id", "ord", "verses")
+    queue = lines.select("doc_id", "page", "line", "ord", "verses")
     per_line = first.groupBy("doc_id", "ord").agg(F.count(F.lit(1)).alias("opens"))
     queue = queue.join(per_line, ["doc_id", "ord"], "left").withColumn("opens", F.coalesce("opens", F.lit(0)))
     queue = queue.withColumn("used", F.least(F.col("opens"), F.size("verses")))
-    queue = prefix_sums(queue, ["doc_id"], "ord", {"used": "verse_offset"}, CHUNK)
+    queue = reading_sums(queue, ["line"], {"used": "verse_offset"})
     j = first.join(queue.select("doc_id", "ord", "verses", "verse_offset"), ["doc_id", "ord"])
     return j.select(
         "doc_id",
@@ -177,14 +181,14 @@ def line_marks(lines: DataFrame) -> DataFrame:
     """doc_id, page, line, ord, kind, n: one row per mark entry of a line."""
     e = lines.select("doc_id", "page", "line", "ord", F.posexplode("aliyot").alias("i", "m"))
     e = e.select("doc_id", "page", "line", "ord", "i", F.explode("m").alias("kind", "n"))
-    return e.withColumn("mark_ord", F.col("ord") * 8 + F.col("i")).drop("i")
+    return e.withColumn("mark_ord", F.struct("page", "line", "i")).drop("i")
 
 
 def group_marks(marks: DataFrame, kind: str = "standard") -> DataFrame:
     """Marks of one kind, numbered in groups that restart whenever n is 1."""
     m = marks.where(F.col("kind") == kind).withColumn("n", F.col("n").cast("int"))
     m = m.withColumn("opens", (F.col("n") == 1).cast("int"))
-    m = prefix_sums(m, ["doc_id"], "mark_ord", {"opens": "before"}, CHUNK * 8)
+    m = reading_sums(m, ["mark_ord"], {"opens": "before"})
     return m.withColumn("grp", (F.col("before") + F.col("opens")).cast("int")).drop("before", "opens").where("grp > 0")
 
 
@@ -216,17 +220,24 @@ def marks_vs_sections(marks: DataFrame, subsections: DataFrame, verses: DataFram
 
 
 def contiguity_check(sections: DataFrame, words: DataFrame) -> DataFrame:
-    """Sections that do not start right after the previous one, and last ones that do not end with the text."""
-    prev = sections.select("doc_id", (F.col("section") + 1).alias("section"), F.col("end").alias("prev_end"))
-    last = words.groupBy("doc_id").agg((F.max("pos")).alias("last_word"))
-    tail = sections.groupBy("doc_id").agg(F.max("section").alias("tail"))
-    j = sections.join(prev, ["doc_id", "section"], "left").join(last, "doc_id").join(tail, "doc_id")
-    gap = F.col("prev_end").isNotNull() & (F.col("start") != F.col("prev_end") + 1)
-    short = (F.col("section") == F.col("tail")) & (F.col("end") != F.col("last_word"))
-    return (
-        j.select("doc_id", "section", F.when(gap, "gap").when(short, "short-end").alias("problem"))
-        .where(F.col("problem").isNotNull())
-    )
+    """Sections that do not start right after the one before or leave numbers out, and last ones that end too early.
+
+    A document has few sections, so its window is small.
+    """
+    by_number = W.partitionBy("doc_id").orderBy("section")
+    last = words.groupBy("doc_id").agg(F.max("pos").alias("last_word"))
+    j = sections.withColumns(
+        {
+            "before": F.lag("section").over(by_number),
+            "prev_end": F.lag("end").over(by_number),
+            "tail": F.lead("section").over(by_number).isNull(),
+        }
+    ).join(last, "doc_id")
+    missing = F.col("section") != F.coalesce(F.col("before"), F.lit(0)) + 1
+    gap = F.col("start") != F.col("prev_end") + 1
+    short = F.col("tail") & (F.col("end") != F.col("last_word"))
+    problem = F.when(missing, "missing").when(gap, "gap").when(short, "short-end")
+    return j.select("doc_id", "section", problem.alias("problem")).where(F.col("problem").isNotNull())
 
 
 def hard_checks(

@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.profile import LATIN, Profile
 from ..functions.text import tokenize
-from ..session import checkpoint, fits, spread
+from ..session import checkpoint, spread
 from . import align
-from .index import BLOCK, BROADCAST_ROWS, corpus_blocks, corpus_docs, corpus_words, fuzzy_candidates, vocabulary
+from .index import BLOCK, corpus_blocks, corpus_words, fuzzy_candidates, vocabulary
 from .joins import salted_join
-from .votes import local_top_bins
 
 
 @dataclass(frozen=True)
@@ -24,7 +23,8 @@ class LocateConfig:
     bin_width: int = 4
     max_bins: int = 6
     nms_distance: int = 2
-    max_fuzzy_positions: int = 1500
+    # 1500 positions of the published corpus of 80,316 words, as a share, so that answers do not depend on corpus size.
+    max_fuzzy_share: float = 1500 / 80_316
     window_pad: int = 10
     min_pair_similarity: float = 0.6
     fuzzy_weight: float = 0.8
@@ -83,7 +83,7 @@ def query_arrays(query_lines: DataFrame, p: Profile = LATIN) -> DataFrame:
 def candidate_weights(tokens: DataFrame, candidates: DataFrame, cfg: LocateConfig) -> DataFrame:
     """query_id, k, word, votes: what each occurrence of a form adds to the origin it implies."""
     quality = F.when(F.col("similarity") == 1, 1.0).otherwise(F.col("similarity") * cfg.fuzzy_weight)
-    usable = (F.col("similarity") == 1) | (F.col("n") <= cfg.max_fuzzy_positions)
+    usable = (F.col("similarity") == 1) | (F.exp(-F.col("idf")) <= cfg.max_fuzzy_share)
     return (
         tokens.join(candidates.where(usable), "token")
         .select("query_id", "k", F.col("form").alias("word"), (F.col("idf") * quality).alias("w"))
@@ -121,21 +121,6 @@ def vote_origins(tokens: DataFrame, candidates: DataFrame, words: DataFrame, voc
     )
 
 
-def leading_bins(tokens: DataFrame, candidates: DataFrame, documents: DataFrame, vocab: DataFrame, cfg: LocateConfig) -> DataFrame:
-    """query_id, doc_id, bin, score of every bin that can be among a query's best `bins_to_rank`.
-
-    With few enough candidate weights each task counts its own documents and keeps its best bins; with more, all votes
-    are shuffled. Both give the same best bins.
-    """
-    weights = candidate_weights(tokens, candidates, cfg)
-    if fits(weights, BROADCAST_ROWS):
-        docs = corpus_docs(documents, cfg.profile)
-        best = local_top_bins(docs, weights.toPandas(), cfg.bins_to_rank, cfg.bin_width)
-        score = F.col("halves") * F.lit(cfg.neighbor_weight) / F.lit(float(VOTE_UNIT))
-        return best.select("query_id", "doc_id", "bin", score.alias("score"))
-    return vote_origins(tokens, candidates, corpus_words(documents, cfg.profile), vocab, cfg)
-
-
 def top_bins(bins: DataFrame, cfg: LocateConfig) -> DataFrame:
     """query_id, rank, doc_id, bin, score: strongest bins, none within `nms_distance` of a stronger one."""
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "bin")
@@ -296,7 +281,7 @@ def decide(queries: DataFrame, deduped: DataFrame, cfg: LocateConfig) -> DataFra
 
 @dataclass
 class Located:
-    """The stages of one locate job, each a lazy plan."""
+    """The stages of one locate job; those that several others read are checkpointed."""
 
     queries: DataFrame
     tokens: DataFrame
@@ -317,9 +302,11 @@ def locate(query_lines: DataFrame, documents: DataFrame, cfg: LocateConfig = Loc
     queries = query_arrays(query_lines, p)
     tokens = checkpoint(query_tokens(query_lines, p))
     candidates = checkpoint(fuzzy_candidates(tokens, vocab, p))
-    bins = leading_bins(tokens, candidates, documents, vocab, cfg)
+    bins = vote_origins(tokens, candidates, words, vocab, cfg)
     top = checkpoint(top_bins(bins, cfg))
-    windows = window_words(window_spans(top, queries, cfg), corpus_blocks(documents, p))
+    # Only the documents with a chosen bin are cut into blocks.
+    chosen = documents.join(top.select("doc_id").distinct(), "doc_id", "left_semi")
+    windows = window_words(window_spans(top, queries, cfg), corpus_blocks(chosen, p))
     alignments = local_align(windows, queries, cfg)
     deduped = dedupe_overlaps(alignments)
     return Located(

@@ -94,11 +94,13 @@ def estimate_layout(spans: DataFrame) -> DataFrame:
     counts = F.filter("line_tokens", lambda x: x > 0)
     wpl = F.when(F.size(steps) > 0, mean(steps)).when(F.size(counts) > 0, mean(counts)).otherwise(F.lit(0.0))
     s = spans.withColumn("_wpl", wpl)
-    full = (F.col("visible") >= FULL_COLUMN_LINES) & (F.col("_wpl") > 0)
+    # Without a count of visible lines, those read stand for it.
+    visible = F.coalesce("visible", F.size("line_tokens"))
+    full = (visible >= FULL_COLUMN_LINES) & (F.col("_wpl") > 0)
     return s.withColumns(
         {
             "words_per_line": round_half_up(F.col("_wpl"), 1),
-            "words_per_column": F.when(full, js_round(F.col("_wpl") * F.col("visible")).cast("int")),
+            "words_per_column": F.when(full, js_round(F.col("_wpl") * visible).cast("int")),
         }
     ).drop("_wpl")
 

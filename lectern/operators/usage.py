@@ -21,8 +21,8 @@ STATUSES = ("confident", "ambiguous", "insufficient", "error")
 
 
 def _last(value: str, ts: str) -> Column:
-    """Latest value that is not null."""
-    return F.max_by(F.when(F.col(value).isNotNull(), F.col(value)), F.when(F.col(value).isNotNull(), F.col(ts)))
+    """Latest value that is not null; of values of one instant, the largest, so that retries agree."""
+    return F.max(F.when(F.col(value).isNotNull(), F.struct(F.col(ts).alias("at"), F.col(value).alias("is"))))["is"]
 
 
 def upsert_clients(touches: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def attach_navigation(scans: DataFrame, updates: DataFrame) -> DataFrame:
     u = updates.withColumnRenamed("client", "_client").select(
         F.col("scan").alias("id"), "_client", F.struct("target", "nav").alias("_u"), F.col("ts").alias("_ts")
     )
-    u = u.groupBy("id", "_client").agg(F.max_by("_u", "_ts").alias("_u"))
+    u = u.groupBy("id", "_client").agg(F.max_by("_u", F.struct("_ts", F.to_json("_u"))).alias("_u"))
     j = scans.join(u, (scans["id"] == u["id"]) & scans["client"].eqNullSafe(u["_client"]), "left").drop(u["id"])
     hit = F.col("_u").isNotNull()
     return j.withColumns(

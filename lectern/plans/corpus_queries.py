@@ -146,9 +146,9 @@ def _(spark, d):
 @R.query(
     "contiguity_check",
     S.ctes(LINES, RAWS, QUEUE, OPENS, VERSES, SECTIONS)
-    + """, x AS (SELECT *, lag(stop) OVER (PARTITION BY doc_id ORDER BY section) AS prev, max(section) OVER (PARTITION BY doc_id) AS tail FROM sec)
-    SELECT doc_id, section, CASE WHEN start <> prev + 1 THEN 'gap' ELSE 'short-end' END AS problem FROM x
-    WHERE coalesce(start <> prev + 1, false) OR (section = tail AND stop <> (SELECT max(pos) FROM fw WHERE fw.doc_id = x.doc_id))""",
+    + """, x AS (SELECT *, lag(stop) OVER (PARTITION BY doc_id ORDER BY section) AS prev, coalesce(lag(section) OVER (PARTITION BY doc_id ORDER BY section), 0) AS before, max(section) OVER (PARTITION BY doc_id) AS tail FROM sec)
+    SELECT doc_id, section, CASE WHEN section <> before + 1 THEN 'missing' WHEN start <> prev + 1 THEN 'gap' ELSE 'short-end' END AS problem FROM x
+    WHERE section <> before + 1 OR coalesce(start <> prev + 1, false) OR (section = tail AND stop <> (SELECT max(pos) FROM fw WHERE fw.doc_id = x.doc_id))""",
 )
 def _(spark, d):
     c = T.corpus_of(spark, d)

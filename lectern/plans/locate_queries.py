@@ -31,7 +31,7 @@ ranked AS (SELECT token, form, round(sim, 6) AS similarity, row_number() OVER (P
 cands AS (SELECT DISTINCT token, word AS form, 1::DOUBLE AS similarity, n, idf FROM query_tokens JOIN vocab ON word = token WHERE NOT contains(token, '?')
   UNION ALL SELECT token, form, similarity, n, idf FROM ranked JOIN vocab ON word = form WHERE r <= 24)"""
 VOTES = """cw AS (SELECT query_id, k, form AS word, round(idf * (CASE WHEN similarity = 1 THEN 1 ELSE similarity * 0.8::DOUBLE END) * 1000000)::BIGINT AS votes
-  FROM query_tokens JOIN cands USING (token) WHERE (similarity = 1 OR n <= 1500) AND idf > 0),
+  FROM query_tokens JOIN cands USING (token) WHERE (similarity = 1 OR exp(-idf) <= 1500 / 80316::DOUBLE) AND idf > 0),
 b0 AS (SELECT query_id, doc_id, floor((pos - k) / 4)::BIGINT AS bin, votes FROM words JOIN cw USING (word)),
 bins AS (SELECT query_id, doc_id, bin + s AS bin, sum(votes * CASE WHEN s = 0 THEN 2 ELSE 1 END)::BIGINT AS halves FROM b0, (SELECT unnest([-1, 0, 1]) AS s) GROUP BY ALL)"""
 TOP = """tb0 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY halves DESC, doc_id, bin) AS r FROM bins QUALIFY r <= 100),

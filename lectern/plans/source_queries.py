@@ -107,12 +107,6 @@ def _(spark, d):
     return raw.select("set", F.explode("t.segments").alias("s")).select("set", F.col("s.from").alias("first"), F.col("s.to").alias("last"), "s.offset")
 
 
-@R.query("image_inventory")
-def _(spark, d):
-    """Files of the data folder; their type is not an image's, so it is null."""
-    return io.inventory(spark, d, ["parquet"])
-
-
 PAYLOAD = r"""pd AS (SELECT conv_id * 1000 + turn AS query_id, list_transform(string_split(text, chr(10)), lambda s: trim(regexp_replace(lower(s), '[,.]', '', 'g'))) AS ls FROM conversations),
 ok AS (SELECT * FROM pd WHERE len(ls) <= 80 AND len(list_filter(ls, lambda s: len(s) > 300 OR NOT regexp_full_match(s, '[\p{L} ?]*'))) = 0)"""
 

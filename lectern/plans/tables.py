@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.profile import HEBREW, LATIN
 from ..functions.text import tokenize
 from ..operators import corpus, index
-from ..session import parallel_input
 
 # The letters the transliterated corpus is written with.
 LATIN_FROM = "abcdefghijklmnopqrstuvwxyzéèêçäöüßíóúñáà"
@@ -22,7 +21,7 @@ def raw(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return parallel_input(raw(spark, d, "documents").select("doc_id", "text"))
+    return raw(spark, d, "documents").select("doc_id", "text")
 
 
 def words(spark: SparkSession, d: str) -> DataFrame:

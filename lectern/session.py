@@ -15,6 +15,8 @@ def local_session(cores: int | str = "*", app: str = "lectern", partitions: int
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Small local files are cut into as many tasks as there are cores.
+        .config("spark.sql.files.openCostInBytes", "131072")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
@@ -24,15 +26,21 @@ def local_session(cores: int | str = "*", app: str = "lectern", partitions: int
     )
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder, so a lost executor costs no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, named by `spark.checkpoint.dir`. Only a local session may go without one."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base:
+        return base
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+    return tempfile.mkdtemp(prefix="spark-")
 
-    The folder is the one the cluster names in `spark.checkpoint.dir`; only a session without one (a test) gets its own.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared checkpoint folder, so a lost executor costs no recomputation."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -45,14 +53,3 @@ def spread(df: DataFrame, *keys) -> DataFrame:
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return df.repartition(n, *keys)
-
-
-def parallel_input(df: DataFrame) -> DataFrame:
-    """Spread an input that arrives in fewer partitions than there are cores (one small file); leave others alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def fits(df: DataFrame, rows: int) -> bool:
-    """Whether `df` has at most `rows` rows, reading no further than that: the check before a broadcast."""
-    return df.limit(rows + 1).count() <= rows

@@ -23,7 +23,6 @@ TRUTH = (
     "offset int, segments array<struct<from:int,to:int,offset:int>>, columns map<string,struct<startWord:int,endWord:int>>"
 )
 # Image types by extension.
-MIME = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "webp": "image/webp"}
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -112,17 +111,6 @@ def read_truth(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return segments, spans
 
 
-def inventory(spark: SparkSession, path: str, extensions: list[str], first: int = 1, limit: int | None = None) -> DataFrame:
-    """name, bytes, mime of matching files in name order; the bytes themselves are not read."""
-    glob = "*.{" + ",".join(extensions) + "}"
-    f = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "length")
-    ext = F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1))
-    kinds = F.create_map(*[F.lit(x) for kv in MIME.items() for x in kv])
-    f = f.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("bytes"), F.try_element_at(kinds, ext).alias("mime"))
-    f = f.orderBy("name").offset(first - 1)
-    return f if limit is None else f.limit(limit)
-
-
 def submitted_readings(payloads: DataFrame, p: Profile = LATIN) -> tuple[DataFrame, DataFrame]:
     """(query_lines, rejected) from payloads (query_id, payload); works on batches and streams."""
     r = payloads.withColumn("r", F.from_json("payload", READING))

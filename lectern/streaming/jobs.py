@@ -5,8 +5,6 @@ Each takes a streaming DataFrame and returns one; `run_to_table` drives a query
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,6 +16,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators import navigate
 from ..operators.locate import LocateConfig, locate
+from ..session import shared_folder
 
 LATE = "1 day"
 
@@ -122,9 +121,8 @@ def locate_batches(documents: DataFrame, cfg: LocateConfig, path: str) -> Callab
 
 
 def output_folder(spark: SparkSession) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder, or a temporary one in a session without it."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return os.path.join(base, f"stream-{uuid.uuid4().hex}") if base else tempfile.mkdtemp(prefix="spark-")
+    """A fresh folder under the cluster's shared checkpoint folder."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def run_to_table(df: DataFrame, mode: str = "append") -> DataFrame:
