@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.distance import may_be_similar, word_similarity
 from ..functions.profile import LATIN, Profile
 from ..functions.text import tokenize, trigrams
-from ..session import checkpoint, spread
+from ..session import checkpoint, fits, spread
 
 BLOCK = 64
 """Words per row of the blocked corpus."""
@@ -21,6 +21,12 @@ def corpus_words(documents: DataFrame, p: Profile = LATIN) -> DataFrame:
     return documents.select("doc_id", F.posexplode(toks).alias("pos", "word"))
 
 
+def corpus_docs(documents: DataFrame, p: Profile = LATIN) -> DataFrame:
+    """doc_id, toks: one row per document; a null text has no tokens."""
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit("?"), F.lit(" "))
+    return documents.select("doc_id", tokenize(text, p).alias("toks"))
+
+
 def corpus_blocks(documents: DataFrame, p: Profile = LATIN, size: int = BLOCK) -> DataFrame:
     """The corpus as rows of `size` words keyed by (doc_id, block), for cutting windows without a shuffle of words."""
     d = documents.select("doc_id", tokenize(F.replace(F.col("text"), F.lit("?"), F.lit(" ")), p).alias("toks"))
@@ -59,6 +65,21 @@ def summary(words: DataFrame, exact: bool = True) -> DataFrame:
     return words.agg(F.count(F.lit(1)).alias("words"), distinct.alias("forms"))
 
 
+BROADCAST_ROWS = 1_000_000
+"""Most rows sent to every task; beyond it the shuffled forms run."""
+
+
+def _pairs_in_place(tg: DataFrame, forms: DataFrame, max_length_delta: int) -> DataFrame:
+    """token, form, need, shared: trigrams shared by each pair, counted where the forms lie.
+
+    The vocabulary is already partitioned by form and the token trigrams (few, checked) go to every task, so counting
+    per (form, token) needs no shuffle of pairs.
+    """
+    fg = spread(forms, "word").select(F.col("word").alias("form"), F.explode(trigrams("word")).alias("gram"))
+    j = fg.join(F.broadcast(tg), "gram").where(F.abs(F.length("form") - F.col("tlen")) <= max_length_delta)
+    return j.groupBy("form", "token", "need").agg(F.sum("tm").alias("shared"))
+
+
 def _pairs_by_prefix(tg: DataFrame, forms: DataFrame, max_length_delta: int) -> DataFrame:
     """token, form, need, shared: trigrams shared by each pair, by a shuffled join on the rarer trigrams.
 
@@ -103,7 +124,10 @@ def fuzzy_matches(
     tg = tok.select("token", "tlen", "need", F.explode("grams").alias("gram"))
     tg = tg.where(~F.col("gram").contains("?")).groupBy("token", "tlen", "need", "gram").agg(F.count(F.lit(1)).alias("tm"))
     forms = vocab.where(F.length("word") > 0)
-    pairs = _pairs_by_prefix(tg, forms, max_length_delta)
+    if fits(tg, BROADCAST_ROWS):
+        pairs = _pairs_in_place(tg, forms, max_length_delta)
+    else:
+        pairs = _pairs_by_prefix(tg, forms, max_length_delta)
     # One condition on the count, so that the optimizer cannot move the distance bound below the aggregation.
     near = (F.col("token") != F.col("form")) & may_be_similar("token", "form", 1 - min_similarity, p)
     pairs = checkpoint(pairs.where(F.when(F.col("shared") >= F.col("need"), near).otherwise(False)).select("token", "form"))

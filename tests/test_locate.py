@@ -37,7 +37,7 @@ def test_statuses(spark, corpus):
     assert r[4].status == "insufficient"
 
 
-def test_votes_and_fuzzy_pairs_equal_plain_version(spark, corpus):
+def test_votes_and_fuzzy_pairs_equal_plain_version(spark, corpus, monkeypatch):
     q, d = frames(spark, corpus + [None, "", "? ?"], [(1, " ".join(corpus[2].split()[10:40])), (2, "bakelo " + " ".join(corpus[5].split()[200:240]))])
     words = index.corpus_words(d)
     vocab, tokens, cfg = index.vocabulary(words), locate.query_tokens(q), locate.LocateConfig()
@@ -63,6 +63,11 @@ def test_votes_and_fuzzy_pairs_equal_plain_version(spark, corpus):
                     want[bin_] = want.get(bin_, 0) + votes * (1 if step else 2)
     got = {(r.query_id, r.doc_id, r.bin): round(r.score * 2 * locate.VOTE_UNIT) for r in locate.vote_origins(tokens, cands, words, vocab, cfg).collect()}
     assert got == want
+    top = lambda bins: sorted(map(tuple, locate.top_bins(bins, cfg).collect()))
+    shuffled = top(locate.vote_origins(tokens, cands, words, vocab, cfg))
+    assert top(locate.leading_bins(tokens, cands, d, vocab, cfg)) == shuffled
+    monkeypatch.setattr(index, "BROADCAST_ROWS", 0)
+    assert {(r.token, r.form): r.similarity for r in index.fuzzy_matches(tokens, vocab).collect()} == near
 
 
 def plain_align(tokens, words, min_sim=0.6):
