@@ -161,13 +161,13 @@ def _reads(spark, d):
     return _truth_lines(spark, d).withColumn("text", r)
 
 
-RATES = """rl AS (SELECT query_id, list(text ORDER BY line_no) AS r FROM rd WHERE text <> '' AND line_no > 0 GROUP BY ALL), tl AS (SELECT query_id, list(text ORDER BY line_no) AS t FROM cl WHERE text <> '' GROUP BY ALL),
+RATES = """rl AS (SELECT query_id, list(text ORDER BY line_no) AS r FROM rd WHERE text <> '' GROUP BY ALL), tl AS (SELECT query_id, list(text ORDER BY line_no) AS t FROM cl WHERE text <> '' GROUP BY ALL),
 j AS (SELECT query_id, array_to_string(r[:least(len(r), len(t))], ' ') AS r, array_to_string(t[:least(len(r), len(t))], ' ') AS t FROM rl JOIN tl USING (query_id)),
 er AS (SELECT query_id, levenshtein(replace(r, ' ', ''), replace(t, ' ', '')) AS edits, len(replace(t, ' ', '')) AS letters, round(len(list_filter(string_split(r, ' '), lambda w: list_contains(string_split(t, ' '), w))) / greatest(1, len(string_split(r, ' '))), 6) AS exact_words FROM j)"""
 
 
 def _rates(spark, d):
-    return evaluate.letter_error_rate(_reads(spark, d).where("line_no > 0"), _truth_lines(spark, d), "query_id")
+    return evaluate.letter_error_rate(_reads(spark, d), _truth_lines(spark, d), "query_id")
 
 
 @R.query("letter_error_rate", S.ctes(READS, RATES) + "SELECT query_id, edits, letters FROM er UNION ALL SELECT -1, sum(edits), sum(letters) FROM er")
