@@ -40,7 +40,9 @@ class Tree:
 def masked(line: Column) -> Column:
     """Tokens of a line with one space between them; tokens with a digit become the mark of a variable field."""
     fields = F.when(line.rlike("[0-9]"), F.regexp_replace(line, FIELD, MARK)).otherwise(line)
-    return F.trim(F.regexp_replace(fields, f"{SPACE}{{2,}}|[\\t-\\r]", " "))
+    even = F.trim(F.regexp_replace(fields, f"{SPACE}{{2,}}|[\\t-\\r]", " "))
+    # Most lines have neither digits nor odd white space, which one look tells.
+    return F.when(line.rlike("[0-9\\t-\\r]|  "), even).otherwise(F.trim(line))
 
 
 def lines(docs: DataFrame, text: str, tree: Tree) -> DataFrame:
