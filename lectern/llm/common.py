@@ -57,10 +57,13 @@ def text_chunks(frame: pd.DataFrame, column: str = "text", chars: int = CHUNK_CH
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit integers; the same everywhere and on every run."""
-    x = np.asarray(x, dtype=np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = np.array(x, dtype=np.uint64)
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)

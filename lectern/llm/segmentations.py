@@ -34,6 +34,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Nothing that crosses the ends of these is a piece: a word with the space before it, or a control character.
 WORD = re.compile(r" ?[^ \n\r\t]+|[\n\r\t]| ")
 BASE, SLOT_BITS = np.uint64(0x9E3779B97F4A7C15), 18
+STRIDE = np.uint64((64 * 0x9E3779B97F4A7C15) % 2**64)
 
 
 @dataclass
@@ -160,14 +161,15 @@ def lattice(words: list[str], vocab: Vocabulary, alpha: float) -> Lattice:
         other = np.log(np.where(count[starts] > 1, np.maximum(1 - p, 0), 0))
     running = np.cumsum(p)
     cum = running - np.repeat(np.concatenate([[0], running])[first[:-1]], np.diff(first))
-    cum[first[1:] - 1] = 1
-    return Lattice(start, stop, first, ends, ids, logp, other, cum)
+    cum[first[1:] - 1] = 2  # above every draw
+    narrow = lambda x: x.astype(np.float32)
+    return Lattice(start, stop, first, ends.astype(np.int32), ids.astype(np.int32), logp, narrow(other), narrow(cum))
 
 
 class Lattices:
     """The lattice of all words met so far, grown word by word; begun anew when it holds `most` characters."""
 
-    def __init__(self, vocab: Vocabulary, alpha: float, most: int = 2_000_000) -> None:
+    def __init__(self, vocab: Vocabulary, alpha: float, most: int = 3_000_000) -> None:
         self.vocab, self.alpha, self.most = vocab, alpha, most
         self.known: dict[str, int] = {}
         self.room: dict[str, np.ndarray] = {}
@@ -178,7 +180,7 @@ class Lattices:
         if self.used.get("first", 0) > self.most:
             self.known, self.used = {}, {}
         known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
+        new = list(set(words).difference(known))
         if new:
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
             more = vars(lattice(new, self.vocab, self.alpha))
@@ -187,8 +189,8 @@ class Lattices:
                 if name == "first":
                     self._add(name, x[1:] + edges if places else x)
                 else:
-                    self._add(name, x + places if name in ("start", "stop", "end") else x)
-        return Lattice(**{name: self.room[name][:n] for name, n in self.used.items()}), np.array([known[w] for w in words], dtype=np.int64)
+                    self._add(name, x + np.array(places, dtype=x.dtype) if name in ("start", "stop", "end") else x)
+        return Lattice(**{name: self.room[name][:n] for name, n in self.used.items()}), np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
 
     def _add(self, name: str, x: np.ndarray) -> None:
         n = self.used.get(name, 0)
@@ -232,20 +234,31 @@ def _given_place(starts: np.ndarray, ends: np.ndarray, w: np.ndarray, last: np.n
 
 def uniform(seed: np.ndarray, turn: int, place: np.ndarray) -> np.ndarray:
     """Draws in (0, 1) by row seed, turn and place."""
+    return unit(stream(seed, turn, place))
+
+
+def stream(seed: np.ndarray, turn: int, place: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        x = mix64(seed + (place.astype(np.uint64) * np.uint64(64) + np.uint64(turn)) * BASE)
-    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+        return place.astype(np.uint64) * STRIDE + (seed + np.uint64(turn) * BASE)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    u = (mix64(x) >> np.uint64(11)).astype(np.float64)
+    u += 0.5
+    u /= 2.0**53
+    return u
 
 
 def walk(lat: Lattice, place: np.ndarray, stop: np.ndarray, seed: np.ndarray, turn: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges drawn from `place` to `stop`, for many words at once, in word order; how many each word has."""
     n = len(place)
+    base = stream(seed, turn, key * 4096)
     count, steps = np.zeros(n, dtype=np.int64), []
     live = np.flatnonzero(place < stop)
     at = place[live]
     step = 0
     while len(live):
-        u = uniform(seed[live], turn, key[live] * 4096 + step)
+        u = unit(base[live] + np.uint64(step * int(STRIDE) % 2**64))
         edge = lat.first[at]
         over = np.flatnonzero(lat.cum[edge] <= u)
         while len(over):
@@ -285,7 +298,7 @@ def _rest(lat: Lattice, edge: int, barred: frozenset[int]) -> np.ndarray:
 def _split(lat: Lattice, s: Sample, seed: np.ndarray, turn: int) -> None:
     """Bounds of the sets of paths that first leave the sample at each of its free edges."""
     p = lat.logp[s.edges]
-    mass = lat.other[s.edges]
+    mass = lat.other[s.edges].astype(np.float64)
     if s.barred and s.fixed < len(p):
         left = _rest(lat, int(s.edges[s.fixed]), s.barred | {int(s.edges[s.fixed])})
         with np.errstate(divide="ignore"):
@@ -323,7 +336,7 @@ def sample_all(texts: list[str], seeds: np.ndarray, lattices: Lattices, k: int)
         _split(lat, s, own, 2)
         drawn.append([s])
     for turn in range(1, k):
-        _open_next(lat, drawn, seeds, turn, ends, sizes, place, stop)
+        _open_next(lat, drawn, seeds, turn, ends, sizes, place, stop, turn == k - 1)
     out = []
     for i, samples in enumerate(drawn):
         if not sizes[i]:
@@ -335,8 +348,11 @@ def sample_all(texts: list[str], seeds: np.ndarray, lattices: Lattices, k: int)
     return out
 
 
-def _open_next(lat: Lattice, drawn: list[list[Sample]], seeds: np.ndarray, turn: int, ends: np.ndarray, sizes: np.ndarray, place: np.ndarray, stop: np.ndarray) -> None:
-    """Open the set with the highest bound of every text that has one, and draw a path from it."""
+def _open_next(lat: Lattice, drawn: list[list[Sample]], seeds: np.ndarray, turn: int, ends: np.ndarray, sizes: np.ndarray, place: np.ndarray, stop: np.ndarray, last: bool) -> None:
+    """Open the set with the highest bound of every text that has one, and draw a path from it.
+
+    The sets split off the last path are never opened; the highest of their bounds is drawn at once from their mass.
+    """
     todo = []
     for i, samples in enumerate(drawn):
         best = max(samples, key=lambda s: s.bounds.max(initial=-np.inf))
@@ -360,15 +376,22 @@ def _open_next(lat: Lattice, drawn: list[list[Sample]], seeds: np.ndarray, turn:
         stops.append(stop[base + w : ends[i]])
         who.append(np.full(len(after), seeds[i]))
         keys.append(np.arange(w, sizes[i]))
-        heads.append((edge, barred))
+        heads.append((edge, barred, float(lat.logp[s.edges[:j]].sum() + np.log(p[-1]))))
     drawn_edges, count = walk(lat, np.concatenate(starts), np.concatenate(stops), np.concatenate(who), 4 * turn + 2, np.concatenate(keys))
     tail_words = np.repeat(np.concatenate(keys), count)
     cuts = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum([len(x) for x in starts])])]
-    for n, ((i, s, j, bound), (edge, barred)) in enumerate(zip(todo, heads, strict=True)):
+    for n, ((i, s, j, bound), (edge, barred, mass)) in enumerate(zip(todo, heads, strict=True)):
         s.bounds[j] = -np.inf
         new = np.concatenate([s.edges[:j], [edge], drawn_edges[cuts[n] : cuts[n + 1]]])
+        logp = float(lat.logp[new].sum())
+        if last:
+            others = -np.expm1(logp - mass)
+            left = mass + np.log(others) if others > 1e-12 else -np.inf
+            noise = -np.log(uniform(seeds[i : i + 1], 4 * turn + 3, np.zeros(1)))
+            drawn[i].append(Sample(new, new, logp, bound, left - np.log(np.exp(left - bound) + noise), j, barred))
+            continue
         words = np.concatenate([s.words[: j + 1], tail_words[cuts[n] : cuts[n + 1]]])
-        sample = Sample(new, words, float(lat.logp[new].sum()), bound, np.empty(0), j, barred)
+        sample = Sample(new, words, logp, bound, np.empty(0), j, barred)
         _split(lat, sample, seeds[i : i + 1], 4 * turn + 3)
         drawn[i].append(sample)
 
