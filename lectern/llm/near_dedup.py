@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import checkpoint, mix64, release, text_chunks
+from lectern.llm.common import checkpoint, mix64, release, shielded, text_chunks
 from lectern.llm.substrings import Hasher, runs
 
 WORD = re.compile("[^\\x20\\x09-\\x0D]+")
@@ -182,7 +182,10 @@ def _agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def full_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
-    """`cls` and packed shingle hashes of the classes in `wanted`, read from one document of each."""
+    """`cls` and packed shingle hashes of the classes in `wanted`, read from one document of each.
+
+    A row that is there several times gives its set as often.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher()
@@ -192,8 +195,7 @@ def full_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFr
 
     rows = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("_id"), F.xxhash64(text).alias("_th"), F.col(text).alias("_text"))
     on = rows["_id"].eqNullSafe(wanted["_id"]) & (rows["_th"] == wanted["_th"])
-    found = rows.join(wanted, on).select("cls", "_text").mapInPandas(run, "cls binary, set binary")
-    return found.groupBy("cls").agg(F.first("set").alias("set"))
+    return rows.join(wanted, on).select("cls", "_text").mapInPandas(run, "cls binary, set binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -222,6 +224,7 @@ def links(docs: DataFrame, signed: DataFrame, key: str, text: str, link: Link) -
     classes = signed.where("n > 0").groupBy("cls").agg(F.min("n").alias("n"), F.min("sig").alias("sig"), F.min(F.struct("_id", "_th")).alias("one"))
     classes = checkpoint(classes.select("cls", "n", "sig", F.col("one._id").alias("_id"), F.col("one._th").alias("_th")))
     nodes = checkpoint(shared(planted(classes, link)))
+    release(docs.sparkSession)
     wanted = classes.join(nodes.select("cls").distinct(), "cls", "left_semi").select("cls", "_id", "_th")
     sets = checkpoint(full_sets(docs, key, text, wanted))
     release(docs.sparkSession)
@@ -247,10 +250,12 @@ def links(docs: DataFrame, signed: DataFrame, key: str, text: str, link: Link) -
 def _more(edges: DataFrame | None, tried: DataFrame | None, pairs: DataFrame, classes: DataFrame, sets: DataFrame, link: Link) -> tuple[DataFrame, DataFrame]:
     """Add the confirmed ones of the pairs that were not tried before."""
     pairs = checkpoint(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs)
-    found = checkpoint(confirmed(pairs, classes, sets, link))
+    found = checkpoint(confirmed(pairs, classes, sets, link).distinct())
+    release(pairs.sparkSession)
     return found if edges is None else edges.union(found), pairs if tried is None else tried.union(pairs)
 
 
+@shielded("key", "text")
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", link: Link = Link()) -> DataFrame:
     """One row per row of `docs`: `key`, `_th` (hash of the text), `n_shingles`, `cls`, `component_id`, `kept`.
 
