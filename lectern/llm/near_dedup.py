@@ -3,17 +3,20 @@
 A document's set is its distinct `WORDS`-word shingles. Documents with equal sets are one class. Every class carries
 `COORDINATES` minwise hashes. In each of `TREES` independent trees a node chooses, by a hash of its path, each coordinate
 with probability `1 / (similarity * COORDINATES)`, and sends its members on by their minwise hash there: similar sets
-meet in some tree, others part. Trees start at depth 2. In every node with two members or more
+meet in some tree, others part. Trees have depth 2. In every node with two members or more
 
 1. each member is compared with the node's smallest member (a star, so a node of n copies costs n comparisons);
 2. links found so far are joined to components, and a node whose members all lie in one component is done;
-3. a node with at most `SMALL` components left is compared exhaustively across components, each pair once;
-4. a larger one branches further, and at depth `DEEPEST` is compared exhaustively all the same.
+3. any other node, however large, is compared exhaustively across components: one with at most `SMALL` components by a
+   join, a larger one in cells of two blocks of members, where only the pairs that go on become rows;
+4. of the pairs from cells those with most hashes in common are confirmed first, and the others only if they still lie in
+   different components.
 
 So no link between different texts is skipped but by the trees' chance, and pairs inside a component, which can join
 nothing more, are not made. A pair goes on if its set sizes allow the similarity and at least half the minwise hashes
-agree (a pair at similarity 0.75 fails that with probability 3e-6), and is then confirmed on the full sets. At depth 2 a
-pair at similarity 0.75 meets in one tree with probability 0.47, so in none of 20 with probability 3e-6.
+agree (a pair at similarity 0.75 fails that with probability 5e-6), and is then confirmed on the full sets. No node is
+branched beyond depth 2, so the trees' chance is the same in crowded nodes: all trees share the hashes, and over the
+binomial spread of their agreement a pair at similarity 0.75 meets in none of 20 trees with probability 8e-6.
 
 Null and empty texts have no set and are linked with nothing. Rows with equal id and text are one document. Components
 take the smallest non-null id. Nothing is collected on the driver but counts.
@@ -36,7 +39,9 @@ from lectern.llm.substrings import Hasher, runs
 
 WORD = re.compile("[^\\x20\\x09-\\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-WORDS, COORDINATES, TREES, SMALL, DEEPEST = 5, 64, 20, 16, 6
+WORDS, COORDINATES, TREES, SMALL, BLOCK = 5, 64, 20, 16, 512
+#: Agreeing hashes from which a pair of a crowded node is confirmed in the first of two rounds.
+SURE = 48
 PATHS = "path bigint, cls binary"
 
 
@@ -137,23 +142,58 @@ def planted(classes: DataFrame, link: Link) -> DataFrame:
     return classes.select("cls", "sig").mapInPandas(run, PATHS)
 
 
-def branched(nodes: DataFrame, classes: DataFrame, link: Link) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for start in range(0, len(frame), 20_000):
-                part = frame.iloc[start : start + 20_000]
-                who, path = children(part["path"].to_numpy().astype(np.uint64), unpack(part["sig"]), link.similarity)
-                yield _expand(part, path, who)
-
-    return nodes.join(classes.select("cls", "sig"), "cls").mapInPandas(run, PATHS)
-
-
 def shared(nodes: DataFrame) -> DataFrame:
     """Nodes with two members or more, each row with the node's smallest member."""
     stars = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("cls").alias("hub")).where("size > 1")
     return nodes.join(stars.select("path", "hub"), "path")
 
 
+def crossed(nodes: DataFrame, classes: DataFrame, link: Link) -> DataFrame:
+    """Pairs `a`, `b` of members of a node (`path`, `cls`, `label`, `size`) in different components, with their `agree`ing hashes.
+
+    Only pairs that their set sizes and hashes let go on. Members are dealt to blocks of about `BLOCK`, and every two
+    blocks of a node meet in one cell, so a large node is many tasks.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK)
+    rows = nodes.join(classes.select("cls", "n", "sig"), "cls").withColumn("own", F.pmod(F.xxhash64("cls", "path"), blocks))
+    rows = rows.withColumn("met", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    cells = rows.select("path", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"), "own", "cls", "label", "n", "sig")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = None
+        for frame in frames:
+            frame = frame if left is None else pd.concat([left, frame], ignore_index=True)
+            if not len(frame):
+                continue
+            at = frame[["path", "i", "j"]].to_numpy()
+            starts = np.flatnonzero(np.append(True, (at[1:] != at[:-1]).any(axis=1)))
+            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+                yield _cell(frame.iloc[lo:hi], link)
+            # The last cell may go on in the next frame.
+            left = frame.iloc[starts[-1] :]
+        if left is not None:
+            yield _cell(left, link)
+
+    cells = cells.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j")
+    return cells.mapInPandas(run, "a binary, b binary, agree int").distinct()
+
+
+def _cell(cell: pd.DataFrame, link: Link) -> pd.DataFrame:
+    sig, n, cls = unpack(cell["sig"]), cell["n"].to_numpy(), cell["cls"].to_numpy()
+    label, inside = pd.factorize(cell["label"])[0], cell["i"].iloc[0] == cell["j"].iloc[0]
+    first = (cell["own"] == cell["i"]).to_numpy()
+    x = np.flatnonzero(first)
+    y = x if inside else np.flatnonzero(~first)
+    agree = np.zeros((len(x), len(y)), dtype=np.uint8)
+    for a, b in zip(sig[x].T, sig[y].T, strict=True):
+        agree += a[:, None] == b
+    good = (agree >= COORDINATES // 2) & (label[x][:, None] != label[y])
+    good &= 100 * np.minimum(n[x][:, None], n[y]) >= link.percent * np.maximum(n[x][:, None], n[y])
+    at, to = np.nonzero(np.triu(good, 1) if inside else good)
+    pairs = [(a, b) if a < b else (b, a) for a, b in zip(cls[x[at]], cls[y[to]], strict=True)]
+    return pd.DataFrame({"a": [a for a, _ in pairs], "b": [b for _, b in pairs], "agree": agree[at, to].astype(np.int32)})
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, link: Link) -> DataFrame:
     """The pairs `a`, `b` whose full sets are similar enough."""
     side = lambda name: classes.select(F.col("cls").alias(name), F.col("n").alias(f"n_{name}"), F.col("sig").alias(f"s_{name}"))
@@ -228,23 +268,27 @@ def links(docs: DataFrame, signed: DataFrame, key: str, text: str, link: Link) -
     wanted = classes.join(nodes.select("cls").distinct(), "cls", "left_semi").select("cls", "_id", "_th")
     sets = checkpoint(full_sets(docs, key, text, wanted))
     release(docs.sparkSession)
-    edges = tried = None
-    for depth in range(2, DEEPEST + 1):
-        star = nodes.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
-        edges, tried = _more(edges, tried, star, classes, sets, link)
-        open_ = labelled(nodes.select("path", "cls"), components(edges))
-        kinds = open_.groupBy("path").agg(F.count_distinct("label").alias("kinds")).where("kinds > 1")
-        open_ = checkpoint(open_.join(kinds, "path"))
-        last = depth == DEEPEST
-        few = open_ if last else open_.where(F.col("kinds") <= SMALL)
-        other = few.select("path", F.col("cls").alias("b"), F.col("label").alias("to"))
-        across = few.select("path", F.col("cls").alias("a"), "label").join(other, "path").where("a < b AND label <> to")
-        edges, tried = _more(edges, tried, across.select("a", "b").distinct(), classes, sets, link)
-        many = open_.where(F.col("kinds") > SMALL).select("path", "cls")
-        if last or many.isEmpty():
-            return edges
-        nodes = checkpoint(shared(branched(many, classes, link)))
-    return edges
+    star = nodes.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
+    edges, tried = _more(None, None, star, classes, sets, link)
+    open_ = labelled(nodes.select("path", "cls"), components(edges))
+    kinds = open_.groupBy("path").agg(F.count_distinct("label").alias("kinds"), F.count(F.lit(1)).alias("size")).where("kinds > 1")
+    open_ = checkpoint(open_.join(kinds, "path"))
+    few = open_.where(F.col("kinds") <= SMALL)
+    other = few.select("path", F.col("cls").alias("b"), F.col("label").alias("to"))
+    across = few.select("path", F.col("cls").alias("a"), "label").join(other, "path").where("a < b AND label <> to")
+    edges, tried = _more(edges, tried, across.select("a", "b").distinct(), classes, sets, link)
+    many = open_.where(F.col("kinds") > SMALL)
+    if many.isEmpty():
+        return edges
+    many = labelled(many.select("path", "cls", "size"), components(edges))
+    pairs = checkpoint(crossed(many, classes, link).join(tried, ["a", "b"], "left_anti"))
+    release(docs.sparkSession)
+    edges, tried = _more(edges, tried, pairs.where(F.col("agree") >= SURE).select("a", "b"), classes, sets, link)
+    labels = components(edges)
+    side = lambda name: labels.select(F.col("cls").alias(name), F.col("label").alias(f"l_{name}"))
+    rest = pairs.where(F.col("agree") < SURE).select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    rest = rest.where(F.coalesce("l_a", "a") != F.coalesce("l_b", "b")).select("a", "b")
+    return _more(edges, tried, rest, classes, sets, link)[0]
 
 
 def _more(edges: DataFrame | None, tried: DataFrame | None, pairs: DataFrame, classes: DataFrame, sets: DataFrame, link: Link) -> tuple[DataFrame, DataFrame]:

@@ -104,6 +104,41 @@ def test_near_dedup_joins_a_large_group_of_near_copies(spark):
     assert all(r.kept for r in got if r.doc_id >= 1000)
 
 
+def test_near_dedup_finds_pairs_at_the_threshold_in_crowded_nodes(spark):
+    """600 different texts with most words in common, alike at 0.755 in pairs and below 0.7 otherwise, by brute force."""
+    rng, texts = random.Random(27), []
+    fresh = lambda n: [f"v{rng.getrandbits(60):x}" for _ in range(n)]
+    common = fresh(112)
+    for _ in range(300):
+        both = fresh(9)
+        texts += [common + both + fresh(19) for _ in range(2)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in texts]
+    alike = [(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert alike == [(i, i + 1) for i in range(0, 600, 2)]
+    got = near_dedup.near_duplicates(frame(spark, [(i, " ".join(w), 1, "", 1) for i, w in enumerate(texts)])).collect()
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.doc_id) if r.component_id != r.doc_id // 2 * 2] == []
+
+
+def test_near_dedup_compares_every_pair_of_a_node_once(spark, monkeypatch):
+    """Cells of several blocks give the pairs of a plain double loop."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    rng = random.Random(2)
+    base = prose(rng, 60).split()
+    rows = [(i, " ".join(base[: 30 + i % 9] + [f"z{rng.randrange(9)}" for _ in range(12)]), 1, "", 1) for i in range(70)]
+    signed = near_dedup.signatures(frame(spark, rows), "doc_id", "text").localCheckpoint()
+    docs = {bytes(r.cls): (r.n, near_dedup.unpack([r.sig])[0], i % 5) for i, r in enumerate(signed.collect())}
+    labels = [(7, bytearray(c), bytearray(str(x[2]).encode()), len(docs)) for c, x in docs.items()]
+    nodes = spark.createDataFrame(labels, "path bigint, cls binary, label binary, size bigint")
+    got = near_dedup.crossed(nodes, signed.dropDuplicates(["cls"]), near_dedup.Link()).collect()
+    want = set()
+    for a, (n, s, x) in docs.items():
+        for b, (m, t, y) in docs.items():
+            agree = int((s == t).sum())
+            if a < b and x != y and agree >= 32 and 100 * min(n, m) >= 75 * max(n, m):
+                want.add((a, b, agree))
+    assert len(want) > 100 and sorted((bytes(r.a), bytes(r.b), r.agree) for r in got) == sorted(want)
+
+
 def test_components_of_a_chain(spark):
     key = lambda n: hashlib.md5(str(n).encode()).digest()
     links = [(bytearray(key(i)), bytearray(key(i + 1))) for i in range(60)] + [(bytearray(b"x"), bytearray(b"y"))]
