@@ -48,11 +48,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @shielded(only=COLUMNS)
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group."""
+    """One document of each group; unlike documents with one id or none are groups of their own."""
     groups = near_dedup.near_duplicates(docs)
-    kept = groups.where("kept").groupBy(F.col("doc_id").alias("_id"), "_th").agg(F.count(F.lit(1)).alias("_rows"))
+    kept = groups.where("kept").groupBy(F.col("doc_id").alias("_id"), "_th", "component").agg(F.count(F.lit(1)).alias("_rows"))
+    # Documents without words are in no group: each stays.
+    alone = F.when(F.col("component").isNull(), F.struct("_id", "_th"))
     # Several texts may share the smallest id of a group; the one with the smallest hash stays.
-    kept = kept.groupBy("_id").agg(F.min(F.struct(F.col("_th").isNull().alias("_none"), "_th", "_rows")).alias("_one")).select("_id", "_one._th", "_one._rows")
+    kept = kept.groupBy("component", alone.alias("_alone")).agg(F.min(F.struct("_th", "_id", "_rows")).alias("_one")).select("_one._id", "_one._th", "_one._rows")
     on = docs["doc_id"].eqNullSafe(kept["_id"]) & F.xxhash64(docs["text"]).eqNullSafe(kept["_th"])
     rows = docs.join(kept, on).select(*[docs[c] for c in docs.columns], "_rows")
     # Only rows that are there more than once are shuffled again.

@@ -301,18 +301,19 @@ def _more(edges: DataFrame | None, tried: DataFrame | None, pairs: DataFrame, cl
 
 @shielded("key", "text")
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", link: Link = Link()) -> DataFrame:
-    """One row per row of `docs`: `key`, `_th` (hash of the text), `n_shingles`, `cls`, `component_id`, `kept`.
+    """One row per row of `docs`: `key`, `_th` (hash of the text), `n_shingles`, `cls`, `component`, `component_id`, `kept`.
 
-    `kept` marks the document with the smallest id of its component.
+    `component` is the same for all rows of a component and for no others, also where ids are null or shared; it is null
+    for a text without words, which is linked with nothing. `kept` marks the document with the smallest id of its component.
     """
     signed = checkpoint(signatures(docs.select(key, text), key, text))
     labels = components(links(docs, signed, key, text, link))
     ids = signed.where("n > 0").groupBy("cls").agg(F.min("_id").alias("own"))
     ids = labelled(ids, labels)
     least = ids.groupBy("label").agg(F.min("own").alias("component_id"))
-    ids = checkpoint(ids.join(least, "label").select("cls", "component_id"))
+    ids = checkpoint(ids.join(least, "label").select("cls", F.col("label").alias("component"), "component_id"))
     out = signed.drop("sig").join(ids, "cls", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id"))
-    return out.select(F.col("_id").alias(key), "_th", F.col("n").alias("n_shingles"), "cls", component.alias("component_id")).withColumn(
+    return out.select(F.col("_id").alias(key), "_th", F.col("n").alias("n_shingles"), "cls", "component", component.alias("component_id")).withColumn(
         "kept", F.col(key).eqNullSafe(F.col("component_id"))
     )

@@ -58,3 +58,15 @@ def test_stages_on_empty_tables(spark, folder):
 def test_every_operator_is_registered():
     names = sorted(int(n[2:].split("_")[0]) for n in queries.registry.queries)
     assert names == list(range(1, 11))
+
+
+def test_unlike_documents_with_one_id_or_none_all_stay(spark):
+    import random
+
+    rng = random.Random(6)
+    a, b, c, d, e = (prose(rng, 60) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (7, d + " wz"), (8, d), (None, e), (9, e), (None, None), (None, None), (3, ""), (3, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = sorted(((r.doc_id, r.text) for r in pipeline.near_duplicates(spark, docs, "").collect()), key=repr)
+    assert len([x for x in got if x[0] == 7 and x[1] in (d, d + " wz")]) == 1
+    assert [x for x in got if x[1] not in (d, d + " wz")] == sorted([(None, a), (None, b), (7, c), (9, e), (None, None), (3, ""), (3, " ")], key=repr)
