@@ -7,6 +7,10 @@ of text is kept where the marginal of its element is at least one half. Weights
 likelihood (observed minus expected features) from the labelled pages of `html_examples` and a bounded sample of the
 pages at hand, labelled by their own `article` or `main` element.
 
+Text of scripts, heads and other unseen elements is left out. Where such an element is not closed, a head ends at the
+first tag or text that cannot stand in it, svg and math at the first HTML element, and all at the end tag of an element
+around them.
+
 Pages pass whole and one by one, so a long page is only as much memory as it has text. A null or empty page gives an
 empty text; repeated rows give equal texts; other columns stay.
 """
@@ -29,6 +33,11 @@ from lectern.llm.common import plain, restored, shielded, text_chunks
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style head title template noscript iframe object svg math canvas audio video".split())
+#: What may stand in a head; anything else ends it.
+HEAD = frozenset("head html base basefont bgsound link meta title style script noscript noframes template".split())
+FOREIGN = frozenset(("svg", "math"))
+#: Elements inside of those two that hold HTML again (the parser gives names in lower case).
+HOSTS = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 #: An opening tag ends an open element of these.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -60,7 +69,9 @@ class Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.page, self.open = Page(), [("root", 0)]
         self.text: list[str] = []
-        self.unseen = self.links = 0
+        self.links = 0
+        #: The unseen element that is open and what is open inside it.
+        self.unseen: list[str] = []
 
     def flush(self) -> None:
         if self.text:
@@ -70,15 +81,18 @@ class Reader(HTMLParser):
             self.text = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.unseen and self.shut_out(tag):
+            self.unseen = []
         if self.unseen:
-            self.unseen += tag in UNSEEN and tag not in VOID
+            if tag not in VOID:
+                self.unseen.append(tag)
             return
         if tag == "br":
             self.text.append(" ")
         if tag in VOID:
             return
         if tag in UNSEEN:
-            self.unseen = 1
+            self.unseen = [tag]
             return
         if tag in INLINE:
             self.links += tag == "a"
@@ -96,6 +110,21 @@ class Reader(HTMLParser):
         page.links.append(0)
         self.open.append((tag, len(page.tag) - 1))
 
+    def shut_out(self, tag: str) -> bool:
+        """Whether a tag cannot stand in the unseen element that is open, which then ends: its own end tag was left out."""
+        if self.unseen[0] == "head":
+            return tag == "body" or (len(self.unseen) == 1 and tag not in HEAD)
+        return self.unseen[0] in FOREIGN and tag in TAG and HOSTS.isdisjoint(self.unseen)
+
+    def ends_above(self, tag: str) -> bool:
+        """Whether an end tag belongs to an element that the unseen one lies in."""
+        for name, at in reversed(self.open):
+            if name == tag:
+                return at > 0 or tag in INLINE
+            if tag in INLINE and name not in INLINE:
+                return False
+        return False
+
     def end_implied(self, tag: str) -> None:
         ends = ENDS.get(tag, ())
         for at in range(len(self.open) - 1, 0, -1):
@@ -114,8 +143,12 @@ class Reader(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if self.unseen:
-            self.unseen -= tag in UNSEEN
-            return
+            if tag in self.unseen:
+                del self.unseen[len(self.unseen) - 1 - self.unseen[::-1].index(tag) :]
+                return
+            if not self.ends_above(tag):
+                return
+            self.unseen = []
         if tag in VOID:
             return
         for at in range(len(self.open) - 1, 0, -1):
@@ -129,6 +162,8 @@ class Reader(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.unseen == ["head"] and data.strip():
+            self.unseen = []
         if not self.unseen:
             self.text.append(data)
             if self.links > 0:

@@ -146,3 +146,20 @@ def test_extraction_of_the_pages_equals_their_articles(spark):
         article = re.search("<article>(.*?)</article>", r.html, re.S)[1]
         blocks = [" ".join(html.unescape(re.sub("</?b>", "", x.replace("<br>", " "))).split()) for x in re.split("</?(?:p|h1)>", article)]
         assert got.text[r.page_id] == "\n".join(x for x in blocks if x)
+
+
+def test_pages_without_end_tags():
+    """The article is read where a head or another unseen element is left open; what is closed stays unseen."""
+    read = lambda html: [body for _, body in html_text.parse(html).parts]
+    body = "<article><p>One.</p><p>Two.</p></article>"
+    for head in ("<title>x</title>", "<title>x</title><meta charset=utf-8><style>p{}</style><script>a<b</script>", "<noscript><img src=p>", "<noscript><link></noscript>"):
+        assert read(f"<html><head>{head}<body>{body}</html>") == ["One.", "Two."], head
+    assert read(f"<head><title>x</title>{body}") == ["One.", "Two."]
+    assert read("<head><title>x</title> \n One. <p>Two.") == ["One.", "Two."]
+    assert read(f"<head><title>x</title><script>s</script></head><body>{body}</body>") == ["One.", "Two."]
+    for tag in ("svg", "object", "noscript", "template", "math", "canvas", "video"):
+        assert read(f"<body><div><{tag}><path>hidden</div>{body}</body>") == ["One.", "Two."], tag
+        assert read(f"<body><p>Zero.<a><{tag}>hidden</a></p>{body}</body>") == ["Zero.", "One.", "Two."], tag
+        assert read(f"<body><div><{tag}><g>hidden</g><i>hidden</{tag}></div>{body}") == ["One.", "Two."], tag
+    assert read(f"<body><svg><path>hidden{body}") == ["One.", "Two."]
+    assert read(f"<body><svg><foreignObject><p>hidden</p></foreignObject></svg>{body}") == ["One.", "Two."]
