@@ -8,7 +8,8 @@ Sampling k paths without replacement is a search from the best on. A set of path
 plus a Gumbel draw, at most the bound of the set it was split from. The set with the highest bound is opened: a path
 drawn from it carries just that bound, and the others are split by the first edge in which they differ from it. The k
 paths opened first are the sample; the bound of the set that would come next turns each path's probability into its
-inclusion probability `1 - exp(-exp(log p - bound))`.
+inclusion probability `1 - exp(-exp(log p - bound))`, given with its logarithm, as it is below the least double for a text
+of some hundred words.
 
 Spaces are taken as the pieces' word marks and one space is put in front, as the model does, so decoding gives back
 every text exactly, word marks in the text included. Draws are hashes of the row key, the round and the place: the same
@@ -31,8 +32,9 @@ from pyspark.sql import types as T
 from lectern.llm.common import mix64, plain, restored, shielded, text_chunks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Nothing that crosses the ends of these is a piece: a word with the space before it, or a control character.
-WORD = re.compile(r" ?[^ \n\r\t]+|[\n\r\t]| ")
+#: Nothing that crosses the ends of these is a piece: a word with the spaces before it, a line feed or tab, spaces with no
+#: word after them. Carriage returns end some pieces and so belong to words.
+WORD = re.compile(r" *[^ \n\t]+|[\n\t]| +")
 BASE, SLOT_BITS = np.uint64(0x9E3779B97F4A7C15), 18
 STRIDE = np.uint64((64 * 0x9E3779B97F4A7C15) % 2**64)
 
@@ -79,15 +81,15 @@ class Vocabulary:
             else:
                 piece = model.id_to_piece(i).replace("▁", " ")
                 surfaces.append(piece.encode())
-                # A piece of several words would cross the ends of words.
-                if WORD.fullmatch(piece):
-                    longest = max(longest, len(piece))
-                    h = np.uint64(0)
-                    for at, c in enumerate(piece):
-                        h = step_hash(h, np.uint64(ord(c)))
-                        known.setdefault(int(h), -1)
-                        if at == len(piece) - 1:
-                            known[int(h)] = i
+                if not WORD.fullmatch(piece):
+                    raise ValueError(f"piece {i} crosses the ends of words")
+                longest = max(longest, len(piece))
+                h = np.uint64(0)
+                for at, c in enumerate(piece):
+                    h = step_hash(h, np.uint64(ord(c)))
+                    known.setdefault(int(h), -1)
+                    if at == len(piece) - 1:
+                        known[int(h)] = i
         nodes = np.array(sorted(known), dtype=np.uint64)
         return Vocabulary(surfaces, np.array(rank), nodes, np.array([known[int(h)] for h in nodes]), byte_ids, longest)
 
@@ -313,11 +315,24 @@ def _split(lat: Lattice, s: Sample, seed: np.ndarray, turn: int) -> None:
 
 def sample_all(texts: list[str], seeds: np.ndarray, lattices: Lattices, k: int) -> list[list[tuple[np.ndarray, float, float]]]:
     """For each text its sampled paths, best bound first: piece ids, log probability, inclusion probability."""
+    return [[(ids, logp, float(np.exp(inc))) for ids, logp, inc in samples] for samples in sample_logs(texts, seeds, lattices, k)]
+
+
+def log_inclusion(distance: float) -> float:
+    """`log(1 - exp(-exp(distance)))`, also where the inner exponential is too small for a double."""
+    if distance < -30:
+        return distance
+    with np.errstate(over="ignore"):
+        return float(np.log(-np.expm1(-np.exp(distance))))
+
+
+def sample_logs(texts: list[str], seeds: np.ndarray, lattices: Lattices, k: int) -> list[list[tuple[np.ndarray, float, float]]]:
+    """As `sample_all`, with the logarithm of the inclusion probability."""
     cut = [WORD.findall(" " + t) if t else [] for t in texts]
     sizes = np.array([len(c) for c in cut])
     flat = [w for c in cut for w in c]
     if not flat:
-        return [[(np.empty(0, dtype=np.int32), 0.0, 1.0)] for _ in texts]
+        return [[(np.empty(0, dtype=np.int32), 0.0, 0.0)] for _ in texts]
     lat, types = lattices.of(flat)
     vocab = lattices.vocab
     doc = np.repeat(np.arange(len(texts)), sizes)
@@ -340,11 +355,10 @@ def sample_all(texts: list[str], seeds: np.ndarray, lattices: Lattices, k: int)
     out = []
     for i, samples in enumerate(drawn):
         if not sizes[i]:
-            out.append([(np.empty(0, dtype=np.int32), 0.0, 1.0)])
+            out.append([(np.empty(0, dtype=np.int32), 0.0, 0.0)])
             continue
         cutoff = max(s.bounds.max(initial=-np.inf) for s in samples)
-        with np.errstate(over="ignore"):
-            out.append([(_ids(lat, s.edges, vocab), s.logp, float(-np.expm1(-np.exp(s.logp - cutoff)))) for s in samples])
+        out.append([(_ids(lat, s.edges, vocab), s.logp, log_inclusion(float(s.logp - cutoff))) for s in samples])
     return out
 
 
@@ -410,25 +424,25 @@ def _ids(lat: Lattice, edges: np.ndarray, vocab: Vocabulary) -> np.ndarray:
 
 @shielded("key", "text")
 def encode(docs: DataFrame, k: int = 2, key: str = "doc_id", text: str = "text", model: str = MODEL, alpha: float = 1.0, seed: int = 1) -> DataFrame:
-    """`docs` without `text`, one row per sampled segmentation: `rank`, `n_pieces`, `log_prob`, `inclusion`, `ids`, `exact`.
+    """`docs` without `text`, one row per sampled segmentation: `rank`, `n_pieces`, `log_prob`, `inclusion`, `log_inclusion`, `ids`, `exact`.
 
     `exact` says whether decoding the ids gives the text back; it is null for a null text. The vocabulary is read on the driver and broadcast; its size is that of the model file.
     """
     vocab = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
-    names = ("rank", "n_pieces", "log_prob", "inclusion", "ids", "exact")
+    names = ("rank", "n_pieces", "log_prob", "inclusion", "log_inclusion", "ids", "exact")
     kept = [c for c in docs.columns if c != text and c not in names]
     before = docs.select(*kept).schema
     rows = plain(docs.select(*kept, F.col(text).alias("_text")))
     rows = rows.withColumn("_seed", F.xxhash64(F.lit(seed), F.col(key).cast("string")))
     schema = T.StructType([rows.schema[c] for c in kept]).add("rank", T.IntegerType()).add("n_pieces", T.LongType())
-    schema = schema.add("log_prob", T.DoubleType()).add("inclusion", T.DoubleType()).add("ids", T.ArrayType(T.IntegerType())).add("exact", T.BooleanType())
+    schema = schema.add("log_prob", T.DoubleType()).add("inclusion", T.DoubleType()).add("log_inclusion", T.DoubleType()).add("ids", T.ArrayType(T.IntegerType())).add("exact", T.BooleanType())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattices = Lattices(vocab.value, alpha)
         for frame in frames:
             for part in text_chunks(frame, "_text", 1_000_000):
                 texts = [t if isinstance(t, str) else "" for t in part["_text"]]
-                samples = sample_all(texts, part["_seed"].to_numpy().astype(np.uint64), lattices, k)
+                samples = sample_logs(texts, part["_seed"].to_numpy().astype(np.uint64), lattices, k)
                 counts = [len(s) for s in samples]
                 out = part.drop(columns=["_text", "_seed"]).loc[np.repeat(np.arange(len(part)), counts)].reset_index(drop=True)
                 empty = part["_text"].isna().repeat(counts).to_numpy()
@@ -439,7 +453,8 @@ def encode(docs: DataFrame, k: int = 2, key: str = "doc_id", text: str = "text",
                     rank=[r for c in counts for r in range(1, c + 1)],
                     n_pieces=[len(x[0]) for x in flat],
                     log_prob=[x[1] for x in flat],
-                    inclusion=[x[2] for x in flat],
+                    inclusion=np.exp([x[2] for x in flat]),
+                    log_inclusion=[x[2] for x in flat],
                     ids=pd.Series(ids, dtype=object),
                     exact=pd.Series([None if x is None else vocab.value.decode(x) == t for x, t in zip(ids, texts_of, strict=True)], dtype=object),
                 )

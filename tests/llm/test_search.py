@@ -137,3 +137,39 @@ def test_segmentations_round_trip(spark, vocab):
     back = segmentations.decode(segmentations.encode(docs.where("doc_id = 3"), 2)).collect()
     assert {r.text for r in back} == {texts[3]}
     assert segmentations.encode(docs.limit(0)).count() == 0
+
+
+@needs_model
+def test_runs_of_spaces_have_all_their_pieces(vocab):
+    """The paths over runs of spaces and carriage returns, enumerated from the model's own pieces, are the lattice's."""
+    pieces = {vocab.surfaces[i]: i for i in range(len(vocab.surfaces)) if vocab.surfaces[i] and i not in set(vocab.byte_ids.tolist())}
+    for text in ("    if", "      ", "a   b", "x;\r", "a  \n    b"):
+        want = {}
+
+        def go(rest, ids, p):
+            if not rest:
+                want[tuple(ids)] = p
+            for n in range(1, len(rest) + 1):
+                i = pieces.get(rest[:n])
+                if i is None and n == 1:
+                    i = int(vocab.byte_ids[rest[0]])
+                if i is not None:
+                    go(rest[n:], [*ids, i], p / (10 + vocab.rank[i]))
+
+        go(b" " + text.encode(), [], 1.0)
+        got = {(): 1.0}
+        for word in segmentations.WORD.findall(" " + text):
+            got = {(*a, *b): p * q for a, p in got.items() for b, q in paths(vocab, word).items()}
+        total = sum(want.values())
+        assert set(got) == set(want), text
+        assert all(abs(got[x] - want[x] / total) < 1e-9 for x in want), text
+
+
+@needs_model
+def test_inclusion_of_a_long_text(spark, vocab):
+    rows = [(1, "the cat sat on the mat " * 2000), (2, "the cat"), (3, "")]
+    got = segmentations.encode(spark.createDataFrame(rows, "doc_id bigint, text string"), 2).collect()
+    assert all(r.exact and math.isfinite(r.log_inclusion) and r.log_inclusion <= 0 and abs(math.exp(r.log_inclusion) - r.inclusion) < 1e-12 for r in got)
+    long = [r for r in got if r.doc_id == 1]
+    assert len(long) == 2 and all(r.log_prob < -1000 and abs(r.log_inclusion - r.log_prob) < 50 for r in long)
+    assert [r.log_inclusion for r in got if r.doc_id == 3] == [0.0]
