@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, html_text, language, line_templates, near_dedup, quality, segmentations, substrings, top_k, url_rules
+from lectern.llm import decontaminate, divergence, html_text, language, line_templates, near_dedup, periodic_runs, quality, segmentations, substrings, top_k, url_rules, vector_tree
 from lectern.llm.common import held_out, read
 from lectern.plans.registry import Registry
 
@@ -146,3 +146,76 @@ def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @registry.query("op7_near_dedup")
 def near_dedup_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """`docs` with the last words of every tenth text, by checksum of its id, replaced by repetitions of a few of them."""
+    words, h = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)), F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    d = docs.withColumn("_g", F.floor(h / 10)).withColumn("_words", F.when((h % 10 == 0) & (F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]")) > 0), words))
+    n = F.size("_words")
+    d = d.withColumn("_a", (F.col("_g") % F.greatest(n, F.lit(1))).cast("int"))
+    d = d.withColumn("_p", (1 + F.floor((n - F.col("_a")) / (3 + F.col("_g") % 8))).cast("int"))
+    times = F.ceil((n - F.col("_a")) / F.col("_p")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("_words", F.col("_a") + 1, F.col("_p")), times)), F.lit(1), n - F.col("_a"))
+    text = F.array_join(F.concat(F.slice("_words", F.lit(1), F.col("_a")), tail), " ")
+    return d.withColumn("text", F.when(F.col("_words").isNotNull(), text).otherwise(F.col("text"))).drop("_g", "_words", "_a", "_p")
+
+
+@registry.query("op11_periodic_runs")
+def runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.find(with_planted_runs(read(spark, folder, "documents").select("doc_id", "text")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.withColumn("best", best).withColumn("length", -F.col("best.less"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "length",
+        "best.period",
+        F.floor(1000 * F.col("length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@registry.query("op12_nearest_neighbours")
+def nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read(spark, folder, "embeddings").select("vec_id", "embedding")
+    return vector_tree.neighbours(rows, rows.where("vec_id % 20 = 0"), 20, vector="embedding")
+
+
+DIVERGENCE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+words AS (
+  SELECT row, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS n FROM words GROUP BY 1, 2 HAVING count(DISTINCT row) >= 3),
+langs AS (
+  SELECT lang, CAST(count(term) AS HUGEINT) AS v, coalesce(sum(n), 0) AS total
+  FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY 1),
+counts AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS c FROM words JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+groups AS (
+  SELECT lang, source, v, CAST(coalesce(sum(c), 0) AS HUGEINT) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) JOIN langs USING (lang) LEFT JOIN counts USING (lang, source) GROUP BY 1, 2, 3),
+p AS (
+  SELECT lang, source, term, coalesce(c, 0) AS c, 1 + 1000000000 * (coalesce(c, 0) + 1) // (groups.total + v) AS p,
+    1 + 1000000000 * (n + 1) // (langs.total + v) AS q
+  FROM groups JOIN kept USING (lang) JOIN langs USING (lang, v) LEFT JOIN counts USING (lang, source, term)),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source),
+parts AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE c > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@registry.query("op13_source_divergence", DIVERGENCE_SQL)
+def source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(read(spark, folder, "documents").select("text", "lang", "source"))
