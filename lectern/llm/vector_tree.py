@@ -32,6 +32,8 @@ from lectern.llm.common import checkpoint
 from lectern.llm.top_k import usable
 
 CANDIDATES, QUERIES = 4096, 512
+#: Rows whose scores are summed exactly at once.
+PAIRS = 100_000
 
 
 @dataclass(frozen=True)
@@ -41,9 +43,9 @@ class Settings:
 
     sample: int = 40_000
     branching: int = 8
-    leaf: int = 64
+    leaf: int = 256
     probes: int = 200
-    recall: float = 0.97
+    recall: float = 0.95
 
 
 @dataclass
@@ -130,17 +132,38 @@ class Forest:
                 heapq.heappush(queue, (-float(score), n, child))
 
 
-def best_rows(q: np.ndarray, own: tuple[int, bool], x: np.ndarray, ids: np.ndarray, none: np.ndarray, k: int, rough: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and exact scores of the best `k` rows; `rough` are their scores up to rounding."""
-    rough = np.where((ids == own[0]) & (none == own[1]), -np.inf, rough)
-    at = np.flatnonzero(rough > -np.inf)
-    if len(at) > k:
-        slack = 1e-12 * len(q) * np.abs(q).max() * np.abs(x).max()
-        at = np.flatnonzero((rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - slack) & (rough > -np.inf))
-    # Summed row by row in one order, so that equal vectors have equal scores.
-    score = (x[at] * q).sum(axis=1)
-    first = np.lexsort((ids[at], none[at], -score))[:k]
-    return at[first], score[first]
+def first_of(group: np.ndarray, score: np.ndarray, none: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the best `k` of each group, groups in order: score down, then ids up, null ones last."""
+    order = np.lexsort((ids, none, -score, group))
+    g = group[order]
+    start = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, int)
+    place = np.arange(len(g)) - np.repeat(start, np.diff(np.append(start, len(g))))
+    return order[place < k]
+
+
+def best_rows(q: np.ndarray, own: tuple[np.ndarray, np.ndarray], x: np.ndarray, ids: np.ndarray, none: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query numbers, row numbers and exact scores of the best `k` rows of each query."""
+    rough = q @ x.T
+    rough[(own[0][:, None] == ids) & (own[1][:, None] == none)] = -np.inf
+    if len(x) > k:
+        kth = np.partition(rough, len(x) - k, axis=1)[:, len(x) - k]
+        # Matrix products differ by rounding; the slack keeps every row that may be among the best.
+        near = rough >= (kth - 1e-12 * q.shape[1] * np.abs(q).max(axis=1) * np.abs(x).max())[:, None]
+    else:
+        near = np.ones(rough.shape, bool)
+    near &= rough > -np.inf
+    ends, out, start = np.cumsum(near.sum(axis=1)), [], 0
+    while start < len(q):
+        # As many queries as give about `PAIRS` rows to sum exactly, one at least.
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, side="right")))
+        n, at = np.nonzero(near[start:stop])
+        n += start
+        # Summed row by row in one order, so that equal vectors have equal scores.
+        score = (x[at] * q[n]).sum(axis=1)
+        first = first_of(n, score, none[at], ids[at], k)
+        out.append((n[first], at[first], score[first]))
+        start = stop
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def rows_of(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -174,20 +197,25 @@ def calibrate(filed: DataFrame, asked: DataFrame, forest, k: int, s: Settings) -
     The probes are a bounded number of queries with the lowest hash; each task keeps its best `k` rows for each.
     """
     probes = asked.orderBy(F.xxhash64("key"), "key").limit(s.probes).toPandas()
-    held = [(np.asarray(v, float), (int(i), bool(n))) for v, i, n in zip(probes["v"], probes["id"], probes["none"], strict=True)]
+    held, by_length = [np.asarray(v, float) for v in probes["v"]], {}
+    for n, v in enumerate(held):
+        by_length.setdefault(len(v), []).append(n)
+    own_id, own_none = probes["id"].to_numpy(np.int64), probes["none"].to_numpy(bool)
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = [pd.DataFrame({"probe": [], "score": [], "none": [], "id": [], "leaf": []})] * len(held)
+        best = [np.zeros(0, int), np.zeros(0), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)]
         for frame in frames:
             for length, at in frame.groupby(frame["v"].str.len()).indices.items():
+                numbers = np.array(by_length.get(length, []), int)
+                if not len(numbers):
+                    continue
                 x, ids, none, leaf = np.stack(frame["v"].to_numpy()[at]), frame["id"].to_numpy()[at], frame["none"].to_numpy(bool)[at], frame["leaf"].to_numpy()[at]
-                for n, (q, own) in enumerate(held):
-                    if len(q) == length:
-                        top, score = best_rows(q, own, x, ids, none, k, x @ q)
-                        found = pd.DataFrame({"probe": n, "score": score, "none": none[top], "id": ids[top], "leaf": leaf[top]})
-                        best[n] = pd.concat([best[n], found]).sort_values(["score", "none", "id"], ascending=[False, True, True])[:k]
-        if best:
-            yield pd.concat(best).astype({"probe": "int32", "score": "float64", "none": bool, "id": "int64", "leaf": "int64"})
+                n, row, score = best_rows(np.stack([held[i] for i in numbers]), (own_id[numbers], own_none[numbers]), x, ids, none, k)
+                found = (numbers[n], score, none[row], ids[row], leaf[row])
+                best = [np.concatenate(pair) for pair in zip(best, found, strict=True)]
+                kept = first_of(best[0], best[1], best[2], best[3], k)
+                best = [c[kept] for c in best]
+        yield pd.DataFrame(dict(zip(("probe", "score", "none", "id", "leaf"), best, strict=True)))
 
     order = W.partitionBy("probe").orderBy(F.desc("score"), "none", "id")
     found = filed.select("id", "none", "v", "leaf").mapInPandas(scan, "probe int, score double, none boolean, id bigint, leaf bigint")
@@ -195,7 +223,7 @@ def calibrate(filed: DataFrame, asked: DataFrame, forest, k: int, s: Settings) -
     if not len(true):
         return 1, 1.0
     # The visit at which each true neighbour is met.
-    place = [{leaf: n for n, leaf in enumerate(forest.value.visits(q), 1)} for q, _ in held]
+    place = [{leaf: n for n, leaf in enumerate(forest.value.visits(q), 1)} for q in held]
     at = np.sort([place[p][leaf] for p, leaf in zip(true["probe"], true["leaf"], strict=True)])
     needed = int(at[int(np.ceil(s.recall * len(at))) - 1])
     return needed, float((at <= needed).mean())
@@ -225,17 +253,15 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "ve
     ask = visiting.join(grid, "leaf").select("id", "none", "v", "key", "leaf", F.pmod("key", "shifts").alias("shift"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({c: [] for c in ("query_id", "query_none", "key", "vec_id", "none", "score")})]
+        out = [left.head(0).rename(columns={"id": "query_id", "none": "query_none"})[["query_id", "query_none", "key"]].assign(vec_id=0, none=False, score=0.0)]
         for length, at in left.groupby(left["v"].str.len()).indices.items():
-            c = right[right["v"].str.len() == length]
+            c, q = right[right["v"].str.len() == length], left.iloc[at]
             if not len(c):
                 continue
-            x, ids, none = np.stack(c["v"].to_numpy()), c["id"].to_numpy(), c["none"].to_numpy(bool)
-            rough = np.stack(left["v"].to_numpy()[at]) @ x.T
-            for n, q in enumerate(left.iloc[at].itertuples()):
-                top, score = best_rows(np.asarray(q.v, float), (q.id, q.none), x, ids, none, k, rough[n])
-                out.append(pd.DataFrame({"query_id": q.id, "query_none": q.none, "key": q.key, "vec_id": ids[top], "none": none[top], "score": score}))
-        return pd.concat(out).astype({"query_id": "int64", "query_none": bool, "key": "int64", "vec_id": "int64", "none": bool, "score": "float64"})
+            ids, none, asked_by = c["id"].to_numpy(), c["none"].to_numpy(bool), (q["id"].to_numpy(), q["none"].to_numpy(bool))
+            n, row, score = best_rows(np.stack(q["v"].to_numpy()), asked_by, np.stack(c["v"].to_numpy()), ids, none, k)
+            out.append(pd.DataFrame({"query_id": asked_by[0][n], "query_none": asked_by[1][n], "key": q["key"].to_numpy()[n], "vec_id": ids[row], "none": none[row], "score": score}))
+        return pd.concat(out)
 
     cell = ["leaf", "block", "shift"]
     met = ask.groupBy(*cell).cogroup(cand.groupBy(*cell)).applyInPandas(meet, "query_id bigint, query_none boolean, key bigint, vec_id bigint, none boolean, score double")
