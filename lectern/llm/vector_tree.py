@@ -7,8 +7,9 @@ priority is the inner product with its centre plus the spread of its members alo
 visited is calibrated: for some queries the true neighbours among all rows are found by a full scan, and visits are
 widened until the leaves hold the wanted share of them, all leaves if need be.
 
-Leaves and the queries that visit them meet in cells of bounded size: a leaf with many rows (copies of one vector) or many
-visitors is dealt over several. The tree and the counts per leaf are as large as the sample allows, whatever the data.
+Leaves and the queries that visit them meet in cells of bounded size: small neighbouring leaves share one, and a leaf with
+many rows (copies of one vector) or many visitors is dealt over several. A cell gives `k` rows per query at most. The tree
+and the counts per leaf are as large as the sample allows, whatever the data.
 
 Nearness is the inner product in double precision, of the vectors as they are. Vectors that are null, empty, zero or hold
 null or non-finite components take no part. Vectors of different lengths are not compared; lengths that the sample lacks
@@ -41,9 +42,9 @@ class Settings:
     """Vectors that the tree is fitted on, children of a node, sample vectors of a leaf, queries of the calibration, and the share of
     true neighbours that visits are widened to."""
 
-    sample: int = 40_000
+    sample: int = 20_000
     branching: int = 8
-    leaf: int = 256
+    leaf: int = 128
     probes: int = 200
     recall: float = 0.95
 
@@ -141,9 +142,11 @@ def first_of(group: np.ndarray, score: np.ndarray, none: np.ndarray, ids: np.nda
     return order[place < k]
 
 
-def best_rows(q: np.ndarray, own: tuple[np.ndarray, np.ndarray], x: np.ndarray, ids: np.ndarray, none: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query numbers, row numbers and exact scores of the best `k` rows of each query."""
+def best_rows(q: np.ndarray, own: tuple[np.ndarray, np.ndarray], x: np.ndarray, ids: np.ndarray, none: np.ndarray, k: int, visited: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query numbers, row numbers and exact scores of the best `k` rows that each query visits."""
     rough = q @ x.T
+    if visited is not None:
+        rough[~visited] = -np.inf
     rough[(own[0][:, None] == ids) & (own[1][:, None] == none)] = -np.inf
     if len(x) > k:
         kth = np.partition(rough, len(x) - k, axis=1)[:, len(x) - k]
@@ -166,6 +169,20 @@ def best_rows(q: np.ndarray, own: tuple[np.ndarray, np.ndarray], x: np.ndarray,
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
+def cells_of(held: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """Each leaf's cell and the blocks it is dealt over. Neighbouring leaves share a cell while it has room."""
+    out, cell, size = {}, 0, 0
+    for leaf, n in sorted(held.items()):
+        if size and size + n > CANDIDATES:
+            cell, size = cell + 1, 0
+        out[leaf] = cell
+        size += n
+    total = {}
+    for leaf, c in out.items():
+        total[c] = total.get(c, 0) + held[leaf]
+    return {leaf: (c, -(-total[c] // CANDIDATES)) for leaf, c in out.items()}
+
+
 def rows_of(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
     """id, none (whether the id is null), v."""
     kept = df.where(searchable(F.col(vector)))
@@ -237,20 +254,29 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "ve
     filed = checkpoint(file_rows(rows, forest).withColumn("deal", F.xxhash64(F.monotonically_increasing_id())))
     asked = checkpoint(asked.withColumn("key", F.xxhash64("id", "none", "v")))
     visits, _ = calibrate(filed, asked, forest, k, settings)
+    # A row per leaf, and the sample bounds the leaves.
+    cells = cells_of({r["leaf"]: r["n"] for r in filed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()})
 
     def plan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            leaves = [[leaf for _, leaf in zip(range(visits), forest.value.visits(np.asarray(v, float)))] for v in frame["v"]]
-            yield frame.assign(leaf=leaves)
-
-    planned = asked.mapInPandas(plan, "id bigint, none boolean, v array<double>, key bigint, leaf array<bigint>")
-    visiting = checkpoint(planned.withColumn("leaf", F.explode("leaf")))
-    # Both counts have a row per leaf, and the sample bounds the leaves.
-    held = filed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / CANDIDATES).alias("blocks"))
-    sought = visiting.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("shifts"))
-    grid = F.broadcast(held.join(sought, "leaf"))
-    cand = filed.join(grid, "leaf").select("id", "none", "v", "leaf", F.pmod("deal", "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("shifts") - 1)).alias("shift"))
-    ask = visiting.join(grid, "leaf").select("id", "none", "v", "key", "leaf", F.pmod("key", "shifts").alias("shift"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+            rows = []
+            for n, v in enumerate(frame["v"]):
+                met = {}
+                for _, leaf in zip(range(visits), forest.value.visits(np.asarray(v, float))):
+                    if leaf in cells:
+                        met.setdefault(cells[leaf], []).append(leaf)
+                rows += [(n, *cell, leaves) for cell, leaves in met.items()]
+            at = frame.iloc[[r[0] for r in rows]].reset_index(drop=True)
+            yield at.assign(cell=[r[1] for r in rows], blocks=[r[2] for r in rows], leaves=[r[3] for r in rows])
+
+    planned = asked.mapInPandas(plan, "id bigint, none boolean, v array<double>, key bigint, cell bigint, blocks bigint, leaves array<bigint>")
+    visiting = checkpoint(planned)
+    sought = visiting.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("shifts"))
+    of_leaf = rows.sparkSession.createDataFrame([(leaf, *cell) for leaf, cell in cells.items()], "leaf bigint, cell bigint, blocks bigint")
+    cand = filed.join(F.broadcast(of_leaf.join(sought, "cell")), "leaf")
+    cand = cand.select("id", "none", "v", "leaf", "cell", F.pmod("deal", "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("shifts") - 1)).alias("shift"))
+    ask = visiting.join(F.broadcast(sought), "cell")
+    ask = ask.select("id", "none", "v", "key", "leaves", "cell", F.pmod("key", "shifts").alias("shift"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = [left.head(0).rename(columns={"id": "query_id", "none": "query_none"})[["query_id", "query_none", "key"]].assign(vec_id=0, none=False, score=0.0)]
@@ -259,11 +285,13 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "ve
             if not len(c):
                 continue
             ids, none, asked_by = c["id"].to_numpy(), c["none"].to_numpy(bool), (q["id"].to_numpy(), q["none"].to_numpy(bool))
-            n, row, score = best_rows(np.stack(q["v"].to_numpy()), asked_by, np.stack(c["v"].to_numpy()), ids, none, k)
+            where, leaves = pd.factorize(c["leaf"])
+            visited = np.stack([np.isin(leaves, of) for of in q["leaves"]])[:, where]
+            n, row, score = best_rows(np.stack(q["v"].to_numpy()), asked_by, np.stack(c["v"].to_numpy()), ids, none, k, visited)
             out.append(pd.DataFrame({"query_id": asked_by[0][n], "query_none": asked_by[1][n], "key": q["key"].to_numpy()[n], "vec_id": ids[row], "none": none[row], "score": score}))
         return pd.concat(out)
 
-    cell = ["leaf", "block", "shift"]
+    cell = ["cell", "block", "shift"]
     met = ask.groupBy(*cell).cogroup(cand.groupBy(*cell)).applyInPandas(meet, "query_id bigint, query_none boolean, key bigint, vec_id bigint, none boolean, score double")
     order = W.partitionBy("query_id", "key").orderBy(F.desc("score"), "none", "vec_id")
     ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
