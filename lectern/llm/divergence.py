@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator, Set
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,7 +31,7 @@ from lectern.llm.common import checkpoint
 
 MIN_DOCS = 3
 #: Bytes of the prefixes of each level; whole terms follow.
-LEVELS = (3, 6, 12)
+LEVELS = (4, 8)
 BITS = 1 << 26
 #: Entries of a task's tables before it sends them on, and terms whose fate it remembers.
 ENTRIES, REMEMBERED = 200_000, 400_000
@@ -57,26 +57,40 @@ def bit_map(kept: DataFrame) -> bytes:
     return out.tobytes()
 
 
-class Alive:
-    """Terms of each language to the node that is counted for them; none for terms whose last prefix was discarded."""
+class Nodes(dict):
+    """Terms of one language to the node that is counted for them: their first `level` bytes, the whole term without a
+    level, and nothing (b"") if the prefix of the level before was discarded. Worked out when a term is first met."""
 
-    def __init__(self, before: int | None, level: int | None, bits: bytes | None, room: int) -> None:
-        self.before, self.level, self.bits, self.room, self.nodes, self.size = before, level, bits, room, {}, 0
+    def __init__(self, lang: bytes, before: int | None, level: int | None, bits: bytes | None) -> None:
+        self.lang, self.before, self.level, self.bits = lang, before, level, bits
 
-    def of(self, lang: bytes, found: Set[bytes]) -> dict[bytes, bytes | None]:
+    def __missing__(self, term: bytes) -> bytes:
+        node = term[: self.level]
+        if self.bits is not None:
+            at = zlib.crc32(self.lang + b"\0" + term[: self.before]) & (8 * len(self.bits) - 1)
+            if not self.bits[at >> 3] >> (at & 7) & 1:
+                node = b""
+        self[term] = node
+        return node
+
+
+class Languages:
+    """The nodes of each language, of at most about `room` terms together."""
+
+    def __init__(self, *given, room: int) -> None:
+        self.given, self.room, self.nodes, self.size = given, room, {}, 0
+
+    def of(self, lang: bytes, words: list[bytes]) -> list[bytes]:
         if self.size > self.room:
             self.nodes.clear()
             self.size = 0
-        nodes = self.nodes.setdefault(lang, {})
-        fresh = found - nodes.keys()
-        self.size += len(fresh)
-        for t in fresh:
-            alive = True
-            if self.bits is not None:
-                at = zlib.crc32(lang + b"\0" + t[: self.before]) & (8 * len(self.bits) - 1)
-                alive = self.bits[at >> 3] >> (at & 7) & 1
-            nodes[t] = t[: self.level] if alive else None
-        return nodes
+        if lang not in self.nodes:
+            self.nodes[lang] = Nodes(lang, *self.given)
+        nodes = self.nodes[lang]
+        self.size -= len(nodes)
+        found = list(map(nodes.__getitem__, words))
+        self.size += len(nodes)
+        return found
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bytes, bytes]]:
@@ -91,21 +105,17 @@ def count_nodes(docs: DataFrame, before: int | None, level: int, bits: bytes | N
     shared, room, most = docs.sparkSession.sparkContext.broadcast(bits), REMEMBERED, ENTRIES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alive, seen, size = Alive(before, level, shared.value, room), defaultdict(Counter), 0
+        nodes, seen, size = Languages(before, level, shared.value, room=room), defaultdict(Counter), 0
 
         def sent() -> pa.RecordBatch:
-            flat = [(lang, node, n) for lang, c in seen.items() for node, n in c.items()]
+            flat = [(lang, node, n) for lang, c in seen.items() for node, n in c.items() if node]
             return pa.RecordBatch.from_pydict({"lang": [x[0].decode() for x in flat], "node": [x[1] for x in flat], "docs": [x[2] for x in flat]}, schema)
 
         schema = pa.schema([("lang", pa.string()), ("node", pa.binary()), ("docs", pa.int64())])
         for lang, _, text in rows_of(batches):
-            found = set(terms(text))
-            nodes = alive.of(lang, found)
-            here = {nodes[t] for t in found}
-            here.discard(None)
             c = seen[lang]
             size -= len(c)
-            c.update(here)
+            c.update(set(nodes.of(lang, terms(text))))
             size += len(c)
             if size > most:
                 yield sent()
@@ -122,24 +132,21 @@ def count_terms(docs: DataFrame, before: int, bits: bytes) -> DataFrame:
     shared, room, most = docs.sparkSession.sparkContext.broadcast(bits), REMEMBERED, ENTRIES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alive, seen, size = Alive(before, None, shared.value, room), defaultdict(lambda: (Counter(), Counter())), 0
+        nodes, seen, size = Languages(before, None, shared.value, room=room), defaultdict(lambda: (Counter(), Counter())), 0
         schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("n", pa.int64())])
 
         def sent() -> pa.RecordBatch:
-            flat = [(*key, t, d, number[t]) for key, (having, number) in seen.items() for t, d in having.items()]
+            flat = [(*key, t, d, number[t]) for key, (having, number) in seen.items() for t, d in having.items() if t]
             columns = list(zip(*flat, strict=True)) if flat else [[]] * 5
             texts = [[x.decode() for x in c] for c in columns[:3]]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*texts, *columns[3:]], schema, strict=True)], schema=schema)
 
         for lang, source, text in rows_of(batches):
-            number = Counter(terms(text))
-            nodes = alive.of(lang, number.keys())
-            having, total = seen[lang, source]
+            found = nodes.of(lang, terms(text))
+            having, number = seen[lang, source]
             size -= len(having)
-            for t in [t for t in number if nodes[t] is None]:
-                del number[t]
-            having.update(number.keys())
-            total.update(number)
+            having.update(set(found))
+            number.update(found)
             size += len(having)
             if size > most:
                 yield sent()
