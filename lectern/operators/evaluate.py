@@ -14,6 +14,7 @@ from ..functions.text import content_key, file_number
 from .joins import point_in_interval, prefix_sums
 from .locate import LocateConfig, locate
 from .order import previous_value
+from .store import CorpusIndex
 
 
 @dataclass(frozen=True)
@@ -139,14 +140,14 @@ def tally(results: DataFrame, key: str) -> DataFrame:
 
 
 def robustness_sweep(
-    windows: DataFrame, documents: DataFrame, rates: list[float], seed: int, cfg: LocateConfig = LocateConfig()
+    windows: DataFrame, corpus: CorpusIndex, rates: list[float], seed: int, cfg: LocateConfig = LocateConfig()
 ) -> DataFrame:
     """Sampled windows located at every letter error rate, all rates in one job, and tallied per rate."""
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(r).alias("rate")) for i, r in enumerate(rates)])
     w = windows.select("*", F.explode(steps).alias("s"))
     w = w.withColumns({"query_id": F.col("query_id") * len(rates) + F.col("s.i"), "rate": F.col("s.rate")}).drop("s")
     noisy = perturb_text(w, seed, p=cfg.profile, rate="rate").select("query_id", "line_no", "text")
-    res = locate(noisy, documents, cfg).results
+    res = locate(noisy, corpus, cfg).results
     guess = F.coalesce("best", F.try_element_at("alternatives", F.lit(1)))
     res = res.select("query_id", "status", guess.alias("g"))
     truth = w.select("query_id", "rate", "doc_id", "true_start", "true_end").distinct()

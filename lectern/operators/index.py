@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,26 +11,14 @@ from pyspark.sql import functions as F
 from ..functions.distance import may_be_similar, word_similarity
 from ..functions.profile import LATIN, Profile
 from ..functions.text import tokenize, trigrams
-from ..session import checkpoint, fits, spread
+from ..session import checkpoint, in_blocks, spread
 
 BLOCK = 64
 """Words per row of the blocked corpus."""
 
 
-def corpus_words(documents: DataFrame, p: Profile = LATIN) -> DataFrame:
-    """One row per word: doc_id, pos, word. A reading's `?` has no meaning in the corpus, so it separates words."""
-    toks = tokenize(F.replace(F.col("text"), F.lit("?"), F.lit(" ")), p)
-    return documents.select("doc_id", F.posexplode(toks).alias("pos", "word"))
-
-
-def corpus_docs(documents: DataFrame, p: Profile = LATIN) -> DataFrame:
-    """doc_id, toks: one row per document; a null text has no tokens."""
-    text = F.replace(F.coalesce("text", F.lit("")), F.lit("?"), F.lit(" "))
-    return documents.select("doc_id", tokenize(text, p).alias("toks"))
-
-
 def corpus_blocks(documents: DataFrame, p: Profile = LATIN, size: int = BLOCK) -> DataFrame:
-    """The corpus as rows of `size` words keyed by (doc_id, block), for cutting windows without a shuffle of words."""
+    """The corpus as rows of `size` words keyed by (doc_id, block). A reading's `?` has no meaning in it, so it separates words."""
     d = documents.select("doc_id", tokenize(F.replace(F.col("text"), F.lit("?"), F.lit(" ")), p).alias("toks"))
     d = d.where(F.size("toks") > 0).withColumn("doc_words", F.size("toks"))
     starts = F.sequence(F.lit(0), F.floor((F.col("doc_words") - 1) / size).cast("int"))
@@ -44,9 +34,9 @@ def vocabulary(words: DataFrame) -> DataFrame:
     return v.select("word", "n", total.alias("total"), F.log(total / F.col("n")).alias("idf"))
 
 
-def idf_of(forms: DataFrame, vocab: DataFrame, words: DataFrame) -> DataFrame:
+def idf_of(forms: DataFrame, vocab: DataFrame) -> DataFrame:
     """Weight of each form, ln(total) for one that never occurs."""
-    total = words.agg(F.count(F.lit(1))).scalar()
+    total = vocab.agg(F.sum("n")).scalar()
     j = forms.join(vocab.select("word", "n", "idf"), "word", "left")
     return j.select("word", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("idf", F.log(total)).alias("idf"))
 
@@ -56,78 +46,46 @@ def postings(forms: DataFrame, words: DataFrame) -> DataFrame:
     return forms.select("word").distinct().join(words, "word", "left")
 
 
-def trigram_index(vocab: DataFrame) -> DataFrame:
-    return vocab.select(F.explode(trigrams("word")).alias("gram"), F.col("word").alias("form"))
+def summary(vocab: DataFrame) -> DataFrame:
+    return vocab.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("words"), F.count(F.lit(1)).alias("forms"))
 
 
-def summary(words: DataFrame, exact: bool = True) -> DataFrame:
-    distinct = F.count_distinct("word") if exact else F.approx_count_distinct("word")
-    return words.agg(F.count(F.lit(1)).alias("words"), distinct.alias("forms"))
+GRAMS = 1_000_000
+"""Rows of token trigrams that are sent to every task."""
 
 
-BROADCAST_ROWS = 1_000_000
-"""Most rows sent to every task; beyond it the shuffled forms run."""
-
-
-def _pairs_in_place(tg: DataFrame, forms: DataFrame, max_length_delta: int) -> DataFrame:
-    """token, form, need, shared: trigrams shared by each pair, counted where the forms lie.
-
-    The vocabulary is already partitioned by form and the token trigrams (few, checked) go to every task, so counting
-    per (form, token) needs no shuffle of pairs.
-    """
-    fg = spread(forms, "word").select(F.col("word").alias("form"), F.explode(trigrams("word")).alias("gram"))
-    j = fg.join(F.broadcast(tg), "gram").where(F.abs(F.length("form") - F.col("tlen")) <= max_length_delta)
-    return j.groupBy("form", "token", "need").agg(F.sum("tm").alias("shared"))
-
-
-def _pairs_by_prefix(tg: DataFrame, forms: DataFrame, max_length_delta: int) -> DataFrame:
-    """token, form, need, shared: trigrams shared by each pair, by a shuffled join on the rarer trigrams.
-
-    A form must share `need` trigrams, so it shares one outside any set of trigrams whose shared count cannot reach
-    `need`. Leaving the token's most frequent trigrams in that set (an exact prefix filter) means the hot ones are never
-    joined. Form length is part of the join key, which splits the rest.
-    """
-    fg = forms.select(F.col("word").alias("form"), F.length("word").alias("flen"), F.explode(trigrams("word")).alias("gram"))
-    fg = fg.groupBy("gram", "flen", "form").agg(F.count(F.lit(1)).alias("fm"))
-    stats = fg.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.max("fm").alias("fmax"))
-    frequent_first = W.partitionBy("token").orderBy(F.desc("df"), "gram")
-    reach = F.sum(F.col("tm") * F.col("fmax")).over(frequent_first.rowsBetween(W.unboundedPreceding, 0))
-    prefix = tg.join(stats, "gram").withColumn("reach", reach).where(F.col("reach") >= F.col("need"))
-    lens = F.sequence(F.col("tlen") - max_length_delta, F.col("tlen") + max_length_delta)
-    prefix = prefix.select("token", "need", "gram", F.explode(lens).alias("flen"))
-    pairs = (
-        spread(prefix, "gram", "flen")
-        .join(spread(fg.select("gram", "flen", "form"), "gram", "flen"), ["gram", "flen"])
-        .groupBy("token", "need", "form")
-        .agg(F.count(F.lit(1)).alias("hits"))
-        .where(F.col("hits") > 0)
-    )
-    occurrences = F.transform(
-        F.filter(trigrams("token"), lambda g: ~F.contains(g, F.lit("?"))),
-        lambda g: F.size(F.filter(F.col("fgrams"), lambda x: x == g)),
-    )
-    shared = F.aggregate(occurrences, F.lit(0), lambda a, x: a + x)
-    return pairs.withColumn("fgrams", trigrams("form")).withColumn("shared", shared)
+def form_grams(vocab: DataFrame) -> DataFrame:
+    """form, flen, gram: the trigrams of every form."""
+    v = vocab.where(F.length("word") > 0)
+    return v.select(F.col("word").alias("form"), F.length("word").alias("flen"), F.explode(trigrams("word")).alias("gram"))
 
 
 def fuzzy_matches(
     tokens: DataFrame,
-    vocab: DataFrame,
+    grams: DataFrame,
     p: Profile = LATIN,
     min_similarity: float = 0.62,
     max_length_delta: int = 2,
 ) -> DataFrame:
-    """(token, form, similarity) for forms sharing a third of the token's trigrams and similar enough."""
+    """(token, form, similarity) for forms sharing a third of the token's trigrams and similar enough.
+
+    Shared trigrams are counted where the forms lie: `grams` (`form_grams`) is stored in buckets by form, and the tokens'
+    trigrams come to it in blocks, so no pairs are shuffled before they are counted.
+    """
     tok = tokens.select("token").distinct().where(F.length("token") >= 3)
     tok = tok.select("token", F.length("token").alias("tlen"), trigrams("token").alias("grams"))
     tok = tok.withColumn("need", F.greatest(F.lit(1), F.ceil((F.size("grams") - 1) / F.lit(3.0))).cast("int"))
     tg = tok.select("token", "tlen", "need", F.explode("grams").alias("gram"))
     tg = tg.where(~F.col("gram").contains("?")).groupBy("token", "tlen", "need", "gram").agg(F.count(F.lit(1)).alias("tm"))
-    forms = vocab.where(F.length("word") > 0)
-    if fits(tg, BROADCAST_ROWS):
-        pairs = _pairs_in_place(tg, forms, max_length_delta)
-    else:
-        pairs = _pairs_by_prefix(tg, forms, max_length_delta)
+    tg = checkpoint(tg)
+    counted = [
+        grams.join(F.broadcast(part), "gram")
+        .where(F.abs(F.col("flen") - F.col("tlen")) <= max_length_delta)
+        .groupBy("form", "token", "need")
+        .agg(F.sum("tm").alias("shared"))
+        for part in in_blocks(tg, "token", tg.count(), GRAMS)
+    ]
+    pairs = reduce(DataFrame.union, counted)
     # One condition on the count, so that the optimizer cannot move the distance bound below the aggregation.
     near = (F.col("token") != F.col("form")) & may_be_similar("token", "form", 1 - min_similarity, p)
     pairs = checkpoint(pairs.where(F.when(F.col("shared") >= F.col("need"), near).otherwise(False)).select("token", "form"))
@@ -141,18 +99,19 @@ def fuzzy_matches(
 
 
 def fuzzy_candidates(
-    tokens: DataFrame, vocab: DataFrame, p: Profile = LATIN, max_candidates: int = 24, min_similarity: float = 0.62
+    tokens: DataFrame, vocab: DataFrame, grams: DataFrame, p: Profile = LATIN, max_candidates: int = 24, min_similarity: float = 0.62
 ) -> DataFrame:
-    """token, form, similarity, n, idf: the exact form, then the best fuzzy ones."""
+    """token, form, similarity, n, total, idf: the exact form, then the best fuzzy ones."""
+    of_form = ["n", "total", "idf"]
     exact = (
         tokens.select("token")
         .distinct()
         .where(~F.col("token").contains("?"))
         .join(vocab, F.col("token") == F.col("word"))
-        .select("token", F.col("word").alias("form"), F.lit(1.0).alias("similarity"), "n", "idf")
+        .select("token", F.col("word").alias("form"), F.lit(1.0).alias("similarity"), *of_form)
     )
     best = W.partitionBy("token").orderBy(F.desc("similarity"), "form")
-    near = fuzzy_matches(tokens, vocab, p, min_similarity).withColumn("r", F.row_number().over(best))
+    near = fuzzy_matches(tokens, grams, p, min_similarity).withColumn("r", F.row_number().over(best))
     near = near.where(F.col("r") <= max_candidates).drop("r")
-    near = near.join(vocab, F.col("form") == F.col("word")).select("token", "form", "similarity", "n", "idf")
+    near = near.join(vocab, F.col("form") == F.col("word")).select("token", "form", "similarity", *of_form)
     return exact.unionByName(near)

@@ -1,4 +1,4 @@
-"""Interval joins, prefix sums and salted joins that keep their shape when one key holds much of the data."""
+"""Interval joins and prefix sums that keep their shape when one key holds much of the data."""
 
 from __future__ import annotations
 
@@ -63,34 +63,3 @@ def prefix_sums(
     for n in values.values():
         out = out.withColumn(n, F.col(f"_i_{n}") + F.col(f"_o_{n}")).drop(f"_i_{n}", f"_o_{n}")
     return out.drop("_chunk")
-
-
-def salted_join(
-    big: DataFrame,
-    small: DataFrame,
-    key: str,
-    frequency: DataFrame,
-    row_id: list[str],
-    salts: int = 16,
-    share: int = 1000,
-) -> DataFrame:
-    """Inner join where heavy keys of `big` are spread over `salts` partitions and replicated in `small`.
-
-    The salt is a hash of `row_id`, so a retried task gives the same rows to the same partition.
-
-    `frequency` is (key, n, total). Keys holding more than 1/share of all rows number fewer than `share` by counting,
-    so the heavy list is safe to broadcast whatever the data size.
-    """
-    heavy = frequency.where(F.col("n") * share > F.col("total")).select(F.col(key).alias("_heavy"))
-    b = big.join(F.broadcast(heavy), F.col(key) == F.col("_heavy"), "left")
-    b = b.withColumn(
-        "_salt", F.when(F.col("_heavy").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*row_id), F.lit(salts)).cast("int"))
-    ).drop("_heavy")
-    s = small.join(F.broadcast(heavy), F.col(key) == F.col("_heavy"), "left")
-    s = s.withColumn(
-        "_salt",
-        F.explode(
-            F.when(F.col("_heavy").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(salts - 1)))
-        ),
-    ).drop("_heavy")
-    return b.join(s, [key, "_salt"]).drop("_salt")

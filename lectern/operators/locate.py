@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.profile import LATIN, Profile
 from ..functions.text import tokenize
-from ..session import checkpoint, fits, spread
-from . import align
-from .index import BLOCK, BROADCAST_ROWS, corpus_blocks, corpus_docs, corpus_words, fuzzy_candidates, vocabulary
-from .joins import salted_join
-from .votes import local_top_bins
+from ..session import checkpoint, spread
+from . import align, bins
+from .index import BLOCK, fuzzy_candidates
+from .store import CorpusIndex
 
 
 @dataclass(frozen=True)
@@ -24,7 +23,9 @@ class LocateConfig:
     bin_width: int = 4
     max_bins: int = 6
     nms_distance: int = 2
-    max_fuzzy_positions: int = 1500
+    # A form that holds more than this share of all words votes only where it was read exactly.
+    fuzzy_positions: int = 1500
+    fuzzy_corpus: int = 80_316
     window_pad: int = 10
     min_pair_similarity: float = 0.6
     fuzzy_weight: float = 0.8
@@ -57,9 +58,11 @@ def text_lines(texts: DataFrame, key: str) -> DataFrame:
 
 def query_tokens(query_lines: DataFrame, p: Profile = LATIN) -> DataFrame:
     """query_id, k, line_no, token. A query is at most a few hundred tokens, so one row holds it while it is numbered."""
-    return query_arrays(query_lines, p).select(
-        "query_id", F.posexplode(F.arrays_zip("tokens", "token_lines")).alias("k", "t")
-    ).select("query_id", "k", F.col("t.token_lines").alias("line_no"), F.col("t.tokens").alias("token"))
+    return numbered_tokens(query_arrays(query_lines, p))
+
+
+def numbered_tokens(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.posexplode(F.arrays_zip("tokens", "token_lines")).alias("k", "t")).select("query_id", "k", F.col("t.token_lines").alias("line_no"), F.col("t.tokens").alias("token"))
 
 
 def query_arrays(query_lines: DataFrame, p: Profile = LATIN) -> DataFrame:
@@ -83,7 +86,7 @@ def query_arrays(query_lines: DataFrame, p: Profile = LATIN) -> DataFrame:
 def candidate_weights(tokens: DataFrame, candidates: DataFrame, cfg: LocateConfig) -> DataFrame:
     """query_id, k, word, votes: what each occurrence of a form adds to the origin it implies."""
     quality = F.when(F.col("similarity") == 1, 1.0).otherwise(F.col("similarity") * cfg.fuzzy_weight)
-    usable = (F.col("similarity") == 1) | (F.col("n") <= cfg.max_fuzzy_positions)
+    usable = (F.col("similarity") == 1) | (F.col("n") * cfg.fuzzy_corpus <= F.col("total") * cfg.fuzzy_positions)
     return (
         tokens.join(candidates.where(usable), "token")
         .select("query_id", "k", F.col("form").alias("word"), (F.col("idf") * quality).alias("w"))
@@ -92,48 +95,19 @@ def candidate_weights(tokens: DataFrame, candidates: DataFrame, cfg: LocateConfi
     )
 
 
-def vote_origins(tokens: DataFrame, candidates: DataFrame, words: DataFrame, vocab: DataFrame, cfg: LocateConfig) -> DataFrame:
-    """query_id, doc_id, bin, score: votes per origin bin, a half of them to each neighbor.
+def _scored(found: DataFrame, cfg: LocateConfig) -> DataFrame:
+    score = F.col("halves") * F.lit(cfg.neighbor_weight) / F.lit(float(VOTE_UNIT))
+    return found.select("query_id", "doc_id", "bin", score.alias("score"))
 
-    Occurrences are summed per bin before they are spread to the neighbors; hot words are salted.
-    """
-    weights = candidate_weights(tokens, candidates, cfg)
-    origin = F.floor((F.col("pos") - F.col("k")) / cfg.bin_width).alias("bin")
-    votes = (
-        salted_join(words, weights, "word", vocab, ["doc_id", "pos"])
-        .select("query_id", "doc_id", origin, "votes")
-        .groupBy("query_id", "doc_id", "bin")
-        .agg(F.sum("votes").alias("votes"))
-    )
-    unit = F.lit(float(VOTE_UNIT))
-    near = F.lit(cfg.neighbor_weight)
-    shifts = F.explode(F.array(*[F.struct(F.lit(d).alias("d")) for d in (0, -1, 1)])).alias("s")
-    return (
-        votes.select("query_id", "doc_id", "bin", "votes", shifts)
-        .select(
-            "query_id",
-            "doc_id",
-            (F.col("bin") + F.col("s.d")).alias("bin"),
-            F.when(F.col("s.d") == 0, F.col("votes") * 2).otherwise(F.col("votes")).alias("halves"),
-        )
-        .groupBy("query_id", "doc_id", "bin")
-        .agg((F.sum("halves") * near / unit).alias("score"))
-    )
 
+def vote_origins(weights: DataFrame, corpus: CorpusIndex, cfg: LocateConfig) -> DataFrame:
+    """query_id, doc_id, bin, score: votes per origin bin, a half of them to each neighbor."""
+    return _scored(bins.all_bins(corpus, weights, cfg.bin_width), cfg)
 
-def leading_bins(tokens: DataFrame, candidates: DataFrame, documents: DataFrame, vocab: DataFrame, cfg: LocateConfig) -> DataFrame:
-    """query_id, doc_id, bin, score of every bin that can be among a query's best `bins_to_rank`.
 
-    With few enough candidate weights each task counts its own documents and keeps its best bins; with more, all votes
-    are shuffled. Both give the same best bins.
-    """
-    weights = candidate_weights(tokens, candidates, cfg)
-    if fits(weights, BROADCAST_ROWS):
-        docs = corpus_docs(documents, cfg.profile)
-        best = local_top_bins(docs, weights.toPandas(), cfg.bins_to_rank, cfg.bin_width)
-        score = F.col("halves") * F.lit(cfg.neighbor_weight) / F.lit(float(VOTE_UNIT))
-        return best.select("query_id", "doc_id", "bin", score.alias("score"))
-    return vote_origins(tokens, candidates, corpus_words(documents, cfg.profile), vocab, cfg)
+def leading_bins(weights: DataFrame, corpus: CorpusIndex, cfg: LocateConfig) -> DataFrame:
+    """query_id, doc_id, bin, score of the bins that can be among a query's best `bins_to_rank`."""
+    return _scored(bins.leading_bins(corpus, weights, cfg.bin_width, cfg.bins_to_rank), cfg)
 
 
 def top_bins(bins: DataFrame, cfg: LocateConfig) -> DataFrame:
@@ -309,21 +283,19 @@ class Located:
     results: DataFrame
 
 
-def locate(query_lines: DataFrame, documents: DataFrame, cfg: LocateConfig = LocateConfig()) -> Located:
-    p = cfg.profile
-    words = corpus_words(documents, p)
+def locate(query_lines: DataFrame, corpus: CorpusIndex, cfg: LocateConfig = LocateConfig()) -> Located:
+    """Where each reading (query_id, line_no, text) lies in the documents of a stored index."""
+    p = corpus.profile
     # Used by several stages and small next to the corpus: computed once.
-    vocab = checkpoint(vocabulary(words))
-    queries = query_arrays(query_lines, p)
-    tokens = checkpoint(query_tokens(query_lines, p))
-    candidates = checkpoint(fuzzy_candidates(tokens, vocab, p))
-    bins = leading_bins(tokens, candidates, documents, vocab, cfg)
-    top = checkpoint(top_bins(bins, cfg))
-    # Only the documents with a chosen bin are cut into blocks.
-    chosen = documents.join(top.select("doc_id").distinct(), "doc_id", "left_semi")
-    windows = window_words(window_spans(top, queries, cfg), corpus_blocks(chosen, p))
+    queries = checkpoint(query_arrays(query_lines, p))
+    tokens = checkpoint(numbered_tokens(queries))
+    candidates = checkpoint(fuzzy_candidates(tokens, corpus.vocab, corpus.grams, p))
+    weights = checkpoint(candidate_weights(tokens, candidates, cfg))
+    leading = leading_bins(weights, corpus, cfg)
+    top = checkpoint(top_bins(leading, cfg))
+    windows = window_words(window_spans(top, queries, cfg), corpus.blocks(top))
     alignments = local_align(windows, queries, cfg)
     deduped = dedupe_overlaps(alignments)
     return Located(
-        queries, tokens, candidates, bins, top, windows, alignments, deduped, decide(queries, deduped, cfg)
+        queries, tokens, candidates, leading, top, windows, alignments, deduped, decide(queries, deduped, cfg)
     )

@@ -17,13 +17,17 @@ PLAIN_FROM, PLAIN_TO = "éèêçäöüßíóúñáà", "eeecaousiounaa"
 
 def cut_corpus(spark, d):
     """Documents as lines of eight words in columns of 42 lines."""
-    b = index.corpus_blocks(T.documents(spark, d), size=8)
-    return b.select(
+    per_line = 8
+    starts = F.sequence(F.lit(0), F.size("words") - 1, F.lit(per_line))
+    lines = T.corpus_index(spark, d).blocks().select("doc_id", "block", "words", F.explode(starts).alias("i"))
+    lines = lines.select("doc_id", (F.col("block") * index.BLOCK + F.col("i")).alias("start"), F.slice("words", F.col("i") + 1, F.lit(per_line)).alias("words"))
+    line = F.floor(F.col("start") / per_line).cast("int")
+    return lines.select(
         "doc_id",
-        (F.floor(F.col("block") / 42) + 1).cast("int").alias("n"),
-        (F.col("block") % 42 + 1).alias("line_no"),
-        (F.col("block") * 8).alias("start"),
-        (F.col("block") * 8 + F.size("words") - 1).alias("end"),
+        (F.floor(line / 42) + 1).cast("int").alias("n"),
+        (line % 42 + 1).alias("line_no"),
+        "start",
+        (F.col("start") + F.size("words") - 1).alias("end"),
         F.array_join("words", " ").alias("text"),
     )
 
@@ -79,7 +83,7 @@ def _(spark, d):
     docs = T.documents(spark, d)
     n = max(1, docs.count() // 10)
     w = evaluate.sample_windows(cut_corpus(spark, d), n, SEED)
-    return evaluate.robustness_sweep(w, docs, [0.1, 0.2], SEED)
+    return evaluate.robustness_sweep(w, T.corpus_index(spark, d), [0.1, 0.2], SEED)
 
 
 @R.query(
@@ -216,7 +220,7 @@ DRAWN = f"""SELECT x.*, voc.form AS drawn FROM (SELECT x.*, vs.bucket, {draw("'7
 
 
 def _vocab(spark, d):
-    v = T.words(spark, d).select("word").where(F.length("word").between(3, 6)).distinct()
+    v = T.corpus_index(spark, d).vocab.select("word").where(F.length("word").between(3, 6))
     return evaluate.indexed_vocabulary(v, SEED)
 
 

@@ -31,7 +31,7 @@ ranked AS (SELECT token, form, round(sim, 6) AS similarity, row_number() OVER (P
 cands AS (SELECT DISTINCT token, word AS form, 1::DOUBLE AS similarity, n, idf FROM query_tokens JOIN vocab ON word = token WHERE NOT contains(token, '?')
   UNION ALL SELECT token, form, similarity, n, idf FROM ranked JOIN vocab ON word = form WHERE r <= 24)"""
 VOTES = """cw AS (SELECT query_id, k, form AS word, round(idf * (CASE WHEN similarity = 1 THEN 1 ELSE similarity * 0.8::DOUBLE END) * 1000000)::BIGINT AS votes
-  FROM query_tokens JOIN cands USING (token) WHERE (similarity = 1 OR n <= 1500) AND idf > 0),
+  FROM query_tokens JOIN cands USING (token) WHERE (similarity = 1 OR n * 80316 <= (SELECT count(*) FROM words) * 1500) AND idf > 0),
 b0 AS (SELECT query_id, doc_id, floor((pos - k) / 4)::BIGINT AS bin, votes FROM words JOIN cw USING (word)),
 bins AS (SELECT query_id, doc_id, bin + s AS bin, sum(votes * CASE WHEN s = 0 THEN 2 ELSE 1 END)::BIGINT AS halves FROM b0, (SELECT unnest([-1, 0, 1]) AS s) GROUP BY ALL)"""
 TOP = """tb0 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY halves DESC, doc_id, bin) AS r FROM bins QUALIFY r <= 100),
@@ -80,13 +80,13 @@ LOCATED = S.ctes(TOKENS, FUZZY, VOTES, TOP, WINDOWS, ALIGN, DEDUPED, DECIDED)
 
 
 def located(spark, d) -> locate.Located:
-    return locate.locate(T.query_lines(spark, d), T.documents(spark, d), CFG)
+    return locate.locate(T.query_lines(spark, d), T.corpus_index(spark, d), CFG)
 
 
 @R.query("postings", S.ctes(TOKENS) + "SELECT token AS word, doc_id, pos FROM (SELECT DISTINCT token FROM query_tokens) LEFT JOIN words ON word = token")
 def _(spark, d):
-    tokens = locate.query_tokens(T.query_lines(spark, d)).select(F.col("token").alias("word"))
-    return index.postings(tokens, T.words(spark, d))
+    tokens = checkpoint(locate.query_tokens(T.query_lines(spark, d)).select(F.col("token").alias("word")).distinct())
+    return index.postings(tokens, T.corpus_index(spark, d).words(tokens))
 
 
 @R.query(
@@ -94,9 +94,8 @@ def _(spark, d):
     S.ctes(TOKENS) + "SELECT token AS word, coalesce(n, 0) AS n, round(coalesce(idf, ln((SELECT count(*) FROM words))), 6) AS idf FROM (SELECT DISTINCT token FROM query_tokens) LEFT JOIN vocab ON word = token",
 )
 def _(spark, d):
-    w = T.words(spark, d)
     forms = locate.query_tokens(T.query_lines(spark, d)).select(F.col("token").alias("word")).distinct()
-    return index.idf_of(forms, index.vocabulary(w), w).select("word", "n", F.round("idf", 6).alias("idf"))
+    return index.idf_of(forms, T.corpus_index(spark, d).vocab).select("word", "n", F.round("idf", 6).alias("idf"))
 
 
 @R.query(
@@ -105,8 +104,7 @@ def _(spark, d):
     + "SELECT gram, count(*) AS entries, count(DISTINCT form) AS forms, min(form) AS first_form, max(form) AS last_form FROM vg GROUP BY gram",
 )
 def _(spark, d):
-    t = index.trigram_index(index.vocabulary(T.words(spark, d)))
-    per_form = t.groupBy("gram", "form").agg(F.count(F.lit(1)).alias("n"))
+    per_form = T.corpus_index(spark, d).grams.groupBy("gram", "form").agg(F.count(F.lit(1)).alias("n"))
     return per_form.groupBy("gram").agg(
         F.sum("n").alias("entries"),
         F.count(F.lit(1)).alias("forms"),
@@ -117,14 +115,14 @@ def _(spark, d):
 
 @R.query("fuzzy_candidates", S.ctes(TOKENS, FUZZY) + "SELECT token, form, similarity, n, round(idf, 6) AS idf FROM cands")
 def _(spark, d):
-    vocab = checkpoint(index.vocabulary(T.words(spark, d)))
-    c = index.fuzzy_candidates(locate.query_tokens(T.query_lines(spark, d)), vocab)
+    corpus = T.corpus_index(spark, d)
+    c = index.fuzzy_candidates(locate.query_tokens(T.query_lines(spark, d)), corpus.vocab, corpus.grams)
     return c.select("token", "form", "similarity", "n", F.round("idf", 6).alias("idf"))
 
 
 @R.query("vocabulary_summary", S.ctes(S.CORPUS) + "SELECT count(*) AS words, count(DISTINCT word) AS forms FROM words")
 def _(spark, d):
-    return index.summary(T.words(spark, d))
+    return index.summary(T.corpus_index(spark, d).vocab)
 
 
 @R.query("query_tokens", S.ctes(TOKENS) + "SELECT query_id, k, line_no, token FROM query_tokens")
@@ -140,10 +138,10 @@ HALVES = lambda c: F.round(c * (2 * locate.VOTE_UNIT)).cast("bigint")  # noqa: E
     S.ctes(TOKENS, FUZZY, VOTES) + "SELECT query_id, doc_id, count(*) AS bins, sum(halves)::BIGINT AS votes, max(halves) AS best FROM bins GROUP BY ALL",
 )
 def _(spark, d):
-    w = T.words(spark, d)
-    vocab = checkpoint(index.vocabulary(w))
-    tokens = locate.query_tokens(T.query_lines(spark, d))
-    b = locate.vote_origins(tokens, index.fuzzy_candidates(tokens, vocab), w, vocab, CFG)
+    corpus = T.corpus_index(spark, d)
+    tokens = checkpoint(locate.query_tokens(T.query_lines(spark, d)))
+    weights = checkpoint(locate.candidate_weights(tokens, index.fuzzy_candidates(tokens, corpus.vocab, corpus.grams), CFG))
+    b = locate.vote_origins(weights, corpus, CFG)
     return b.groupBy("query_id", "doc_id").agg(
         F.count(F.lit(1)).alias("bins"), F.sum(HALVES(F.col("score"))).alias("votes"), F.max(HALVES(F.col("score"))).alias("best")
     )
@@ -246,5 +244,5 @@ def _(spark, d):
 def _(spark, d):
     """Typed text: every conversation turn located in the documents."""
     lines = locate.text_lines(T.conversation_texts(spark, d), "query_id")
-    r = locate.locate(lines, T.documents(spark, d), CFG).results
+    r = locate.locate(lines, T.corpus_index(spark, d), CFG).results
     return r.select("query_id", "status", "tokens", F.round("margin", 6).alias("margin"), "top_candidate.doc_id", "top_candidate.first_word", "top_candidate.last_word")

@@ -80,7 +80,7 @@ def _(spark, d):
 def _(spark, d):
     lines = T.cut_lines(stream(spark, d, "benchmark"), "item_id")
     path = jobs.output_folder(spark)
-    write = jobs.locate_batches(T.documents(spark, d), LocateConfig(), f"{path}/out")
+    write = jobs.locate_batches(T.corpus_index(spark, d), LocateConfig(), f"{path}/out")
     q = lines.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     r = spark.read.parquet(f"{path}/out")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.profile import HEBREW, LATIN
 from ..functions.text import tokenize
-from ..operators import corpus, index
+from ..operators import corpus, store
+from ..session import dealt
 
 # The letters the transliterated corpus is written with.
 LATIN_FROM = "abcdefghijklmnopqrstuvwxyzéèêçäöüßíóúñáà"
@@ -21,11 +22,18 @@ def raw(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return raw(spark, d, "documents").select("doc_id", "text")
+    return dealt(raw(spark, d, "documents").select("doc_id", "text"), "doc_id")
 
 
-def words(spark: SparkSession, d: str) -> DataFrame:
-    return index.corpus_words(documents(spark, d))
+_indexed: dict[tuple[str, str], store.CorpusIndex] = {}
+
+
+def corpus_index(spark: SparkSession, d: str) -> store.CorpusIndex:
+    """The stored index of a folder's documents, built by the first query of the session that needs it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _indexed:
+        _indexed[key] = store.build(documents(spark, d))
+    return _indexed[key]
 
 
 def doc_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -99,9 +107,12 @@ def section_refs(verses: DataFrame) -> DataFrame:
     )
 
 
+def words(spark: SparkSession, d: str) -> DataFrame:
+    return corpus_index(spark, d).words()
+
+
 def word_counts(spark: SparkSession, d: str) -> DataFrame:
-    toks = tokenize(F.replace(F.col("text"), F.lit("?"), F.lit(" ")))
-    return documents(spark, d).select("doc_id", F.size(toks).alias("n_words")).where("n_words > 0")
+    return corpus_index(spark, d).doc_words()
 
 
 def _spans(counts: DataFrame, size: int, name: str) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", app: str = "lectern", partitions: int = 8) -> SparkSession:
@@ -15,8 +17,6 @@ def local_session(cores: int | str = "*", app: str = "lectern", partitions: int
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        # Small local files are cut into as many tasks as there are cores.
-        .config("spark.sql.files.openCostInBytes", "131072")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
@@ -55,6 +55,17 @@ def spread(df: DataFrame, *keys) -> DataFrame:
     return df.repartition(n, *keys)
 
 
-def fits(df: DataFrame, rows: int) -> bool:
-    """Whether `df` has at most `rows` rows, reading no further than that: the check before a broadcast."""
-    return df.limit(rows + 1).count() <= rows
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """A Parquet file of one row group is one task, whatever its size: deal such a table over the cores before it is worked on.
+
+    A table that comes in as many parts as there are cores stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
+def in_blocks(rows: DataFrame, key: str, n_rows: int, limit: int) -> Iterator[DataFrame]:
+    """`rows` in as many parts as keep each near `limit` rows, all of a key together: a part may be sent to every task."""
+    n = max(1, -(-n_rows // limit))
+    for i in range(n):
+        yield rows.where(F.pmod(F.xxhash64(key), F.lit(n)) == i)

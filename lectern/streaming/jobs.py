@@ -16,6 +16,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators import navigate
 from ..operators.locate import LocateConfig, locate
+from ..operators.store import CorpusIndex
 from ..session import shared_folder
 
 LATE = "1 day"
@@ -107,15 +108,15 @@ def feedback_joined(feedback: DataFrame, scans: DataFrame, within: str = "1 day"
     return f.join(s, (F.col("scan") == F.col("scan_id")) & near, "left").drop("scan_id")
 
 
-def locate_batches(documents: DataFrame, cfg: LocateConfig, path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function: readings of a batch located in the static corpus, appended under their batch number.
+def locate_batches(corpus: CorpusIndex, cfg: LocateConfig, path: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function: readings of a batch located in a stored corpus, appended under their batch number.
 
     Top-k windows are not allowed on streams, so every batch is one locate job. A batch that is run again after a
     failure overwrites its own folder.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        locate(batch, documents, cfg).results.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        locate(batch, corpus, cfg).results.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return run
 

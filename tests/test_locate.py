@@ -3,9 +3,12 @@ import random
 import pytest
 
 from lectern.functions.distance import similarity_batch
-from lectern.operators import align, index, locate
+from lectern.operators import align, bins, index, locate, store
 from lectern.plans import tables
 
+#: Documents of 300 words are cut in three segments.
+SHORT = store.Layout(bucket_words=500, bucket_forms=50, word_parts=3, doc_parts=3, sample=3, segment=128, overlap=96, before=16)
+
 SYLLABLES = ["ba", "ke", "lo", "ru", "sti", "mon", "gra", "pel", "tis", "vor"]
 
 
@@ -18,18 +21,25 @@ def corpus(spark):
     return [" ".join(x) for x in docs]
 
 
-def frames(spark, corpus, queries):
-    d = spark.createDataFrame(list(enumerate(corpus)), "doc_id bigint, text string")
-    q = spark.createDataFrame(queries, "query_id bigint, text string")
-    return tables.cut_lines(q, "query_id"), d
+def readings(spark, queries):
+    return tables.cut_lines(spark.createDataFrame(queries, "query_id bigint, text string"), "query_id")
+
+
+def documents(spark, corpus):
+    return spark.createDataFrame(list(enumerate(corpus)), "doc_id bigint, text string")
+
+
+@pytest.fixture(scope="module")
+def stored(spark, corpus):
+    return store.build(documents(spark, corpus + [None, "", "? ?"]), layout=SHORT)
 
 
-def test_statuses(spark, corpus):
+def test_statuses(spark, corpus, stored):
     w = corpus[3].split()
     noisy = ["?" + x[1:] if i % 7 == 0 else x for i, x in enumerate(w[40:90])]
     copy = corpus[0].split()[100:150]
-    q, d = frames(spark, corpus, [(1, " ".join(noisy)), (2, " ".join(copy)), (3, "zzz yyy"), (4, "quux xyzzy plugh wibble wobble")])
-    r = {x.query_id: x for x in locate.locate(q, d).results.collect()}
+    q = readings(spark, [(1, " ".join(noisy)), (2, " ".join(copy)), (3, "zzz yyy"), (4, "quux xyzzy plugh wibble wobble")])
+    r = {x.query_id: x for x in locate.locate(q, stored).results.collect()}
     assert r[1].status == "confident" and r[1].best.doc_id == 3
     assert abs(r[1].best.first_word - 40) <= 1 and abs(r[1].best.last_word - 89) <= 1
     assert r[2].status == "ambiguous" and len(r[2].alternatives) >= 2
@@ -37,11 +47,40 @@ def test_statuses(spark, corpus):
     assert r[4].status == "insufficient"
 
 
-def test_votes_and_fuzzy_pairs_equal_plain_version(spark, corpus, monkeypatch):
-    q, d = frames(spark, corpus + [None, "", "? ?"], [(1, " ".join(corpus[2].split()[10:40])), (2, "bakelo " + " ".join(corpus[5].split()[200:240]))])
-    words = index.corpus_words(d)
-    vocab, tokens, cfg = index.vocabulary(words), locate.query_tokens(q), locate.LocateConfig()
-    near = {(r.token, r.form): r.similarity for r in index.fuzzy_matches(tokens, vocab).collect()}
+def test_index_holds_every_word_once(spark, corpus, stored):
+    want = sorted((d, i, w) for d, text in enumerate(corpus) for i, w in enumerate(text.split()))
+    assert sorted(map(tuple, stored.words().collect())) == want
+    assert {r.doc_id: r.n_words for r in stored.doc_words().collect()} == {d: len(t.split()) for d, t in enumerate(corpus)}
+    counts = {}
+    for _, _, w in want:
+        counts[w] = counts.get(w, 0) + 1
+    assert {r.word: (r.n, r.total) for r in stored.vocab.collect()} == {w: (n, len(want)) for w, n in counts.items()}
+
+
+def test_index_versions(spark, corpus, tmp_path):
+    path = f"file://{tmp_path}/index"
+    first = store.build(documents(spark, corpus[:2]), path, layout=SHORT)
+    second = store.build(documents(spark, corpus[:3]), path, layout=SHORT)
+    # A build that did not end has tables and no row.
+    half = f"{path}/v0"
+    first.vocab.write.parquet(f"{half}/vocabulary")
+    for name in ("postings", "grams"):  # as in a session that did not build it
+        spark.sql(f"DROP TABLE {store._name(second.path, name)}")
+    opened = store.open_index(spark, path)
+    assert opened.path == second.path and opened.layout == SHORT
+    assert opened.words().count() == 900 and opened.grams.count() == index.form_grams(second.vocab).count()
+    w = opened.vocab.limit(1).select("word")
+    assert opened.words(w).join(w, "word").count() == opened.words().join(w, "word").count() > 0
+    assert store.open_index(spark, path, version=first.path.rsplit("/", 1)[-1]).words().count() == 600
+    with pytest.raises(ValueError, match="no such version"):
+        store.open_index(spark, path, version="v0")
+
+
+def test_votes_and_fuzzy_pairs_equal_plain_version(spark, corpus, stored, monkeypatch):
+    q = readings(spark, [(1, " ".join(corpus[2].split()[10:40])), (2, "bakelo " + " ".join(corpus[5].split()[200:280])), (3, "ba ke lo ru"), (4, "")])
+    vocab, tokens, cfg = stored.vocab, locate.query_tokens(q), locate.LocateConfig(max_bins=2)
+    monkeypatch.setattr(index, "GRAMS", 100)
+    near = {(r.token, r.form): r.similarity for r in index.fuzzy_matches(tokens, stored.grams).collect()}
     grams = lambda w: [f"#{w}#"[i : i + 3] for i in range(len(w))]
     forms, asked = {r.word for r in vocab.collect()}, {r.token for r in tokens.collect()}
     for t in asked:
@@ -50,9 +89,9 @@ def test_votes_and_fuzzy_pairs_equal_plain_version(spark, corpus, monkeypatch):
             alike = len(t) >= 3 and t != f and abs(len(t) - len(f)) <= 2 and shared >= max(1, -(-(len(t) - 1) // 3))
             s = similarity_batch([t], [f], 0.38)[0] if alike else 0
             assert (round(s, 6) if s >= 0.62 else None) == near.get((t, f)), (t, f)
-    cands = index.fuzzy_candidates(tokens, vocab)
-    weights = {}
-    for r in locate.candidate_weights(tokens, cands, cfg).collect():
+    cands = index.fuzzy_candidates(tokens, vocab, stored.grams)
+    table, weights = locate.candidate_weights(tokens, cands, cfg).cache(), {}
+    for r in table.collect():
         weights.setdefault(r.word, []).append((r.query_id, r.k, r.votes))
     want = {}
     for doc, text in enumerate(corpus):
@@ -61,13 +100,37 @@ def test_votes_and_fuzzy_pairs_equal_plain_version(spark, corpus, monkeypatch):
                 for step in (0, -1, 1):
                     bin_ = (query, doc, (pos - k) // 4 + step)
                     want[bin_] = want.get(bin_, 0) + votes * (1 if step else 2)
-    got = {(r.query_id, r.doc_id, r.bin): round(r.score * 2 * locate.VOTE_UNIT) for r in locate.vote_origins(tokens, cands, words, vocab, cfg).collect()}
-    assert got == want
-    top = lambda bins: sorted(map(tuple, locate.top_bins(bins, cfg).collect()))
-    shuffled = top(locate.vote_origins(tokens, cands, words, vocab, cfg))
-    assert top(locate.leading_bins(tokens, cands, d, vocab, cfg)) == shuffled
-    monkeypatch.setattr(index, "BROADCAST_ROWS", 0)
-    assert {(r.token, r.form): r.similarity for r in index.fuzzy_matches(tokens, vocab).collect()} == near
+    found = lambda df: {(r.query_id, r.doc_id, r.bin): round(r.score * 2 * locate.VOTE_UNIT) for r in df.collect()}
+    top = lambda df: sorted(map(tuple, locate.top_bins(df, cfg).collect()))
+    for limit in (bins.WEIGHTS, table.count() // 2):  # one block of readings, and several
+        monkeypatch.setattr(bins, "WEIGHTS", limit)
+        whole, leading = locate.vote_origins(table, stored, cfg), locate.leading_bins(table, stored, cfg)
+        assert found(whole) == want
+        few = found(leading)
+        assert all(want[b] == score for b, score in few.items()) and len(few) < 0.8 * len(want)
+        assert top(leading) == top(whole)
+
+
+def test_a_frequent_form_votes_only_where_it_was_read(spark):
+    tokens = spark.createDataFrame([(1, 0, "a"), (1, 1, "b")], "query_id bigint, k int, token string")
+    rows = [("a", "a", 1.0, 500, 1.0), ("a", "x", 0.7, 18, 4.0), ("b", "y", 0.7, 19, 4.0)]
+    cands = spark.createDataFrame([(t, f, s, n, 1000, i) for t, f, s, n, i in rows], "token string, form string, similarity double, n bigint, total bigint, idf double")
+    assert sorted(r.word for r in locate.candidate_weights(tokens, cands, locate.LocateConfig()).collect()) == ["a", "x"]
+
+
+def test_votes_are_summed_without_a_shuffle(spark, corpus, stored):
+    tokens = locate.query_tokens(readings(spark, [(1, " ".join(corpus[2].split()[10:40]))]))
+    weights = locate.candidate_weights(tokens, index.fuzzy_candidates(tokens, stored.vocab, stored.grams), locate.LocateConfig())
+    weights = spark.createDataFrame(weights.toPandas(), "query_id bigint, k int, word string, votes bigint")
+    plan = bins._counts(stored.postings(weights), weights, 4, SHORT.segment)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [part" in plan and "BroadcastHashJoin" in plan and "HashAggregate" in plan
+    assert "Exchange hashpartitioning" not in plan and "Python" not in plan
+
+
+def test_too_long_a_reading_is_refused(spark, stored):
+    long = spark.createDataFrame([(1, 200, "ba", 1)], "query_id bigint, k int, word string, votes bigint")
+    with pytest.raises(ValueError, match="more words"):
+        bins.all_bins(stored, long, 4)
 
 
 def plain_align(tokens, words, min_sim=0.6):
