@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.locate import LocateConfig
-from ..streaming import jobs
+from ..streaming import jobs, stateful
 from . import locate_queries as L
 from . import tables as T
 from . import usage_queries as U
 from .registry import registry as R
 
+#: The log of the ordered jobs: cut in ten batches, its rows up to 20 hours out of order.
+BATCHES, DISORDER = 10, "20 hours"
+ZONE = "America/New_York"
+
 
 def stream(spark, d, name):
     schema = T.raw(spark, d, name).schema
@@ -44,8 +48,9 @@ def _(spark, d):
     SELECT client AS key, id, nth <= 3 AS allowed FROM j""",
 )
 def _(spark, d):
-    r = scans(spark, d).select(F.col("client").alias("key"), "ts", "id")
-    return jobs.run_to_table(jobs.rate_limit(r, 3, 6 * 3600)).select("key", "id", "allowed")
+    r = U.as_scans(T.raw(spark, d, "events")).select(F.col("client").alias("key"), "ts", "id")
+    log = jobs.log_in_batches(r, "ts", BATCHES, DISORDER)
+    return jobs.run_to_table(stateful.rate_limit(log, 3, 6 * 3600, jobs.LATE)).select("key", "id", "allowed")
 
 
 @R.query(
@@ -71,9 +76,21 @@ def _(spark, d):
     SELECT id, client, CASE WHEN m > 50 AND m < 2000 THEN m END AS learned FROM m""",
 )
 def _(spark, d):
-    s = scans(spark, d).where(F.col("event_type").isin("view", "click"))
+    s = U.as_scans(T.raw(spark, d, "events")).where(F.col("event_type").isin("view", "click"))
     e = s.select("client", "ts", "id", F.floor(F.col("value") * 10).cast("double").alias("wpc"))
-    return jobs.run_to_table(jobs.learned_wpc(e)).select("id", "client", "learned")
+    log = jobs.log_in_batches(e, "ts", BATCHES, DISORDER)
+    return jobs.run_to_table(stateful.learned_wpc(log, jobs.LATE)).select("id", "client", "learned")
+
+
+@R.query(
+    "stream_active_clients",
+    f"WITH {U.SCANS} SELECT strftime(day, '%Y-%m-%d') AS day, count(DISTINCT client) AS clients FROM (SELECT client, timezone('{ZONE}', ts AT TIME ZONE 'UTC')::DATE AS day FROM ev WHERE client IS NOT NULL) GROUP BY day",
+)
+def _(spark, d):
+    touches = U.as_scans(T.raw(spark, d, "events")).select("client", "ts", "id")
+    log = jobs.log_in_batches(touches, "ts", BATCHES, DISORDER)
+    out = jobs.run_to_table(stateful.active_clients(log, ZONE, jobs.LATE))
+    return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "clients")
 
 
 @R.query("stream_locate", L.LOCATED + "SELECT query_id, status, tokens, doc_id, first_word, last_word, round(score, 6) AS score FROM decided")

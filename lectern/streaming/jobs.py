@@ -6,35 +6,29 @@ Each takes a streaming DataFrame and returns one; `run_to_table` drives a query
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from datetime import timedelta
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..operators import navigate
 from ..operators.locate import LocateConfig, locate
 from ..operators.store import CorpusIndex
 from ..session import shared_folder
+from .stateful import PROVIDER, LateRows
 
 LATE = "1 day"
 
 
 def daily_counts(scans: DataFrame, late: str = LATE) -> DataFrame:
-    """Scans by status per day of event time; rows later than the watermark are dropped and counted in the progress."""
+    """Scans by status per day of event time; rows later than the watermark are dropped and counted (`LateRows`)."""
     w = scans.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"))
     counts = {"confident": "confident", "ambiguous": "ambiguous", "insufficient": "insufficient", "error": "errors"}
     out = w.agg(F.count(F.lit(1)).alias("scans"), *[F.count_if(F.col("status") == s).alias(n) for s, n in counts.items()])
     return out.select(F.to_date("w.start").alias("day"), "scans", *counts.values())
 
 
-def late_rows(progress: list[dict]) -> int:
-    """Rows that state operators dropped for being late, over all batches of a query."""
-    return sum(op.get("numRowsDroppedByWatermark", 0) for p in progress for op in p.get("stateOperators", []))
-
-
 def first_activity(touches: DataFrame, late: str = LATE) -> DataFrame:
     """One row per client and day."""
     t = touches.where(F.col("client").isNotNull()).withColumn("day", F.to_date("ts"))
@@ -47,58 +41,6 @@ def new_clients(touches: DataFrame) -> DataFrame:
     return t.groupBy("client").agg(F.min("ts").alias("first_seen"))
 
 
-def rate_limit(requests: DataFrame, limit: int, window_seconds: int, late: str = LATE) -> DataFrame:
-    """requests (key, ts, id) with `allowed`. The state of a key is its window's end and count, and expires after it.
-
-    Requests count in order of arrival; inside a batch, of their time.
-    """
-    us = window_seconds * 1_000_000
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        reset, count = state.get if state.exists else (-1, 0)
-        rows = pd.concat(list(batches)).sort_values(["t", "id"])
-        allowed = []
-        for t in rows["t"]:
-            if reset <= t:
-                reset, count = int(t) + us, 0
-            count += 1
-            allowed.append(count <= limit)
-        state.update((reset, count))
-        state.setTimeoutTimestamp(max(reset // 1000, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame({"key": key[0], "id": rows["id"].to_numpy(), "allowed": allowed})
-
-    key_type = requests.schema["key"].dataType.simpleString()
-    id_type = requests.schema["id"].dataType.simpleString()
-    r = requests.withWatermark("ts", late).select("key", "id", "ts", F.unix_micros("ts").alias("t"))
-    return r.groupBy("key").applyInPandasWithState(
-        step, f"key {key_type}, id {id_type}, allowed boolean", "reset bigint, count bigint", "append", GroupStateTimeout.EventTimeTimeout
-    )
-
-
-def learned_wpc(estimates: DataFrame) -> DataFrame:
-    """estimates (client, ts, id, wpc) with the client's learned words per column; the state is its last five values."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
-        out = []
-        for v in rows["wpc"]:
-            last = [*last, float(v)][-navigate.LEARN_LAST :]
-            m = int(sum(last) / len(last) + 0.5)
-            out.append(m if navigate.LEARN_MIN < m < navigate.LEARN_MAX else None)
-        state.update((last,))
-        yield pd.DataFrame({"client": key[0], "id": rows["id"].to_numpy(), "learned": pd.array(out, dtype="Int32")})
-
-    key_type = estimates.schema["client"].dataType.simpleString()
-    id_type = estimates.schema["id"].dataType.simpleString()
-    return estimates.groupBy("client").applyInPandasWithState(
-        step, f"client {key_type}, id {id_type}, learned int", "last array<double>", "append", GroupStateTimeout.NoTimeout
-    )
-
-
 def feedback_joined(feedback: DataFrame, scans: DataFrame, within: str = "1 day", late: str = LATE) -> DataFrame:
     """Feedback with its scan, if that came at most `within` before it; both sides keep state only that long."""
     f = feedback.withWatermark("ts", late)
@@ -126,16 +68,51 @@ def output_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def run_to_table(df: DataFrame, mode: str = "append") -> DataFrame:
-    """Process all available input into parquet and read it back. Update and complete output keep their batch number."""
-    path = output_folder(df.sparkSession)
+def log_in_batches(log: DataFrame, ts: str, batches: int, disorder: str) -> DataFrame:
+    """`log` as a stream of so many batches in which rows come up to `disorder` out of order, written under the shared folder.
+
+    A last batch holds one row of the far future, after which the watermark has passed all others. A live log needs none.
+    """
+    spark = log.sparkSession
+    path = f"{output_folder(spark)}/log"
+    most = log.select(F.expr(f"unix_micros(timestamp_micros(0) + INTERVAL {disorder})")).first()[0]
+    time = F.unix_micros(ts)
+    ends = log.agg(F.min(time).alias("lo"), (F.max(time) + most + 1).alias("hi"), F.max(ts).alias("last")).first()
+    comes = time + F.pmod(F.xxhash64(*log.columns), F.lit(most))
+    batch = F.floor((comes - ends["lo"]) * batches / (ends["hi"] - ends["lo"]))
+    for b in range(batches):
+        log.where(batch == b).coalesce(1).write.mode("append").parquet(path)
+    end = log.limit(1).withColumn(ts, F.lit(ends["last"] + timedelta(days=10_000)).cast(log.schema[ts].dataType))
+    end.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def run_to_table(df: DataFrame, mode: str = "append", late: LateRows | None = None) -> DataFrame:
+    """Process all available input into parquet and read it back. Update and complete output keep their batch number.
+
+    State is kept in RocksDB, on the executors' disks and in the checkpoint. `late` hears how many rows came too late.
+    """
+    spark = df.sparkSession
+    path = output_folder(spark)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
 
-    q = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.read.schema(StructType([*df.schema.fields, StructField("batch", LongType())])).parquet(f"{path}/out")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    if late:
+        spark.streams.addListener(late)
+    try:
+        spark.conf.set(key, PROVIDER)
+        q = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+        if late:
+            late.ended.wait(60)
+    finally:
+        spark.conf.set(key, before)
+        if late:
+            spark.streams.removeListener(late)
+    return spark.read.schema(StructType([*df.schema.fields, StructField("batch", LongType())])).parquet(f"{path}/out")
 
 
 def latest(table: DataFrame, keys: list[str]) -> DataFrame:

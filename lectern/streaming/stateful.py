@@ -13,7 +13,7 @@ from __future__ import annotations
 import threading
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructType
@@ -149,11 +149,11 @@ def active_clients(touches: DataFrame, zone: str, late: str) -> DataFrame:
 
 
 class LateRows(StreamingQueryListener):
-    """Rows that the stateful steps of a query dropped for being late, per batch."""
+    """Rows that the stateful steps of a query dropped for being late, per batch; `table` gives them as a side table."""
 
     def __init__(self) -> None:
         self.batches: dict[int, int] = {}
-        self.rows, self.ended = 0, threading.Event()
+        self.ended = threading.Event()
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -168,3 +168,6 @@ class LateRows(StreamingQueryListener):
 
     def onQueryTerminated(self, event) -> None:
         self.ended.set()
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(sorted(self.batches.items()), "batch bigint, dropped bigint")
