@@ -164,7 +164,7 @@ def collapse_runs(frames: DataFrame, alphabet: str, min_probability: float = RUN
 
 
 def line_filter(lines: DataFrame, unsure_below: float = UNSURE_BELOW, cap: int = MAX_LINES) -> DataFrame:
-    """page, line_no, text, uncertain from (page, line_no, text, confidence, cut): the first `cap` lines that have a letter."""
+    """page, line_no, text, uncertain from (page, line_no, text, confidence, cut): the lines of a page below number `cap` that have a letter."""
     seen = lines.where(F.col("line_no") < cap).where(F.regexp_replace("text", "[ ?]", "") != "")
     return seen.withColumn("uncertain", F.col("cut") | (F.col("confidence") < unsure_below))
 

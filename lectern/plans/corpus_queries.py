@@ -27,10 +27,9 @@ VERSES = """verses AS (SELECT doc_id, verse_id, doc_id % 5 + 1 AS book, li + 1 A
 LINE_TABLE = r"""lt AS (SELECT ln.doc_id, page AS n, line AS line_no, li, coalesce(sum(c) OVER (PARTITION BY ln.doc_id ORDER BY li ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
   coalesce(sum(c) OVER (PARTITION BY ln.doc_id ORDER BY li), 0) - 1 AS stop, trim(regexp_replace(replace(txt, ', ', ' '), '\s+', ' ', 'g')) AS text, length(txt) < 60 AS petucha, contains(txt, ', ') AS gap
   FROM (SELECT ln.*, coalesce(k.c, 0) AS c FROM ln LEFT JOIN (SELECT doc_id, li, count(*) AS c FROM fw GROUP BY ALL) k USING (doc_id, li)) ln)"""
-SECTIONS = """vs AS (SELECT *, verse_id // 14 + 1 AS section, verse_id % 14 AS i FROM verses),
-full_sec AS (SELECT doc_id, section FROM vs GROUP BY ALL HAVING count(*) = 14),
-sub AS (SELECT doc_id, section, (i // 2 + 1)::VARCHAR AS n, min(start) AS start, max(stop) AS stop FROM vs JOIN full_sec USING (doc_id, section) GROUP BY ALL
-  UNION ALL SELECT doc_id, section, 'M', start, stop FROM vs JOIN full_sec USING (doc_id, section) WHERE i = 13),
+SECTIONS = """vs AS (SELECT *, count(*) OVER (PARTITION BY doc_id, section) AS c FROM (SELECT *, verse_id // 14 + 1 AS section, verse_id % 14 AS i FROM verses)),
+sub AS (SELECT doc_id, section, n, min(start) AS start, max(stop) AS stop
+  FROM (SELECT *, unnest(list_distinct([(i * 7 // c + 1)::VARCHAR, CASE WHEN i = c - 1 THEN '7' END, CASE WHEN i = c - 1 THEN 'M' END])) AS n FROM vs) GROUP BY ALL),
 sec AS (SELECT doc_id, section, doc_id % 5 + 1 AS book, min(start) AS start, max(stop) AS stop FROM sub GROUP BY ALL)"""
 MARKS = """mk AS (SELECT doc_id, li, page, line, (li // 6) % 8 + 1 AS n FROM ln WHERE li % 6 = 0),
 marks AS (SELECT *, sum((n = 1)::INT) OVER (PARTITION BY doc_id ORDER BY li) AS grp FROM mk)"""

@@ -199,15 +199,16 @@ def _(spark, d):
 @R.query(
     "best_line_offset",
     S.ctes(READS)
-    + """, rs AS (SELECT query_id, line_no - 2 AS k, text FROM rd WHERE line_no >= 2), gs AS (SELECT DISTINCT query_id, k - line + dd AS off FROM (SELECT query_id, line_no - 2 AS k, line_no + (query_id % 3)::INT - 1 AS line FROM cl WHERE line_no >= 2), (SELECT unnest([-1, 0, 1]) AS dd)),
+    + """, rs AS (SELECT query_id, line_no + 2 AS k, text FROM rd), gs AS (SELECT DISTINCT query_id, k - line + dd AS off FROM (SELECT query_id, line_no + 2 AS k, line_no + (query_id % 3)::INT - 1 AS line FROM cl), (SELECT unnest([-1, 0, 1]) AS dd)),
     g AS (SELECT rs.query_id, off, count(*) AS lines, string_agg(rs.text, ' ' ORDER BY k) AS got, string_agg(cl.text, ' ' ORDER BY k) AS want FROM rs JOIN gs USING (query_id) JOIN cl ON cl.query_id = rs.query_id AND cl.line_no = k - off WHERE cl.text <> '' GROUP BY ALL HAVING count(*) >= 3),
     e AS (SELECT *, levenshtein(got, want) AS edits, row_number() OVER (PARTITION BY query_id ORDER BY levenshtein(got, want) / len(want), off) AS r FROM g)
     SELECT query_id, off AS "offset", edits, len(want) AS length, lines FROM e WHERE r = 1""",
 )
 def _(spark, d):
+    """Readings with two lines above their first one."""
     t = _truth_lines(spark, d)
-    reads = _reads(spark, d).where("line_no >= 2").select("query_id", (F.col("line_no") - 2).alias("k"), "text")
-    guess = t.where("line_no >= 2").select("query_id", (F.col("line_no") - 2).alias("k"), (F.col("line_no") + F.col("query_id") % 3 - 1).cast("int").alias("line"))
+    reads = _reads(spark, d).select("query_id", (F.col("line_no") + 2).alias("k"), "text")
+    guess = t.select("query_id", (F.col("line_no") + 2).alias("k"), (F.col("line_no") + F.col("query_id") % 3 - 1).cast("int").alias("line"))
     return evaluate.best_line_offset(reads, guess, t.withColumnRenamed("line_no", "line"))
 
 

@@ -364,12 +364,12 @@ def _(spark, d):
 @R.query(
     "next_reading",
     VERSE_SQL
-    + f""", {REQUESTS}, {CALENDAR}, {READS}, rn AS (SELECT date, string_agg(reading, ',' ORDER BY reading) AS names FROM (SELECT DISTINCT date, reading FROM rd WHERE reading = 'R1') GROUP BY date),
+    + f""", {REQUESTS}, {CALENDAR}, {READS}, rn AS (SELECT date, string_agg(reading, ',' ORDER BY reading) AS names FROM (SELECT DISTINCT date, reading FROM rd) GROUP BY date),
     em AS (SELECT DISTINCT day FROM rq WHERE day NOT IN (SELECT date FROM rn)), nx AS (SELECT day, (SELECT min(date) FROM rn WHERE date > day AND date <= day + 10) AS nxt FROM em)
     SELECT strftime(day, '%Y-%m-%d') AS day, strftime(nxt, '%Y-%m-%d') AS next, names FROM nx LEFT JOIN rn ON rn.date = nxt""",
 )
 def _(spark, d):
-    r = targets.readings_for_date(_calendar(spark, d), T.corpus_of(spark, d).verses).where("reading = 'R1'")
+    r = targets.readings_for_date(_calendar(spark, d), T.corpus_of(spark, d).verses)
     n = targets.next_reading(_requests(spark, d).select(F.col("date").alias("day")), r)
     iso = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
     return n.select(iso("day"), iso("next"), F.array_join("names", ",").alias("names"))

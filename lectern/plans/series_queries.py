@@ -119,10 +119,10 @@ def _(spark, d):
 
 @R.query(
     "line_filter",
-    f"WITH {RUNS} SELECT series // 4 AS page, series AS line_no, text, confidence < 0.55 OR series % 5 = 0 AS uncertain FROM tx WHERE series < 60 AND regexp_replace(text, '[ ?]', '', 'g') <> ''",
+    f"WITH {RUNS} SELECT series // 4 AS page, series % 4 AS line_no, text, confidence < 0.55 OR series % 5 = 0 AS uncertain FROM tx WHERE series % 4 < 60 AND regexp_replace(text, '[ ?]', '', 'g') <> ''",
 )
 def _(spark, d):
-    t = _texts(spark, d).select(F.floor(F.col("series") / 4).alias("page"), F.col("series").alias("line_no"), "text", "confidence", (F.col("series") % 5 == 0).alias("cut"))
+    t = _texts(spark, d).select(F.floor(F.col("series") / 4).alias("page"), (F.col("series") % 4).alias("line_no"), "text", "confidence", (F.col("series") % 5 == 0).alias("cut"))
     return series.line_filter(t, 0.55).select("page", "line_no", "text", "uncertain")
 
 
@@ -135,5 +135,5 @@ def _(spark, d):
     p = counts(spark, d, "event_type", 3600)
     b = p.where("series <> 'view'").select(F.col("series").alias("pair"), F.col("x").alias("y"), "v")
     base = p.where("series = 'view'").select(F.col("x").alias("y"), "v")
-    others = F.array(*[F.lit(x) for x in ("click", "signup", "purchase", "error")])
+    others = b.agg(F.collect_set("pair")).scalar()
     return series.best_shift(base.select(F.explode(others).alias("pair"), "y", "v"), b, 5)

@@ -55,11 +55,11 @@ def _(spark, d):
 
 @R.query(
     "stream_feedback_with_scan",
-    f"WITH {U.SCANS} SELECT f.id, f.scan, f.vote, s.status AS scan_status, s.kind AS scan_kind FROM feedback f JOIN scans s ON s.id = f.scan AND f.ts >= s.ts AND f.ts <= s.ts + INTERVAL 1 DAY",
+    f"WITH {U.SCANS} SELECT f.id, f.scan, f.vote, s.status AS scan_status, s.kind AS scan_kind FROM feedback f LEFT JOIN scans s ON s.id = f.scan AND f.ts >= s.ts AND f.ts <= s.ts + INTERVAL 1 DAY",
 )
 def _(spark, d):
-    j = jobs.feedback_joined(U.as_feedback(scans(spark, d)), scans(spark, d))
-    out = jobs.run_to_table(j).where("scan_status is not null")
+    log = jobs.log_in_batches(U.as_scans(T.raw(spark, d, "events")), "ts", BATCHES, DISORDER)
+    out = jobs.run_to_table(jobs.feedback_joined(U.as_feedback(log), log))
     return out.select("id", "scan", "vote", "scan_status", "scan_kind")
 
 

@@ -94,15 +94,15 @@ def corpus_of(spark: SparkSession, d: str) -> Corpus:
 
 
 def section_refs(verses: DataFrame) -> DataFrame:
-    """Sections of 14 verses in 7 parts; the last verse again as the optional part M. Incomplete sections are left out."""
+    """Sections of 14 verses in 7 parts; the last verse again as the optional part M. A document's last section may be
+    shorter: its verses are spread over the parts, the last one ends the seventh."""
     v = verses.withColumn("section", F.floor(F.col("verse_id") / 14) + 1).withColumn("i", F.col("verse_id") % 14)
     ref = F.struct("book", "chapter", "verse")
-    full = v.groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("c")).where("c = 14").drop("c")
-    v = v.join(full, ["doc_id", "section"])
-    part = (F.floor(F.col("i") / 2) + 1).cast("string")
-    parts = F.array(F.struct(part.alias("n")), F.struct(F.when(F.col("i") == 13, "M").alias("n")))
-    v = v.select("doc_id", "section", "i", ref.alias("ref"), F.explode(parts).alias("p")).where("p.n is not null")
-    return v.groupBy("doc_id", F.col("section").cast("int").alias("section"), F.col("p.n").alias("n")).agg(
+    v = v.join(v.groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("c")), ["doc_id", "section"])
+    part, last = (F.floor(F.col("i") * 7 / F.col("c")) + 1).cast("string"), F.col("i") == F.col("c") - 1
+    parts = F.array_compact(F.array(part, F.when(last & (part != "7"), "7"), F.when(last, "M")))
+    v = v.select("doc_id", "section", "i", ref.alias("ref"), F.explode(parts).alias("n"))
+    return v.groupBy("doc_id", F.col("section").cast("int").alias("section"), "n").agg(
         F.min_by("ref", "i").alias("begin"), F.max_by("ref", "i").alias("end")
     )
 
