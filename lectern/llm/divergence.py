@@ -107,9 +107,10 @@ def count_nodes(docs: DataFrame, before: int | None, level: int, bits: bytes | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, seen, size = Languages(before, level, shared.value, room=room), defaultdict(Counter), 0
 
-        def sent() -> pa.RecordBatch:
-            flat = [(lang, node, n) for lang, c in seen.items() for node, n in c.items() if node]
-            return pa.RecordBatch.from_pydict({"lang": [x[0].decode() for x in flat], "node": [x[1] for x in flat], "docs": [x[2] for x in flat]}, schema)
+        def sent() -> Iterator[pa.RecordBatch]:
+            for lang, c in seen.items():
+                c.pop(b"", None)
+                yield pa.record_batch([pa.repeat(lang.decode(), len(c)), pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], schema=schema)
 
         schema = pa.schema([("lang", pa.string()), ("node", pa.binary()), ("docs", pa.int64())])
         for lang, _, text in rows_of(batches):
@@ -118,10 +119,10 @@ def count_nodes(docs: DataFrame, before: int | None, level: int, bits: bytes | N
             c.update(set(nodes.of(lang, terms(text))))
             size += len(c)
             if size > most:
-                yield sent()
+                yield from sent()
                 seen.clear()
                 size = 0
-        yield sent()
+        yield from sent()
 
     counted = docs.mapInArrow(run, "lang string, node binary, docs bigint")
     return counted.groupBy("lang", "node").agg(F.sum("docs").alias("docs"))
@@ -133,13 +134,15 @@ def count_terms(docs: DataFrame, before: int, bits: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, seen, size = Languages(before, None, shared.value, room=room), defaultdict(lambda: (Counter(), Counter())), 0
-        schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("n", pa.int64())])
+        schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("docs", pa.int64()), ("n", pa.int64())])
 
-        def sent() -> pa.RecordBatch:
-            flat = [(*key, t, d, number[t]) for key, (having, number) in seen.items() for t, d in having.items() if t]
-            columns = list(zip(*flat, strict=True)) if flat else [[]] * 5
-            texts = [[x.decode() for x in c] for c in columns[:3]]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*texts, *columns[3:]], schema, strict=True)], schema=schema)
+        def sent() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (having, number) in seen.items():
+                having.pop(b"", None)
+                found = list(having)
+                same = [pa.repeat(x.decode(), len(found)) for x in (lang, source)]
+                columns = [pa.array(found, pa.binary()), pa.array(list(having.values()), pa.int64()), pa.array(list(map(number.__getitem__, found)), pa.int64())]
+                yield pa.record_batch([*same, *columns], schema=schema)
 
         for lang, source, text in rows_of(batches):
             found = nodes.of(lang, terms(text))
@@ -149,12 +152,14 @@ def count_terms(docs: DataFrame, before: int, bits: bytes) -> DataFrame:
             number.update(found)
             size += len(having)
             if size > most:
-                yield sent()
+                yield from sent()
                 seen.clear()
                 size = 0
-        yield sent()
+        yield from sent()
 
-    counted = docs.mapInArrow(run, "lang string, source string, term string, docs bigint, n bigint")
+    counted = docs.mapInArrow(run, "lang string, source string, term binary, docs bigint, n bigint")
+    # The tasks have added up what they could. One shuffle by term serves the counts per source and those per language.
+    counted = counted.withColumn("term", F.col("term").cast("string")).repartition("lang", "term")
     return counted.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
 
 
@@ -223,11 +228,19 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     `top` terms it uses more than its language does (`term`), in squared differences of smoothed shares over the compared
     one's share. Ranks run per source and part, by value down, then item."""
     read = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))])
-    counts = checkpoint(term_counts(read, min_docs))
-    kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("in_lang")).where(F.col("docs") >= min_docs)
-    found = checkpoint(counts.drop("docs").join(kept.drop("docs"), ["lang", "term"]))
+    of_term = W.partitionBy("lang", "term")
+    found = term_counts(read, min_docs).select(
+        "lang",
+        "source",
+        "term",
+        "n",
+        F.sum("n").over(of_term).alias("in_lang"),
+        F.sum("docs").over(of_term).alias("docs"),
+        (F.row_number().over(of_term.orderBy("source")) == 1).alias("first"),
+    )
+    found = checkpoint(found.where(F.col("docs") >= min_docs).drop("docs"))
     everywhere = read.select("lang", "source").distinct()
-    langs = found.groupBy("lang").agg(F.count_distinct("term").alias("v"), F.sum("n").alias("n_lang"))
+    langs = found.groupBy("lang").agg(F.count_if("first").alias("v"), F.sum("n").alias("n_lang"))
     langs = everywhere.select("lang").distinct().join(langs, "lang", "left").select("lang", F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("n_lang", F.lit(0)).alias("n_lang"))
     groups = everywhere.join(found.groupBy("lang", "source").agg(F.sum("n").alias("n_source")), ["lang", "source"], "left").join(langs, "lang")
     groups = checkpoint(groups.select("lang", "source", "v", "n_lang", F.coalesce("n_source", F.lit(0)).alias("n_source")))
