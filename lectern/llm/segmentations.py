@@ -171,7 +171,7 @@ def lattice(words: list[str], vocab: Vocabulary, alpha: float) -> Lattice:
 class Lattices:
     """The lattice of all words met so far, grown word by word; begun anew when it holds `most` characters."""
 
-    def __init__(self, vocab: Vocabulary, alpha: float, most: int = 3_000_000) -> None:
+    def __init__(self, vocab: Vocabulary, alpha: float, most: int = 750_000) -> None:
         self.vocab, self.alpha, self.most = vocab, alpha, most
         self.known: dict[str, int] = {}
         self.room: dict[str, np.ndarray] = {}
@@ -440,7 +440,7 @@ def encode(docs: DataFrame, k: int = 2, key: str = "doc_id", text: str = "text",
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattices = Lattices(vocab.value, alpha)
         for frame in frames:
-            for part in text_chunks(frame, "_text", 1_000_000):
+            for part in text_chunks(frame, "_text", 250_000):
                 texts = [t if isinstance(t, str) else "" for t in part["_text"]]
                 samples = sample_logs(texts, part["_seed"].to_numpy().astype(np.uint64), lattices, k)
                 counts = [len(s) for s in samples]
