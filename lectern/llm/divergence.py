@@ -34,7 +34,7 @@ MIN_DOCS = 3
 LEVELS = (4, 8)
 BITS = 1 << 26
 #: Entries of a task's tables before it sends them on, and terms whose fate it remembers.
-ENTRIES, REMEMBERED = 200_000, 400_000
+ENTRIES, REMEMBERED = 600_000, 400_000
 #: Terms and sources of one cell of the comparison of sources.
 TERMS, SOURCES = 2048, 64
 SCALE = 1_000_000_000
