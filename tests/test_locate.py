@@ -104,7 +104,7 @@ def test_votes_and_fuzzy_pairs_equal_plain_version(spark, corpus, stored, monkey
     top = lambda df: sorted(map(tuple, locate.top_bins(df, cfg).collect()))
     for limit in (bins.WEIGHTS, table.count() // 2):  # one block of readings, and several
         monkeypatch.setattr(bins, "WEIGHTS", limit)
-        whole, leading = locate.vote_origins(table, stored, cfg), locate.leading_bins(table, stored, cfg)
+        whole, leading = locate.vote_origins(table, stored, cfg).cache(), locate.leading_bins(table, stored, cfg).cache()
         assert found(whole) == want
         few = found(leading)
         assert all(want[b] == score for b, score in few.items()) and len(few) < 0.8 * len(want)

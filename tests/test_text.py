@@ -27,15 +27,21 @@ def test_distance_equals_plain_recurrence():
     assert all(abs(g - plain_distance(x, y, HEBREW.confusable)) < 1e-9 for g, x, y in zip(got, a, b))
 
 
-def test_similarity_bounds():
-    s = similarity_batch(["בראשית", "אב", "אבגד"], ["כראשית", "אד", "זזזז"], 0.5, HEBREW.confusable)
-    assert s[0] > 0.9 and s[1] < 0.6 and s[2] == 0
-
-
-def test_normalize_and_tokens(spark):
-    df = spark.createDataFrame([("בְּרֵאשִׁ֖ית בָּרָ֣א עַל־פְּנֵ֥י ?x",), ("",)], "t string")
-    got = [r[0] for r in df.select(text.tokenize("t", HEBREW)).collect()]
-    assert got == [["בראשית", "ברא", "על", "פני", "?"], []]
+def test_similarity_is_one_less_distance_per_letter():
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("אבכדר?") for _ in range(rnd.randint(0, 6)))
+    a, b = [word() for _ in range(300)], [word() for _ in range(300)]
+    for most in (0.25, 0.5):
+        for s, x, y in zip(similarity_batch(a, b, most, HEBREW.confusable), a, b):
+            d, longest = plain_distance(x, y, HEBREW.confusable), max(len(x), len(y))
+            want = 1.0 if longest == 0 else 0.0 if d > most * longest else max(0.0, 1 - d / longest)
+            assert abs(s - want) < 1e-9, (x, y)
+
+
+def test_tokens_leave_out_points_digits_and_other_scripts(spark):
+    rows = {"שָׁלוֹם, עוֹלָם! יוֹם־טוֹב 5 a?": ["שלום", "עולם", "יום", "טוב", "?"], "12 ab -": [], "": []}
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    assert [r[0] for r in df.select(text.tokenize("t", HEBREW)).collect()] == list(rows.values())
 
 
 def test_days_and_labels(spark):
