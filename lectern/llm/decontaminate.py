@@ -7,7 +7,8 @@ stretches of neighbouring item words are streamed, and those shorter than the sh
 
 Items are taken in blocks of at most `BLOCK_WORDS` words, each with an automaton of its own, so an automaton's size is
 bounded whatever the benchmark's; a document passes one after the other without a shuffle. Texts without words, null
-texts and items without words hit nothing. Repeated rows are each judged; extra columns stay.
+texts and items without words hit nothing. An item without an id hits words like any other; only the list of ids leaves
+it out. Repeated rows are each judged; extra columns stay.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ def words(text: str) -> list[str]:
 class Automaton:
     """Suffix automaton over several word sequences; marks the states of windows with the items that hold them."""
 
-    def __init__(self, items: list[tuple[str, list[str]]], window: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[str | None, list[str]]], window: int = WINDOW) -> None:
         self.window = window
         self.ids: dict[str, int] = {}
         self.next: list[dict[int, int]] = [{}]
@@ -50,13 +51,27 @@ class Automaton:
         self.shortest = self.sizes[0] if sizes else 0
         pairs = {(a << 32) | b for _, seq in sequences for a, b in zip(seq, seq[1:], strict=False)}
         self.pairs = np.array(sorted(pairs), dtype=np.int64)
-        self.items: dict[tuple[int, int], set[str]] = {}
+        by_length = sorted(range(1, len(self.next)), key=self.length.__getitem__)
+        tops = {size: self._tops(size, by_length) for size in sizes}
+        windows: dict[tuple[int, int], int] = {}
+        self.names: list[set[str]] = []
         for name, seq in sequences:
             size, state, run = min(window, len(seq)), 0, 0
             for c in seq:
                 state, run = self.step(state, run, c)
                 if run >= size:
-                    self.items.setdefault((self.cut(state, size), size), set()).add(name)
+                    at = windows.setdefault((tops[size][state], size), len(windows))
+                    if at == len(self.names):
+                        self.names.append(set())
+                    if name is not None:
+                        self.names[at].add(name)
+        # Per state, the windows that end where its runs end, shortest first: those of its link, then its own.
+        self.hits: list[tuple[tuple[int, int], ...]] = [()] * len(self.next)
+        own: dict[int, list[tuple[int, int]]] = {}
+        for (state, size), at in sorted(windows.items(), key=lambda w: w[0][1]):
+            own.setdefault(state, []).append((size, at))
+        for state in by_length:
+            self.hits[state] = self.hits[self.link[state]] + tuple(own.get(state, ()))
 
     def _extend(self, last: int, c: int) -> int:
         nxt, link, length = self.next, self.link, self.length
@@ -95,15 +110,18 @@ class Automaton:
             run = self.length[state]
         return self.next[state][c], run + 1
 
-    def cut(self, state: int, size: int) -> int:
-        """State of the last `size` words of a run that is in `state`."""
-        while self.length[self.link[state]] >= size:
-            state = self.link[state]
-        return state
+    def _tops(self, size: int, by_length: list[int]) -> list[int]:
+        """Per state, the state of the last `size` words of its runs; links are shorter, so one pass settles all."""
+        top = [0] * len(self.next)
+        for state in by_length:
+            link = self.link[state]
+            top[state] = top[link] if self.length[link] >= size else state
+        return top
 
     def scan(self, seq: list[str]) -> tuple[np.ndarray, set[str]]:
         """Which words lie in an occurring window, and the items whose windows occur."""
         hit, found = np.zeros(len(seq), dtype=bool), set()
+        seen: set[int] = set()
         if not self.shortest or len(seq) < self.shortest:
             return hit, found
         get = self.ids.get
@@ -112,14 +130,12 @@ class Automaton:
             state = run = 0
             for at, c in enumerate(codes[start:stop].tolist(), start):
                 state, run = self.step(state, run, c)
-                for size in self.sizes:
+                for size, window in self.hits[state]:
                     if size > run:
                         break
-                    names = self.items.get((self.cut(state, size), size))
-                    if names:
-                        found |= names
-                        hit[at + 1 - size : at + 1] = True
-        return hit, found
+                    seen.add(window)
+                    hit[at + 1 - size : at + 1] = True
+        return hit, found.union(*(self.names[w] for w in seen))
 
     def stretches(self, codes: np.ndarray) -> Iterator[tuple[int, int]]:
         """Runs of item words whose neighbours are also neighbours in some item, long enough for a window."""
@@ -135,9 +151,9 @@ class Automaton:
         return zip(starts[long].tolist(), ends[long].tolist(), strict=True)
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str, block_words: int) -> Iterator[list[tuple[str, list[str]]]]:
+def item_blocks(items: DataFrame, item_id: str, text: str, block_words: int) -> Iterator[list[tuple[str | None, list[str]]]]:
     """Items in blocks of bounded size, one block on the driver at a time; an item longer than a block is alone in one."""
-    rows = items.where(F.col(text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).cast("string"), text)
+    rows = items.where(F.col(text).isNotNull()).select(F.col(item_id).cast("string"), text)
     block, size = [], 0
     for name, body in rows.distinct().toLocalIterator():
         seq = words(body)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -178,6 +179,22 @@ def test_decontamination_equals_plain_version(spark, block):
         assert got[i].bad == (h > 0 and 20 * h >= n) and got[i]._gone == "mine"
 
 
+def test_decontamination_counts_windows_of_items_without_id(spark):
+    item = " ".join(f"w{i}" for i in range(14))
+    items = spark.createDataFrame([(None, item), (None, "lone words"), (7, "x " + item)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, item), (2, "some lone words"), (3, "lone"), (4, "x " + item)], "doc_id bigint, text string")
+    got = {r.doc_id: (r.n, r.item_ids) for r in decontaminate.find(docs, items).withColumn("n", decontaminate.n_hit()).collect()}
+    assert got == {1: (14, ["7"]), 2: (2, []), 3: (0, []), 4: (15, ["7"])}
+
+
+def test_automaton_takes_one_step_per_word_on_repeats():
+    seq = ["a"] * 30_000
+    own = decontaminate.Automaton([("1", seq), ("2", ["a"] * 5), ("3", ["b", "a", "a"])])
+    start = time.process_time()
+    hit, found = own.scan(["c", *seq, "b"])
+    assert hit.sum() == 30_000 and found == {"1", "2"} and time.process_time() - start < 5
+
+
 def test_decontamination_without_items_and_removal_of_spans(spark):
     empty = spark.createDataFrame([], "item_id bigint, text string")
     rows = [(1, "wa wb", 5, "", 9), (None, None, 5, "", 9)]
