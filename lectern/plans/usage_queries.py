@@ -45,8 +45,12 @@ def as_scans(events):
 
 
 def _touches(spark, d):
+    return as_touches(_scans(spark, d))
+
+
+def as_touches(scans):
     lang = F.when(F.col("event_type") == "view", "en").when(F.col("event_type") == "click", "es")
-    return _scans(spark, d).select("client", "ts", lang.alias("lang"))
+    return scans.select("client", "ts", lang.alias("lang"))
 
 
 def _feedback(spark, d):
@@ -69,6 +73,22 @@ def as_feedback(scans):
     )
 
 
+def feedback_edits(f):
+    """Two edits of each feedback, those of k from 70 by another client than wrote it."""
+    mine = F.when(F.col("k") < 70, F.col("client")).otherwise(F.col("client") + 1)
+    step = lambda i, comment, reason: f.select(
+        "id",
+        mine.alias("client"),
+        (F.col("ts") + F.expr(f"INTERVAL {i} SECOND")).alias("ts"),
+        reason.alias("reason"),
+        comment.alias("comment"),
+        F.lit(None).cast("string").alias("photo"),
+    )
+    return step(1, F.lit("first"), F.lit("other")).unionByName(
+        step(2, F.when(F.col("k") < 30, "second"), F.lit(None).cast("string"))
+    )
+
+
 def _now(spark, d):
     return T.raw(spark, d, "events").agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
 
@@ -127,18 +147,7 @@ def _(spark, d):
 )
 def _(spark, d):
     f = _feedback(spark, d)
-    mine = F.when(F.col("k") < 70, F.col("client")).otherwise(F.col("client") + 1)
-    step = lambda i, comment, reason: f.select(
-        "id",
-        mine.alias("client"),
-        (F.col("ts") + F.expr(f"INTERVAL {i} SECOND")).alias("ts"),
-        reason.alias("reason"),
-        comment.alias("comment"),
-        F.lit(None).cast("string").alias("photo"),
-    )
-    updates = step(1, F.lit("first"), F.lit("other")).unionByName(
-        step(2, F.when(F.col("k") < 30, "second"), F.lit(None).cast("string"))
-    )
+    updates = feedback_edits(f)
     return usage.merge_feedback(f, updates).select("id", "reason", "comment", "photo")
 
 

@@ -69,3 +69,9 @@ def in_blocks(rows: DataFrame, key: str, n_rows: int, limit: int) -> Iterator[Da
     n = max(1, -(-n_rows // limit))
     for i in range(n):
         yield rows.where(F.pmod(F.xxhash64(key), F.lit(n)) == i)
+
+
+def remove_folder(spark: SparkSession, path: str) -> bool:
+    """Delete a folder of the shared file system; False if there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
