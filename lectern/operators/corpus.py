@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -256,22 +256,9 @@ def hard_checks(
     return out.na.fill(0, ["columns", "mark_groups", "sections"])
 
 
-def violations(facts: DataFrame, expected: dict[str, object]) -> DataFrame:
-    """doc_id and the names of the expectations a document breaks."""
-    tests = [F.when(F.col(k) != F.lit(v), F.concat(F.lit(f"{k}: "), F.col(k).cast("string"))) for k, v in expected.items()]
-    errors = F.filter(F.array(*tests), lambda x: x.isNotNull())
-    return facts.select("doc_id", errors.alias("errors")).where(F.size("errors") > 0)
-
-
-class BuildError(Exception):
-    pass
-
-
-def enforce(facts: DataFrame, expected: dict[str, object]) -> None:
-    """Fail the job if any document breaks an expectation; shows a few of them."""
-    bad = violations(facts, expected).take(5)
-    if bad:
-        raise BuildError("; ".join(f"{r.doc_id}: {', '.join(r.errors)}" for r in bad))
+def expectations(expected: dict[str, object]) -> dict[str, Column]:
+    """Facts and the values they must have, as conditions of `expect.Watch`: the job fails before its table is visible."""
+    return {k: F.col(k) == F.lit(v) for k, v in expected.items()}
 
 
 def build_report(words: DataFrame, opens: DataFrame, columns: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def sample_windows(lines: DataFrame, n: int, seed: int, min_lines: int = 6, max_
     spark = lines.sparkSession
     cols = lines.groupBy("doc_id", "n").agg(F.max("line_no").alias("lines"))
     per_doc = cols.groupBy("doc_id").agg(F.count(F.lit(1)).alias("columns"))
-    per_doc = prefix_sums(per_doc, [], "doc_id", {"columns": "first"})
+    per_doc = prefix_sums(per_doc, [], "doc_id", {"columns": "first"}, levels=3)
     per_doc = per_doc.withColumn("last", F.col("first") + F.col("columns") - 1)
     total = per_doc.agg(F.max("last") + 1).first()[0]
     s = spark.range(1, n + 1).withColumnRenamed("id", "query_id")

@@ -45,21 +45,27 @@ def overlapping(
 
 
 def prefix_sums(
-    counts: DataFrame, keys: list[str], order: str, values: dict[str, str], chunk: int = 1024
+    counts: DataFrame, keys: list[str], order: str, values: dict[str, str], chunk: int = 1024, levels: int = 1
 ) -> DataFrame:
     """Exclusive running sums of `values` (column -> name) over an integer order, without one task per key.
 
-    Sums inside chunks of the order, plus sums over chunk totals: a key with n rows gives its largest task n / chunk.
+    Sums inside chunks of the order, plus sums over chunk totals, which are summed in chunks themselves where `levels` is
+    more than one: a key whose order spans n numbers gives a window of n / chunk ** levels rows at most, the others hold
+    `chunk` numbers each.
     """
-    c = counts.withColumn("_chunk", F.floor(F.col(order) / chunk))
-    inner = W.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    outer = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    totals = c.groupBy(*keys, "_chunk").agg(*[F.sum(v).alias(f"_t_{n}") for v, n in values.items()])
-    totals = totals.select(
-        *keys, "_chunk", *[F.coalesce(F.sum(f"_t_{n}").over(outer), F.lit(0)).alias(f"_o_{n}") for n in values.values()]
-    )
+    at = f"_chunk{levels}"
+    c = counts.withColumn(at, F.floor(F.col(order) / chunk))
+    inner = W.partitionBy(*keys, at).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    totals = c.groupBy(*keys, at).agg(*[F.sum(v).alias(f"_t_{n}") for v, n in values.items()])
+    if levels > 1:
+        totals = prefix_sums(totals, keys, at, {f"_t_{n}": f"_o_{n}" for n in values.values()}, chunk, levels - 1)
+    else:
+        outer = W.partitionBy(*keys).orderBy(at).rowsBetween(W.unboundedPreceding, -1)
+        sums = [F.coalesce(F.sum(f"_t_{n}").over(outer), F.lit(0)).alias(f"_o_{n}") for n in values.values()]
+        totals = totals.select(*keys, at, *sums)
+    totals = totals.select(*keys, at, *[f"_o_{n}" for n in values.values()])
     c = c.select("*", *[F.coalesce(F.sum(v).over(inner), F.lit(0)).alias(f"_i_{n}") for v, n in values.items()])
-    out = c.join(totals, [*keys, "_chunk"])
+    out = c.join(totals, [*keys, at])
     for n in values.values():
         out = out.withColumn(n, F.col(f"_i_{n}") + F.col(f"_o_{n}")).drop(f"_i_{n}", f"_o_{n}")
-    return out.drop("_chunk")
+    return out.drop(at)

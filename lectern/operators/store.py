@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.profile import LATIN, Profile
-from ..session import shared_folder
+from ..session import remove_folder, shared_folder
+from .expect import BuildError, Watch
 from .index import BLOCK, corpus_blocks, form_grams, vocabulary
 
 
@@ -110,14 +111,24 @@ TABLES = {
 }
 
 
-def build(documents: DataFrame, path: str | None = None, profile: Profile = LATIN, layout: Layout = Layout()) -> CorpusIndex:
-    """Index `documents` (doc_id, text) as a new version under `path` (by default a new folder of the shared one)."""
+def build(documents: DataFrame, path: str | None = None, profile: Profile = LATIN, layout: Layout = Layout(), watch: Watch | None = None) -> CorpusIndex:
+    """Index `documents` (doc_id, text) as a new version under `path` (by default a new folder of the shared one).
+
+    `watch` checks the blocks (doc_id, block, doc_words, words) as they are written; on a breach no version comes to be.
+    """
     spark = documents.sparkSession
     path = path or f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
     folder = f"{path}/v{uuid.uuid4().hex}"
     rows = corpus_blocks(documents, profile).withColumn("part", doc_part("doc_id", layout))
     # Parts are dealt by size: large ones over several files, small ones together.
-    rows.hint("rebalance", F.col("part"), F.col("doc_id")).sortWithinPartitions("part", "doc_id", "block").write.partitionBy("part").parquet(f"{folder}/blocks")
+    rows = rows.hint("rebalance", F.col("part"), F.col("doc_id")).sortWithinPartitions("part", "doc_id", "block")
+    (watch.on(rows) if watch else rows).write.partitionBy("part").parquet(f"{folder}/blocks")
+    if watch:
+        try:
+            watch.enforce()
+        except BuildError:
+            remove_folder(spark, folder)
+            raise
     blocks = spark.read.parquet(f"{folder}/blocks")
     words = blocks.select("doc_id", "block", F.posexplode("words").alias("i", "word"))
     vocabulary(words).sort("word").write.parquet(f"{folder}/vocabulary")

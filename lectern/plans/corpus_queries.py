@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import corpus
+from ..operators.expect import Watch, write_expected
+from ..session import shared_folder
 from . import sql as S
 from . import tables as T
 from .registry import registry as R
@@ -178,3 +182,20 @@ def _(spark, d):
 def _(spark, d):
     c = T.corpus_of(spark, d)
     return corpus.build_report(c.words_flat, c.opens, c.columns)
+
+
+@R.query(
+    "checked_build",
+    S.ctes(LINES, RAWS, QUEUE, OPENS, VERSES, SECTIONS, MARKS)
+    + r"""SELECT w.doc_id, first_word, last_word, (SELECT count(*) FROM fw) AS all_words, (SELECT count(DISTINCT doc_id) FROM fw) AS rows, 0 AS bad_words
+    FROM (SELECT doc_id, arg_min(word, pos) AS first_word, arg_max(word, pos) AS last_word FROM fw GROUP BY doc_id) w""",
+)
+def _(spark, d):
+    c = T.corpus_of(spark, d)
+    facts = corpus.hard_checks(c.words_flat, c.columns, c.marks, c.sections)
+    facts = facts.join(c.words_flat.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words")), "doc_id")
+    watch = Watch(corpus.expectations({"bad_words": 0}), {"all_words": F.sum("n_words")}, {"all_words": (1, None)})
+    path = f"{shared_folder(spark)}/facts-{uuid.uuid4().hex}"
+    report = write_expected(facts, path, watch)
+    totals = [F.lit(report[n]).alias(n) for n in ("all_words", "rows", "bad_words")]
+    return spark.read.parquet(path).select("doc_id", "first_word", "last_word", *totals)

@@ -75,3 +75,12 @@ def remove_folder(spark: SparkSession, path: str) -> bool:
     """Delete a folder of the shared file system; False if there is none."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def move_folder(spark: SparkSession, path: str, to: str) -> None:
+    """Rename a folder of the shared file system; `to` must not be there yet."""
+    jvm = spark._jvm
+    source, target = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(to)
+    files = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(target) or not files.rename(source, target):
+        raise FileExistsError(to)
