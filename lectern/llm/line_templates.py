@@ -3,8 +3,9 @@
 The tree has fixed depth: a line goes by its number of tokens and then by its `depth` leading tokens, where a token with
 a digit counts as a variable field. In a leaf, a token stays a constant of its place if lines of at least `min_docs`
 documents have it there; every other place is a variable field. A line's template is its leaf with the constants of its
-places. A template without variable fields needs two tokens; one with them at least `min_tokens`, of which the share
-`constant` must be constants, so that prose lines that start alike are no template.
+places. A template without variable fields may be a single token, as lines of scripts without spaces are; one with them
+needs at least `min_tokens`, of which the share `constant` must be constants, so that prose lines that start alike are no
+template.
 
 A template met in at least `min_docs` documents recurs: its lines are dropped everywhere but at its first place (smallest
 document, then line), so no text leaves the corpus whole.
@@ -51,7 +52,7 @@ def lines(docs: DataFrame, text: str, tree: Tree) -> DataFrame:
     bodies = F.transform(F.split(text, "\n"), masked)
     rows = docs.where(F.col(text).isNotNull()).select("_id", F.xxhash64(text).alias("_th"), F.posexplode(bodies).alias("_line", "_body"))
     n = F.length("_body") - F.length(F.replace("_body", F.lit(" "))) + 1
-    return rows.where(n >= 2).withColumn("_leaf", F.xxhash64(n, F.substring_index("_body", " ", tree.depth)))
+    return rows.where(~F.col("_body").isin("", MARK)).withColumn("_leaf", F.xxhash64(n, F.substring_index("_body", " ", tree.depth)))
 
 
 def candidates(docs: DataFrame, text: str, tree: Tree) -> DataFrame:

@@ -98,7 +98,7 @@ WITH raw AS (SELECT doc_id, text, unnest(range(len(string_split(text, chr(10))))
 lines AS (
   SELECT doc_id, line, list_transform(list_filter(string_split_regex(body, '[ \\t-\\r]+'), lambda t: t <> ''),
     lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS toks FROM raw),
-keyed AS (SELECT doc_id, line, toks, len(toks) AS n, len(toks) || ' ' || array_to_string(toks[1:3], ' ') AS leaf FROM lines WHERE len(toks) >= 2),
+keyed AS (SELECT doc_id, line, toks, len(toks) AS n, len(toks) || ' ' || array_to_string(toks[1:3], ' ') AS leaf FROM lines WHERE len(toks) >= 1),
 leaves AS (SELECT leaf FROM keyed GROUP BY leaf HAVING count(DISTINCT doc_id) >= 3),
 cand AS (SELECT keyed.* FROM keyed JOIN leaves USING (leaf)),
 kinds AS (SELECT leaf, toks, n, count(DISTINCT doc_id) AS docs FROM cand GROUP BY 1, 2, 3),

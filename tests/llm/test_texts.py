@@ -206,6 +206,14 @@ def test_decontamination_without_items_and_removal_of_spans(spark):
     assert [r.text for r in left] == ["so it began: " + "wa " * 400 + ", and so on"]
 
 
+def test_recurring_lines_of_one_token_are_templates(spark):
+    """Words and lines of scripts without spaces; a lone field is none, and two documents are too few."""
+    lines = ["Advertisement", "\u7248\u6743\u6240\u6709\u4fdd\u7559\u6240\u6709\u6743\u5229", "page7", "own%s"]
+    texts = ["\n".join(lines) % chr(97 + i) for i in range(3)] + ["twice", "twice", "  Advertisement\t"]
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_templates.drop_recurring(frame(spark, [(i, t, 5, "", 9) for i, t in enumerate(texts)])).collect()}
+    assert got == {0: (texts[0], 0), 1: ("page7\nownb", 2), 2: ("page7\nownc", 2), 3: ("twice", 0), 4: ("twice", 0), 5: ("", 1)}
+
+
 def test_line_templates(spark):
     """Variable fields with and without digits, lines kept once, prose that starts alike, blank and odd white space."""
     # Three of ten fields vary in the first line, which is too many for a template; one of eight in the second.
