@@ -57,7 +57,7 @@ def test_stages_on_empty_tables(spark, folder):
 
 def test_every_operator_is_registered():
     names = sorted(int(n[2:].split("_")[0]) for n in queries.registry.queries)
-    assert names == list(range(1, 11))
+    assert names == list(range(1, 14))
 
 
 def test_unlike_documents_with_one_id_or_none_all_stay(spark):
