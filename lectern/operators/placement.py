@@ -128,10 +128,10 @@ def build_placement(spans: DataFrame, ref: dict[str, DataFrame]) -> DataFrame:
     """Full placement rows.
 
     `spans`: query_id, doc_id, start, end, score, margin, coverage, aligned, lines_covered, line_starts, line_tokens,
-    visible. `ref`: words, verses, columns, lines, sections, subsections. A span overlaps few sections, so these gather.
+    visible. `ref`: words, verses, columns, lines (and the same without texts as line_spans), sections, subsections. A span overlaps few sections, so these gather.
     """
     p = estimate_layout(spans)
-    col = first_line(standard_column(p, ref["columns"]), ref["lines"]).select(
+    col = first_line(standard_column(p, ref["columns"]), ref.get("line_spans", ref["lines"])).select(
         "query_id", "column", "col_start", "col_end", "from_column_start", "first_line"
     )
     p = first_words(p.join(col, "query_id", "left"), ref["words"], ref["lines"])
