@@ -7,10 +7,9 @@ meet in some tree, others part. Trees have depth 2. In every node with two membe
 
 1. each member is compared with the node's smallest member (a star, so a node of n copies costs n comparisons);
 2. links found so far are joined to components, and a node whose members all lie in one component is done;
-3. any other node, however large, is compared exhaustively across components: one with at most `SMALL` components by a
-   join, a larger one in cells of two blocks of members, where only the pairs that go on become rows;
-4. of the pairs from cells those with most hashes in common are confirmed first, and the others only if they still lie in
-   different components.
+3. any other node is compared exhaustively across components: one with at most `SMALL` members by a join, a larger one in
+   cells of two blocks of members, first by hashes alone and then, for the members left, with full sets: a cell confirms its pairs itself, likeliest first, passes over
+   those that its own links have joined by then, and gives back only links that join two components.
 
 So no link between different texts is skipped but by the trees' chance, and pairs inside a component, which can join
 nothing more, are not made. A pair goes on if its set sizes allow the similarity and at least half the minwise hashes
@@ -25,12 +24,12 @@ take the smallest non-null id. Nothing is collected on the driver but counts.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,7 +38,9 @@ from lectern.llm.substrings import Hasher, runs
 
 WORD = re.compile("[^\\x20\\x09-\\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-WORDS, COORDINATES, TREES, SMALL, BLOCK = 5, 64, 20, 16, 512
+WORDS, COORDINATES, TREES, SMALL, BLOCK = 5, 64, 20, 16, 2048
+#: Shingles of a block of a crowded node, about; more of them are more blocks.
+BLOCK_SHINGLES = 2_000_000
 #: Agreeing hashes from which a pair of a crowded node is confirmed in the first of two rounds.
 SURE = 48
 PATHS = "path bigint, cls binary"
@@ -148,16 +149,32 @@ def shared(nodes: DataFrame) -> DataFrame:
     return nodes.join(stars.select("path", "hub"), "path")
 
 
-def crossed(nodes: DataFrame, classes: DataFrame, link: Link) -> DataFrame:
+def crossed(nodes: DataFrame, classes: DataFrame, link: Link, sets: DataFrame | None = None) -> DataFrame:
     """Pairs `a`, `b` of members of a node (`path`, `cls`, `label`, `size`) in different components, with their `agree`ing hashes.
 
-    Only pairs that their set sizes and hashes let go on. Members are dealt to blocks of about `BLOCK`, and every two
-    blocks of a node meet in one cell, so a large node is many tasks.
+    Only pairs that their set sizes and hashes let go on. With `sets` they are confirmed where they meet, and a cell gives
+    enough of its links to join the components it joins: fewer than it has members, however many pairs there are. Members
+    are dealt to blocks of about `BLOCK`, and every two blocks of a node meet in one cell, so a large node is many tasks.
     """
-    blocks = F.ceil(F.col("size") / BLOCK)
-    rows = nodes.join(classes.select("cls", "n", "sig"), "cls").withColumn("own", F.pmod(F.xxhash64("cls", "path"), blocks))
+    blocks, held, work = F.ceil(F.col("size") / BLOCK), ["n", "sig"], _cell if sets is None else _joined
+    rows = nodes.join(classes.select("cls", "n", "sig"), "cls")
+    if sets is not None:
+        weights = nodes.join(classes.select("cls", "n"), "cls").groupBy("path").agg(F.sum("n").alias("weight"))
+        blocks, held = F.greatest(blocks, F.ceil(F.col("weight") / BLOCK_SHINGLES)), [*held, "set"]
+        rows = rows.join(weights, "path").join(sets.dropDuplicates(["cls"]), "cls")
+    return _in_cells(rows, held, blocks, lambda cell: work(cell, link), "a binary, b binary, agree int")
+
+
+def meeting(nodes: DataFrame, classes: DataFrame, link: Link) -> DataFrame:
+    """`path`, `cls` of the members of a node that some member of another component goes on with."""
+    rows = nodes.join(classes.select("cls", "n", "sig"), "cls")
+    return _in_cells(rows, ["n", "sig"], F.ceil(F.col("size") / BLOCK), lambda cell: _meeting(cell, link), PATHS)
+
+
+def _in_cells(rows: DataFrame, held: list[str], blocks: Column, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("cls", "path"), blocks))
     rows = rows.withColumn("met", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
-    cells = rows.select("path", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"), "own", "cls", "label", "n", "sig")
+    cells = rows.select("path", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"), "own", "cls", "label", *held)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         left = None
@@ -168,20 +185,20 @@ def crossed(nodes: DataFrame, classes: DataFrame, link: Link) -> DataFrame:
             at = frame[["path", "i", "j"]].to_numpy()
             starts = np.flatnonzero(np.append(True, (at[1:] != at[:-1]).any(axis=1)))
             for lo, hi in zip(starts[:-1], starts[1:], strict=True):
-                yield _cell(frame.iloc[lo:hi], link)
+                yield work(frame.iloc[lo:hi])
             # The last cell may go on in the next frame.
             left = frame.iloc[starts[-1] :]
         if left is not None:
-            yield _cell(left, link)
+            yield work(left)
 
     cells = cells.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j")
-    return cells.mapInPandas(run, "a binary, b binary, agree int").distinct()
+    return cells.mapInPandas(run, schema).distinct()
 
 
-def _cell(cell: pd.DataFrame, link: Link) -> pd.DataFrame:
-    sig, n, cls = unpack(cell["sig"]), cell["n"].to_numpy(), cell["cls"].to_numpy()
-    label, inside = pd.factorize(cell["label"])[0], cell["i"].iloc[0] == cell["j"].iloc[0]
-    first = (cell["own"] == cell["i"]).to_numpy()
+def _candidates(cell: pd.DataFrame, link: Link) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Members `x` and `y` that meet in a cell, the agreeing hashes of each two, and which two go on."""
+    sig, n, label = unpack(cell["sig"]), cell["n"].to_numpy(), pd.factorize(cell["label"])[0]
+    inside, first = cell["i"].iloc[0] == cell["j"].iloc[0], (cell["own"] == cell["i"]).to_numpy()
     x = np.flatnonzero(first)
     y = x if inside else np.flatnonzero(~first)
     agree = np.zeros((len(x), len(y)), dtype=np.uint8)
@@ -189,9 +206,53 @@ def _cell(cell: pd.DataFrame, link: Link) -> pd.DataFrame:
         agree += a[:, None] == b
     good = (agree >= COORDINATES // 2) & (label[x][:, None] != label[y])
     good &= 100 * np.minimum(n[x][:, None], n[y]) >= link.percent * np.maximum(n[x][:, None], n[y])
-    at, to = np.nonzero(np.triu(good, 1) if inside else good)
-    pairs = [(a, b) if a < b else (b, a) for a, b in zip(cls[x[at]], cls[y[to]], strict=True)]
-    return pd.DataFrame({"a": [a for a, _ in pairs], "b": [b for _, b in pairs], "agree": agree[at, to].astype(np.int32)})
+    return x, y, agree, np.triu(good, 1) if inside else good
+
+
+def _pairs(cls: np.ndarray, x: np.ndarray, y: np.ndarray, agree: np.ndarray) -> pd.DataFrame:
+    pairs = [(a, b) if a < b else (b, a) for a, b in zip(cls[x], cls[y], strict=True)]
+    return pd.DataFrame({"a": [a for a, _ in pairs], "b": [b for _, b in pairs], "agree": agree.astype(np.int32)})
+
+
+def _cell(cell: pd.DataFrame, link: Link) -> pd.DataFrame:
+    x, y, agree, good = _candidates(cell, link)
+    at, to = np.nonzero(good)
+    return _pairs(cell["cls"].to_numpy(), x[at], y[to], agree[at, to])
+
+
+def _meeting(cell: pd.DataFrame, link: Link) -> pd.DataFrame:
+    x, y, _, good = _candidates(cell, link)
+    return cell.iloc[np.union1d(x[good.any(axis=1)], y[good.any(axis=0)])][["path", "cls"]]
+
+
+def _joined(cell: pd.DataFrame, link: Link) -> pd.DataFrame:
+    """Links of a cell that join its components, each confirmed on the full sets."""
+    x, y, agree, good = _candidates(cell, link)
+    n, label = cell["n"].to_numpy(), pd.factorize(cell["label"])[0]
+    used = np.union1d(x[good.any(axis=1)], y[good.any(axis=0)])
+    codes: dict[int, np.ndarray] = {}
+    if len(used):
+        sets = [np.frombuffer(s, dtype=np.uint64) for s in cell["set"].iloc[used]]
+        ends = np.cumsum([len(s) for s in sets])
+        code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        codes = dict(zip(used.tolist(), np.split(code, ends[:-1]), strict=True))
+        seen = np.zeros(code.max() + 1, dtype=np.int64)
+    found = []
+    for going in (good & (agree >= SURE), good & (agree < SURE)) if len(used) else ():
+        for i in np.flatnonzero(going.any(axis=1)):
+            at = np.flatnonzero(going[i] & (label[y] != label[x[i]]))
+            if not len(at):
+                continue
+            sides = [codes[t] for t in y[at].tolist()]
+            seen[codes[x[i]]] = 1
+            both = np.add.reduceat(seen[np.concatenate(sides)], np.cumsum([0] + [len(s) for s in sides[:-1]]))
+            seen[codes[x[i]]] = 0
+            for k in at[100 * both >= link.percent * (n[x[i]] + n[y[at]] - both)]:
+                if label[y[k]] != label[x[i]]:
+                    label[label == label[y[k]]] = label[x[i]]
+                    found.append((i, k))
+    at, to = np.array(found, dtype=np.int64).reshape(-1, 2).T
+    return _pairs(cell["cls"].to_numpy(), x[at], y[to], agree[at, to])
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, link: Link) -> DataFrame:
@@ -259,6 +320,13 @@ def labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return nodes.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
 
 
+def unsettled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """`path`, `cls`, `label`, `size` of the nodes whose members lie in several components."""
+    rows = labelled(nodes, labels)
+    sizes = rows.groupBy("path").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"))
+    return checkpoint(rows.join(sizes.where("low < high").select("path", "size"), "path"))
+
+
 def links(docs: DataFrame, signed: DataFrame, key: str, text: str, link: Link) -> DataFrame:
     """Confirmed links `a`, `b` between classes, enough of them to join every component."""
     classes = signed.where("n > 0").groupBy("cls").agg(F.min("n").alias("n"), F.min("sig").alias("sig"), F.min(F.struct("_id", "_th")).alias("one"))
@@ -270,25 +338,21 @@ def links(docs: DataFrame, signed: DataFrame, key: str, text: str, link: Link) -
     release(docs.sparkSession)
     star = nodes.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
     edges, tried = _more(None, None, star, classes, sets, link)
-    open_ = labelled(nodes.select("path", "cls"), components(edges))
-    kinds = open_.groupBy("path").agg(F.count_distinct("label").alias("kinds"), F.count(F.lit(1)).alias("size")).where("kinds > 1")
-    open_ = checkpoint(open_.join(kinds, "path"))
-    few = open_.where(F.col("kinds") <= SMALL)
+    open_ = unsettled(nodes.select("path", "cls"), components(edges))
+    few = open_.where(F.col("size") <= SMALL)
     other = few.select("path", F.col("cls").alias("b"), F.col("label").alias("to"))
     across = few.select("path", F.col("cls").alias("a"), "label").join(other, "path").where("a < b AND label <> to")
-    edges, tried = _more(edges, tried, across.select("a", "b").distinct(), classes, sets, link)
-    many = open_.where(F.col("kinds") > SMALL)
+    edges, _ = _more(edges, tried, across.select("a", "b").distinct(), classes, sets, link)
+    many = open_.where(F.col("size") > SMALL)
     if many.isEmpty():
         return edges
-    many = labelled(many.select("path", "cls", "size"), components(edges))
-    pairs = checkpoint(crossed(many, classes, link).join(tried, ["a", "b"], "left_anti"))
-    release(docs.sparkSession)
-    edges, tried = _more(edges, tried, pairs.where(F.col("agree") >= SURE).select("a", "b"), classes, sets, link)
     labels = components(edges)
-    side = lambda name: labels.select(F.col("cls").alias(name), F.col("label").alias(f"l_{name}"))
-    rest = pairs.where(F.col("agree") < SURE).select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    rest = rest.where(F.coalesce("l_a", "a") != F.coalesce("l_b", "b")).select("a", "b")
-    return _more(edges, tried, rest, classes, sets, link)[0]
+    met = checkpoint(meeting(unsettled(many.select("path", "cls"), labels), classes, link))
+    release(docs.sparkSession)
+    many = unsettled(met, labels)
+    joined = checkpoint(crossed(many, classes, link, sets).select("a", "b").distinct())
+    release(docs.sparkSession)
+    return edges.union(joined)
 
 
 def _more(edges: DataFrame | None, tried: DataFrame | None, pairs: DataFrame, classes: DataFrame, sets: DataFrame, link: Link) -> tuple[DataFrame, DataFrame]:

@@ -140,6 +140,23 @@ def test_near_dedup_compares_every_pair_of_a_node_once(spark, monkeypatch):
     assert len(want) > 100 and sorted((bytes(r.a), bytes(r.b), r.agree) for r in got) == sorted(want)
 
 
+def test_near_dedup_cells_give_few_links_that_join_what_all_pairs_join(spark, monkeypatch):
+    """A node of 90 different texts, a part of its pairs linked: fewer rows than members per cell, the components of brute force."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 32)
+    rng = random.Random(4)
+    base = prose(rng, 80).split()
+    rows = [(i, " ".join(base[: 60 + i % 11] + [f"z{rng.randrange(30)}" for _ in range(i % 13)]), 1, "", 1) for i in range(90)]
+    signed = near_dedup.signatures(frame(spark, rows), "doc_id", "text").dropDuplicates(["cls"]).localCheckpoint()
+    sets = near_dedup.full_sets(frame(spark, rows), "doc_id", "text", signed.select("cls", "_id", "_th")).localCheckpoint()
+    nodes = signed.selectExpr("7 AS path", "cls", "cls AS label").crossJoin(signed.agg(near_dedup.F.count("cls").alias("size")))
+    pairs = near_dedup.crossed(nodes, signed, near_dedup.Link()).select("a", "b").localCheckpoint()
+    linked = near_dedup.confirmed(pairs, signed, sets, near_dedup.Link()).localCheckpoint()
+    got = near_dedup.crossed(nodes, signed, near_dedup.Link(), sets).localCheckpoint()
+    of = lambda edges: sorted((bytes(r.cls), bytes(r.label)) for r in near_dedup.components(edges).collect())
+    assert of(got) == of(linked) and linked.count() > 1000
+    assert got.count() < 6 * 64 and got.select("a", "b").subtract(linked).isEmpty()
+
+
 def test_components_of_a_chain(spark):
     key = lambda n: hashlib.md5(str(n).encode()).digest()
     links = [(bytearray(key(i)), bytearray(key(i + 1))) for i in range(60)] + [(bytearray(b"x"), bytearray(b"y"))]
