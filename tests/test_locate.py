@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
+from lectern.functions.counts import filed, gram_codes, matches, spans
 from lectern.functions.distance import similarity_batch
 from lectern.operators import align, bins, index, locate, store
 from lectern.plans import tables
@@ -181,3 +183,30 @@ def test_top_bins_suppress_neighbors(spark):
 def test_line_numbers_may_have_gaps(spark):
     q = spark.createDataFrame([(1, 7, "ba ke"), (1, 12, "lo")], "query_id bigint, line_no int, text string")
     assert [(r.k, r.line_no) for r in locate.query_tokens(q).orderBy("k").collect()] == [(0, 0), (1, 0), (2, 1)]
+
+
+def test_leading_bins_need_no_postings_and_cut_ties_by_document(spark, corpus, stored, monkeypatch):
+    """Pieces of a few bins, tasks that sort often, exact copies of a document: the best bins are those of the whole count."""
+    docs = documents(spark, corpus + [corpus[0]] * 40)
+    built = store.build(docs, layout=SHORT, lookup=False)
+    with pytest.raises(Exception, match="(?i)not.found"):
+        built.postings()
+    tokens, cfg = locate.query_tokens(readings(spark, [(7, " ".join(corpus[0].split()[120:190])), (-2, "ba")])), locate.LocateConfig()
+    weights = locate.candidate_weights(tokens, index.fuzzy_candidates(tokens, built.vocab), cfg).cache()
+    whole = locate.vote_origins(weights, store.build(docs, layout=SHORT), cfg)
+    want = sorted(map(tuple, locate.top_bins(whole, cfg).collect()))
+    for piece, rows, cells in ((bins.PIECE, bins.ROWS, bins.CELLS), (2, 0, 8)):
+        for name, value in (("PIECE", piece), ("ROWS", rows), ("CELLS", cells)):
+            monkeypatch.setattr(bins, name, value)
+        leading = locate.leading_bins(weights, built, cfg)
+        assert sorted(map(tuple, locate.top_bins(leading, cfg).collect())) == want
+        assert leading.count() <= leading.rdd.getNumPartitions() * 2 * cfg.bins_to_rank
+
+
+def test_counted_matches():
+    order, first = filed(np.array([2, 0, 2, 1]), 4)
+    by, entry = matches(np.array([2, 3, 0]), first)
+    assert by.tolist() == [0, 0, 2] and order[entry].tolist() == [0, 2, 1]
+    assert list(spans(np.array([3, 3, 9, 1]), 6)) == [(0, 2), (2, 3), (3, 4)]
+    codes, of = gram_codes(["ab", "é"])
+    assert of.tolist() == [0, 0, 1] and [(int(c) >> 42, int(c) >> 21 & 0x1FFFFF, int(c) & 0x1FFFFF) for c in codes] == [(35, 97, 98), (97, 98, 35), (35, 233, 35)]
