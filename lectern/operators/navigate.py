@@ -32,7 +32,7 @@ def column_span(placements: DataFrame) -> DataFrame:
 
 
 def gap_before(points: DataFrame, pos: str, words: DataFrame, keys: list[str]) -> DataFrame:
-    """Blank space written before a word: petucha, setuma or none."""
+    """Blank space written before a word: petucha, setuma or none. Of `words` those with a flag are enough (`corpus.gaps`)."""
     w = words.select("doc_id", F.col("pos").alias("_p"), "petucha_before", "gap_before")
     j = points.join(w, (points["doc_id"] == w["doc_id"]) & (points[pos] == w["_p"]), "left").drop(w["doc_id"])
     kind = F.when(F.col("petucha_before"), "petucha").when(F.col("gap_before"), "setuma").otherwise("none")

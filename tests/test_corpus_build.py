@@ -24,6 +24,8 @@ def test_pieces_of_odd_lines(spark):
     assert words[3] == [("xy", 0, 12, 4, False), ("z", 0, 13, 4, False)] and not words[4] and not words[5]
     counts = {r.line: (r.n_words, r.n_ends, r.offset, r.ends_offset) for r in lines.collect()}
     assert counts == {1: (8, 3, 0, 0), 2: (4, 1, 8, 3), 3: (2, 0, 12, 4), 4: (0, 0, 14, 4), 5: (0, 1, 14, 4)}
+    flagged = corpus.flatten_words(lines).where("petucha_before or gap_before").select("doc_id", "pos", "petucha_before", "gap_before")
+    assert sorted(map(tuple, corpus.gaps(lines).collect())) == sorted(map(tuple, flagged.collect()))
     opens = corpus.verse_opens(lines).orderBy("pos").collect()
     assert [(r.pos, r.line, r.ends_before, r.ref and r.ref.verse) for r in opens] == [(0, 1, 0, 1), (2, 1, 1, 2), (6, 1, 2, None), (8, 2, 3, 1), (10, 2, 4, 2)]
 
