@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import js_round
 from ..session import checkpoint
 from .joins import point_in_interval
-from .placement import POINT_BLOCK, slice_text, text_offset
+from .placement import POINT_BLOCK, excerpts
 
 # Fallbacks and accepted range of learned layout.
 DEFAULT_WORDS_PER_LINE = 8
@@ -39,14 +39,14 @@ def gap_before(points: DataFrame, pos: str, words: DataFrame, keys: list[str]) -
     return j.select(*keys, kind.alias("gap"))
 
 
-def line_hint(here: DataFrame, words: DataFrame, lines: DataFrame) -> DataFrame:
+def line_hint(here: DataFrame, line_spans: DataFrame, pages: DataFrame, gaps: DataFrame) -> DataFrame:
     """Arrival line of targets inside the current column, from the best source there is.
 
     The written layout, else the lines of the reading, else an estimate from words per line.
     """
     key = ["query_id", "target_id"]
-    written = text_offset(lines, here.where("column is not null").select(*key, "doc_id", "column", "word"), "word", 3, key, "voc")
-    j = here.join(written, key, "left")
+    near = excerpts(here.withColumn("_stop", F.col("word") + 3), "word", "_stop", line_spans, pages, key, 3)
+    j = here.join(near, key, "left").withColumn("at", F.when(F.col("at.column") == F.col("column"), F.col("at")))
     top = F.coalesce("first_line", F.lit(1))
     starts = F.col("line_starts")
     after = lambda i: F.try_element_at(F.filter(F.slice(starts, i + 2, F.size(starts)), lambda x: x.isNotNull()), F.lit(1))
@@ -63,15 +63,14 @@ def line_hint(here: DataFrame, words: DataFrame, lines: DataFrame) -> DataFrame:
     guess = F.greatest(F.lit(1), js_round(top + (F.col("word") - F.col("start")) / wpl))
     j = j.withColumns(
         {
-            "line": F.coalesce("voc_line", top + F.col("_read.i"), guess).cast("int"),
-            "line_exact": F.col("voc_line").isNotNull() | F.col("_read").isNotNull(),
-            "at_line_start": F.coalesce("voc_at_start", F.col("_read.at"), F.lit(False)),
-            "words_vocalized": F.when(F.col("voc") != "", F.col("voc")),
-            "_stop": F.col("word") + 3,
+            "line": F.coalesce("at.line", top + F.col("_read.i"), guess).cast("int"),
+            "line_exact": F.col("at").isNotNull() | F.col("_read").isNotNull(),
+            "at_line_start": F.coalesce("at.at_start", F.col("_read.at"), F.lit(False)),
+            "words_vocalized": F.when(F.col("at.written") != "", F.col("at.written")),
+            "words_here": F.coalesce("text", F.lit("")),
         }
     )
-    j = slice_text(j, "word", "_stop", words, key, "words_here")
-    gaps = gap_before(j.select(*key, "doc_id", "word"), "word", words, key)
+    gaps = gap_before(j.select(*key, "doc_id", "word"), "word", gaps, key)
     return j.join(gaps, key).select(*key, "line", "line_exact", "at_line_start", "words_here", "words_vocalized", "gap")
 
 
@@ -105,7 +104,7 @@ def navigate(placements: DataFrame, targets: DataFrame, ref: dict[str, DataFrame
     """placements (with `learned` words per column or null) x their targets (query_id, target_id, word)."""
     # One row per target, read by every tier of the arrival line: computed once.
     m = checkpoint(moves(placements, targets, ref["columns"]))
-    hint = line_hint(m.where("here"), ref["words"], ref["lines"])
+    hint = line_hint(m.where("here"), ref["line_spans"], ref["pages"], ref["gaps"])
     out = m.join(hint, ["query_id", "target_id"], "left")
     return out.withColumn("columns_exact", F.coalesce("columns_exact", "line_exact")).select(
         "query_id", "target_id", "status", "direction", "word_delta", "columns", "columns_exact", "wpc_used",
@@ -142,7 +141,7 @@ def target_from_verse(requests: DataFrame, verses: DataFrame) -> DataFrame:
 
 
 def scroll_info(verses: DataFrame, words: DataFrame) -> DataFrame:
-    """doc_id, total_words, book, book_start: where each book opens."""
+    """doc_id, total_words, book, book_start: where each book opens. Of `words` (doc_id, pos) the last of each document is enough."""
     total = words.groupBy("doc_id").agg((F.max("pos") + 1).alias("total_words"))
     first = verses.where("chapter = 1 and verse = 1").groupBy("doc_id", "book").agg(F.min("start").alias("book_start"))
     return first.join(total, "doc_id")

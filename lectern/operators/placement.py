@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.profile import LATIN, Profile
 from ..functions.text import js_round, round_half_up
+from . import corpus
 from .joins import overlapping, point_in_interval
 
 POINT_BLOCK = 256
@@ -22,6 +24,38 @@ def slice_text(spans: DataFrame, start: str, end: str, words: DataFrame, keys: l
     return spans.join(g, keys, "left").withColumn(out, F.coalesce(out, F.lit("")))
 
 
+def excerpts(
+    points: DataFrame, first: str, last: str, line_spans: DataFrame, pages: DataFrame, keys: list[str], written: int, p: Profile = LATIN
+) -> DataFrame:
+    """keys, text, at: the words of each (clamped) span, and of the line that holds its first position the column, line, whether
+    the line starts there and up to `written` written words from there. A span is a bounded excerpt of few lines.
+
+    Spans meet lines by positions alone (`line_spans`); a text goes once, unparsed, to the spans of its line and is parsed there,
+    so neither words nor lines without a span become rows.
+    """
+    ln = line_spans.where("end >= start").select(
+        "doc_id", F.col("n").alias("page"), F.col("line_no").alias("line"), F.col("start").alias("_ls"), F.col("end").alias("_le")
+    )
+    wanted = points.select(*dict.fromkeys([*keys, "doc_id"]), F.col(first).alias("_from"), F.col(last).alias("_to"))
+    hits = overlapping(wanted, "_from", "_to", ln, "_ls", "_le", ["doc_id"], POINT_BLOCK)
+    hits = hits.groupBy(*corpus.PLACE, "_ls").agg(F.collect_list(F.struct(*keys, "_from", "_to")).alias("_hits"))
+    lines = corpus.line_pieces(pages.select(*corpus.PLACE, "text").join(hits, corpus.PLACE), p)
+    lines = lines.select(
+        "page", "line", "_ls", F.flatten("pieces.words").alias("_words"), F.split(corpus.written_line(), " ").alias("_written"), F.explode("_hits").alias("_h")
+    )
+    begin, here = F.greatest(F.col("_h._from"), F.col("_ls")), F.col("_h._from") >= F.col("_ls")
+    part = F.array_join(F.slice("_words", begin - F.col("_ls") + 1, F.col("_h._to") - begin + 1), " ")
+    at = F.struct(
+        F.col("page").alias("column"),
+        "line",
+        (F.col("_h._from") == F.col("_ls")).alias("at_start"),
+        F.array_join(F.slice("_written", begin - F.col("_ls") + 1, F.lit(written)), " ").alias("written"),
+    )
+    rows = lines.select(*[F.col(f"_h.{k}").alias(k) for k in keys], "_ls", part.alias("_part"), F.when(here, at).alias("_at"))
+    g = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_ls", "_part"))).alias("_p"), F.max("_at").alias("at"))
+    return g.select(*keys, F.array_join(F.transform("_p", lambda x: x["_part"]), " ").alias("text"), "at")
+
+
 # Placement rules.
 LEAD_WORDS = 3
 """A span starting this close to a column's end and running on starts in the next column."""
@@ -105,36 +139,27 @@ def estimate_layout(spans: DataFrame) -> DataFrame:
     ).drop("_wpl")
 
 
-def text_offset(lines: DataFrame, points: DataFrame, pos: str, count: int, keys: list[str], out: str) -> DataFrame:
-    """Written words of the line from a position on, up to `count`; null if the column has no such line."""
-    ln = lines.where("end >= start").select(
-        "doc_id", F.col("n").alias("column"), F.col("start").alias("_ls"), F.col("end").alias("_le"), F.col("line_no").alias("_line"), F.col("text").alias("_text")
-    )
-    j = point_in_interval(points, pos, ln, "_ls", "_le", ["doc_id", "column"], POINT_BLOCK)
-    written = F.array_join(F.slice(F.split("_text", " "), F.col(pos) - F.col("_ls") + 1, F.lit(count)), " ")
-    return j.select(*keys, written.alias(out), F.col("_line").alias(f"{out}_line"), (F.col(pos) == F.col("_ls")).alias(f"{out}_at_start"))
-
-
-def first_words(spans: DataFrame, words: DataFrame, lines: DataFrame) -> DataFrame:
-    """Spans plus first_words (up to four) and first_words_vocalized (up to four written words of the line)."""
+def first_words(spans: DataFrame, line_spans: DataFrame, pages: DataFrame) -> DataFrame:
+    """Spans plus first_words (up to four) and first_words_vocalized (up to four written words of the line, if it lies in the
+    span's column)."""
     s = spans.withColumn("_stop", F.least(F.col("end"), F.col("start") + 3))
-    s = slice_text(s, "start", "_stop", words, ["query_id"], "first_words").drop("_stop")
-    points = s.where("column is not null").select("query_id", "doc_id", "column", "start")
-    v = text_offset(lines, points, "start", 4, ["query_id"], "first_words_vocalized")
-    return s.join(v.select("query_id", "first_words_vocalized"), "query_id", "left")
+    s = s.join(excerpts(s, "start", "_stop", line_spans, pages, ["query_id"], 4), "query_id", "left")
+    own = F.when(F.col("at.column") == F.col("column"), F.col("at.written"))
+    return s.withColumns({"first_words": F.coalesce("text", F.lit("")), "first_words_vocalized": own}).drop("_stop", "text", "at")
 
 
 def build_placement(spans: DataFrame, ref: dict[str, DataFrame]) -> DataFrame:
     """Full placement rows.
 
     `spans`: query_id, doc_id, start, end, score, margin, coverage, aligned, lines_covered, line_starts, line_tokens,
-    visible. `ref`: words, verses, columns, lines (and the same without texts as line_spans), sections, subsections. A span overlaps few sections, so these gather.
+    visible. `ref`: pages, line_spans (`line_ranges` without texts), verses, columns, sections, subsections. A span overlaps few
+    sections, so these gather.
     """
     p = estimate_layout(spans)
-    col = first_line(standard_column(p, ref["columns"]), ref.get("line_spans", ref["lines"])).select(
+    col = first_line(standard_column(p, ref["columns"]), ref["line_spans"]).select(
         "query_id", "column", "col_start", "col_end", "from_column_start", "first_line"
     )
-    p = first_words(p.join(col, "query_id", "left"), ref["words"], ref["lines"])
+    p = first_words(p.join(col, "query_id", "left"), ref["line_spans"], ref["pages"])
     for side in ("start", "end"):
         at = word_ref(spans.select("query_id", "doc_id", F.col(side).alias("_p")), "_p", ref["verses"])
         p = p.join(at.select("query_id", F.struct("book", "chapter", "verse").alias(f"verse_{side}")), "query_id", "left")
