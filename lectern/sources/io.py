@@ -65,9 +65,9 @@ def read_toc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_reference(tables: dict[str, DataFrame], path: str, source: str, commit: str) -> None:
-    """The reference tables as parquet with their provenance; large ones clustered by document for block joins."""
+    """The reference tables as parquet with their provenance, in the order of the rows given; zstd, as they hold every word."""
     for name, df in tables.items():
-        df.withColumn("source", F.lit(source)).withColumn("commit", F.lit(commit)).write.mode("overwrite").parquet(f"{path}/{name}")
+        df.withColumn("source", F.lit(source)).withColumn("commit", F.lit(commit)).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
 
 
 def read_reference(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:

@@ -46,3 +46,23 @@ def test_verses_and_columns_do_not_parse_the_texts_again(spark):
     c = tables.Corpus(spark, DATA)
     for table in (c.verses, c.opens, c.columns, c.line_spans, c.sections, c.subsections):
         assert not any("documents.parquet" in f for f in table.inputFiles())
+
+
+def test_verses_of_lines_are_those_of_their_words(spark):
+    """Verses over several lines, several in one line, ends without words and runs that share an end count."""
+    texts = [[["One two. three", "four. five"]], [["six"]], [["..."]], [["seven. x.y", "eight"]], [[]], [["nine"]]]
+    rows = [(1, 1, n + 1, t, [{"book": 1, "chapter": 1, "verse": 1}], [], False) for n, t in enumerate(texts)]
+    lines = corpus.parse_lines(spark.createDataFrame(rows, SCHEMA))
+    opens = corpus.verse_opens(lines)
+    words = corpus.flatten_words(lines.join(corpus.line_verses(lines, opens), corpus.PLACE))
+    plain = corpus.flatten_words(lines).join(opens.select("doc_id", "ends_before", "verse_id"), ["doc_id", "ends_before"])
+    assert sorted((r.pos, r.word, r.verse_id) for r in words.collect()) == sorted((r.pos, r.word, r.verse_id) for r in plain.collect())
+    assert words.count() == 11
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_words_are_joined_as_lines(spark):
+    """No join takes single words: they become rows above the last join."""
+    plan = tables.Corpus(spark, DATA).words._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    words = next(i for i, x in enumerate(plan) if "posexplode(toks" in x)
+    assert not any("Join" in x for x in plan[:words]) and any("Join" in x for x in plan[words:])
