@@ -4,6 +4,7 @@ import pytest
 
 from lectern.operators import corpus, placement
 from lectern.plans import place_queries, tables
+from lectern.plans.registry import registry
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id int, page int, line int, text array<array<string>>, verses array<struct<book:int,chapter:int,verse:int>>, aliyot array<map<string,string>>, isPetucha boolean"
@@ -32,3 +33,10 @@ def test_excerpts_over_several_lines(spark):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_placements_turn_no_word_into_a_row(spark):
     assert "posexplode(toks" not in plan(place_queries._placed(spark, DATA))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_texts_of_targets_are_made_before_their_rows_multiply(spark):
+    rows = plan(registry.queries["resolve_target"](spark, DATA)).splitlines()
+    above = [rows[i - 1] for i, x in enumerate(rows) if "Join LeftOuter" in x]
+    assert above and not any("date_format" in x or "array_join" in x for x in above)
