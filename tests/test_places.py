@@ -40,3 +40,13 @@ def test_texts_of_targets_are_made_before_their_rows_multiply(spark):
     rows = plan(registry.queries["resolve_target"](spark, DATA)).splitlines()
     above = [rows[i - 1] for i, x in enumerate(rows) if "Join LeftOuter" in x]
     assert above and not any("date_format" in x or "array_join" in x for x in above)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_no_table_of_verses_goes_through_the_driver(spark):
+    c = tables.corpus_of(spark, DATA)
+    made = [corpus.verse_opens(c.lines_parsed), corpus.verse_table(c.opens, c.lines_parsed), c.subsections, registry.queries["resolve_target"](spark, DATA)]
+    for df in made:
+        sent = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in x]
+        # Of pages, documents and their chunks there are few.
+        assert not any(k in x for x in sent for k in ("verse", "line", "chapter", "section"))
