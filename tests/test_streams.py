@@ -41,6 +41,39 @@ def test_last_values_over_ten_mixed_batches_equal_the_window(spark):
     assert got == want
 
 
+def test_a_log_in_batches_is_cut_at_its_batches_however_many_files_they_have(spark, monkeypatch):
+    """Three files a batch; a batch of the log without rows and one with fewer than files are batches too."""
+    monkeypatch.setattr(jobs, "ROWS", 10)
+    _, requests = log(spark, 240, ["a", "b"], 2)
+    few = spark.createDataFrame([("a", START + dt.timedelta(days=20), 900, 0.0)], requests.schema)
+    requests = requests.union(few).select("key", "ts", "id")
+    stream = jobs.log_in_batches(requests, "ts", 10, "1 hour")
+    heard = stateful.LateRows()
+    out = jobs.run_to_table(stateful.rate_limit(stream, 3, 6 * 3600, "2 hours"), late=heard).collect()
+    want = {r.id: r.allowed for r in usage.rate_limit(requests, 3, 6 * 3600).collect()}
+    assert {r.id: r.allowed for r in out} == want and len(out) == len(want) and not sum(heard.batches.values())
+    assert len(heard.batches) >= 11
+
+
+def test_keys_share_rows_of_state_and_may_be_null(spark, monkeypatch):
+    monkeypatch.setattr(stateful, "BUCKETS", 4)
+    _, requests = log(spark, 300, [*map(str, range(40)), None], 3)
+    # Beyond what a fraction holds exactly.
+    requests = requests.selectExpr("cast(key as bigint) + 9007199254740992 as key", "ts", "id")
+    calls, plain = spark.sparkContext.accumulator(0), stateful.InOrder.__call__
+
+    def counted(self, bucket, frames, state):
+        calls.add(1)
+        return plain(self, bucket, frames, state)
+
+    monkeypatch.setattr(stateful.InOrder, "__call__", counted)
+    stream = stateful.rate_limit(jobs.log_in_batches(requests, "ts", 4, "20 hours"), 3, 6 * 3600, "1 day")
+    out = {(r.key, r.id): r.allowed for r in jobs.run_to_table(stream).collect()}
+    assert {(r.key, r.id) for r in requests.collect()} == set(out)
+    known = requests.where("key is not null")
+    assert {r.id: r.allowed for r in usage.rate_limit(known, 3, 6 * 3600).collect()} == {i: x for (k, i), x in out.items() if k is not None}
+
+
 def test_clients_per_local_day_and_late_rows(spark, tmp_path):
     """Days of New York over the change to summer time; a batch brings two rows of a day that is over."""
     zone = "America/New_York"
