@@ -74,6 +74,30 @@ def test_keys_share_rows_of_state_and_may_be_null(spark, monkeypatch):
     assert {r.id: r.allowed for r in usage.rate_limit(known, 3, 6 * 3600).collect()} == {i: x for (k, i), x in out.items() if k is not None}
 
 
+def test_feedback_meets_scans_as_in_a_batch(spark):
+    """A scan in time, too early, later than its feedback, twice, and none; no scan named; times to the microsecond."""
+    t = lambda h, us=0: START + dt.timedelta(hours=h, microseconds=us)
+    scans = [(1, t(0, 1), "s1"), (2, t(1), "s2"), (3, t(9), "s3"), (4, t(5), "s4"), (4, t(6), "s5"), (6, t(50), "s6"), (None, t(7), "s7")]
+    feedback = [(11, t(24, 1), 1, "up"), (12, t(25, 1), 2, None), (13, t(8), 3, "up"), (14, t(7), 4, "up"), (15, t(30), 5, "down"), (16, t(50), 6, "up"), (17, t(7), None, "up")]
+    rows = [(True, t_, i, None, x, None) for i, t_, x in scans] + [(False, t_, i, s, None, v) for i, t_, s, v in feedback]
+    all_rows = spark.createDataFrame(rows, "scanned boolean, ts timestamp, id bigint, scan bigint, status string, vote string")
+    one = jobs.log_in_batches(all_rows, "ts", 3, "20 hours")
+    s = one.where("scanned").selectExpr("id", "ts", "status", "'k' as kind")
+    out = jobs.run_to_table(jobs.feedback_joined(one.where("not scanned").select("id", "ts", "scan", "vote"), s)).collect()
+    far = t(0).year + 20
+    got = sorted((r.id, r.ts, r.vote, r.scan_ts, r.scan_status or "") for r in out if r.ts.year < far)
+    assert got == [
+        (11, t(24, 1), "up", t(0, 1), "s1"),
+        (12, t(25, 1), None, None, ""),
+        (13, t(8), "up", None, ""),
+        (14, t(7), "up", t(5), "s4"),
+        (14, t(7), "up", t(6), "s5"),
+        (15, t(30), "down", None, ""),
+        (16, t(50), "up", t(50), "s6"),
+        (17, t(7), "up", None, ""),
+    ]
+
+
 def test_clients_per_local_day_and_late_rows(spark, tmp_path):
     """Days of New York over the change to summer time; a batch brings two rows of a day that is over."""
     zone = "America/New_York"
