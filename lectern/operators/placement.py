@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.profile import LATIN, Profile
 from ..functions.text import js_round, round_half_up
 from . import corpus
+from .index import corpus_words
 from .joins import overlapping, point_in_interval
 
 POINT_BLOCK = 256
@@ -24,6 +25,17 @@ def slice_text(spans: DataFrame, start: str, end: str, words: DataFrame, keys: l
     return spans.join(g, keys, "left").withColumn(out, F.coalesce(out, F.lit("")))
 
 
+def consecutive_slices(documents: DataFrame, size: int, p: Profile = LATIN) -> DataFrame:
+    """doc_id, n, text: the words of documents (doc_id, text) in consecutive spans of `size`, numbered from 1 and joined by spaces.
+    A span comes from its document's own row: no word becomes a row and nothing is exchanged."""
+    d = documents.select("doc_id", corpus_words("text", p).alias("_w"))
+    # An inner explode would be checked for emptiness below, by parsing the text a second time.
+    first = F.explode_outer(F.when(F.size("_w") > 0, F.sequence(F.lit(0), F.size("_w") - 1, F.lit(size))))
+    s = d.select("doc_id", "_w", first.alias("_first")).where("_first is not null")
+    n = (F.col("_first") / size + 1).cast("int")
+    return s.select("doc_id", n.alias("n"), F.array_join(F.slice("_w", F.col("_first") + 1, F.lit(size)), " ").alias("text"))
+
+
 def excerpts(
     points: DataFrame, first: str, last: str, line_spans: DataFrame, pages: DataFrame, keys: list[str], written: int, p: Profile = LATIN
 ) -> DataFrame:

@@ -3,7 +3,7 @@ import os
 import pytest
 
 from lectern.operators import corpus, placement
-from lectern.plans import place_queries, tables
+from lectern.plans import place_queries, tables, text_queries
 from lectern.plans.registry import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -50,3 +50,18 @@ def test_no_table_of_verses_goes_through_the_driver(spark):
         sent = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in x]
         # Of pages, documents and their chunks there are few.
         assert not any(k in x for x in sent for k in ("verse", "line", "chapter", "section"))
+
+
+def test_slices_of_a_document_come_from_its_row(spark):
+    docs = spark.createDataFrame([(1, "One two, three? four FIVE"), (2, "..."), (3, "six"), (4, None), (5, "a b c d")], "doc_id int, text string")
+    got = placement.consecutive_slices(docs, 2)
+    assert sorted(map(tuple, got.collect())) == [(1, 1, "one two"), (1, 2, "three four"), (1, 3, "five"), (3, 1, "six"), (5, 1, "a b"), (5, 2, "c d")]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    # The text is parsed once.
+    assert plan(got).count("split(") == 1
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_a_book_is_sliced_without_the_index(spark, monkeypatch):
+    monkeypatch.setattr(tables, "corpus_index", None)
+    assert text_queries.R.queries["book_slice"](spark, DATA).where("n = 1").count() == 200
