@@ -203,6 +203,22 @@ def test_leading_bins_need_no_postings_and_cut_ties_by_document(spark, corpus, s
         assert leading.count() <= leading.rdd.getNumPartitions() * 2 * cfg.bins_to_rank
 
 
+def test_vote_totals_need_no_postings(spark, corpus, stored, monkeypatch):
+    """Documents of several segments and of several pieces have one row; their totals are those of the bins."""
+    docs = documents(spark, corpus)
+    built = store.build(docs, layout=SHORT, lookup=False)
+    tokens, cfg = locate.query_tokens(readings(spark, [(7, " ".join(corpus[0].split()[120:190])), (-2, "ba")])), locate.LocateConfig()
+    weights = locate.candidate_weights(tokens, index.fuzzy_candidates(tokens, built.vocab), cfg).cache()
+    want = {}
+    for r in locate.vote_origins(weights, store.build(docs, layout=SHORT), cfg).collect():
+        want.setdefault((r.query_id, r.doc_id), []).append(round(r.score * 2 * locate.VOTE_UNIT))
+    want = sorted((*k, len(v), sum(v), max(v)) for k, v in want.items())
+    for piece, cells in ((bins.PIECE, bins.CELLS), (2, 8)):
+        monkeypatch.setattr(bins, "PIECE", piece)
+        monkeypatch.setattr(bins, "CELLS", cells)
+        assert sorted(map(tuple, locate.vote_totals(weights, built, cfg).collect())) == want
+
+
 def test_counted_matches():
     order, first = filed(np.array([2, 0, 2, 1]), 4)
     by, entry = matches(np.array([2, 3, 0]), first)
